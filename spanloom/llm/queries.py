@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.segment import corpus_units
+from spanloom.llm.truncation import truncated, truncation_rates
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(_t(spark, d, "final_dataset")).select("trace_id", "field")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(_t(spark, d, "final_dataset"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return corpus_units(_t(spark, d, "final_dataset"), _t(spark, d, "spans_clustered"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found)}
 
 SQL: dict[str, str] = {}
