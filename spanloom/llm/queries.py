@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm.pairs import pair_defects
 from spanloom.llm.segment import corpus_units
 from spanloom.llm.truncation import truncated, truncation_rates
 
@@ -24,6 +25,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return corpus_units(_t(spark, d, "final_dataset"), _t(spark, d, "spans_clustered"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(_t(spark, d, "final_dataset"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found)}
 
 SQL: dict[str, str] = {}
