@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanloom.llm.langid import document_languages, fit_model, relabelled
 from spanloom.llm.pairs import pair_defects
 from spanloom.llm.segment import corpus_units
 from spanloom.llm.truncation import truncated, truncation_rates
@@ -29,6 +31,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects(_t(spark, d, "final_dataset"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found)}
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    return document_languages(docs, fit_model(docs))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return relabelled(_languages(spark, d)).select("doc_id", "seg_no", "lang")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p9_found, p9_segments)}
 
 SQL: dict[str, str] = {}
