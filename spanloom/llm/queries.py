@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.langid import document_languages, fit_model, relabelled
+from spanloom.llm.leakage import leaked_items, leaks, without_leaks
 from spanloom.llm.pairs import pair_defects
 from spanloom.llm.segment import corpus_units
 from spanloom.llm.truncation import truncated, truncation_rates
@@ -36,6 +37,26 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
     return document_languages(docs, fit_model(docs))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(_leaks(spark, d), _t(spark, d, "eval_items"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_leaks(_t(spark, d, "documents").select("doc_id", "source"), _leaks(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return relabelled(_languages(spark, d)).select("doc_id", "seg_no", "lang")
 
@@ -44,6 +65,6 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p7_found, p7_matches, p7_items, p7_clean, p9_found, p9_segments)}
 
 SQL: dict[str, str] = {}
