@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.langid import document_languages, fit_model, relabelled
 from spanloom.llm.leakage import leaked_items, leaks, without_leaks
+from spanloom.llm.mixing import mixture, mixture_shares
 from spanloom.llm.pairs import pair_defects
 from spanloom.llm.segment import corpus_units
 from spanloom.llm.truncation import truncated, truncation_rates
@@ -32,6 +33,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects(_t(spark, d, "final_dataset"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_shares(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
     return document_languages(docs, fit_model(docs))
@@ -65,6 +74,6 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p7_found, p7_matches, p7_items, p7_clean, p9_found, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p7_found, p7_matches, p7_items, p7_clean, p8_mixture, p8_shares, p9_found, p9_segments)}
 
 SQL: dict[str, str] = {}
