@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.truncation_text import ANSWER_END, BARE, CUT_MARK, LABEL_ONLY, SENTENCE_END, TOKEN
+from spanloom.llm.truncation_text import ANSWER_END, BARE, BLANKS, CUT_MARK, LABEL_ONLY, SENTENCE_END, TOKEN
 
 FIELDS = ("reasoning", "model_response")
 
@@ -26,33 +26,37 @@ def one_delivery(traces: DataFrame, *columns: str) -> DataFrame:
     return best.select("trace_id", *[F.col(f"_b.{c}").alias(c) for c in columns])
 
 
-def _count(text: Column, what: str) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
-
-
 def _tokens(text: Column) -> Column:
     """The tokens of a text after two that stand for its beginning."""
     plain = F.regexp_replace(F.lower(text), r"\p{Nd}+(?:[.,]\p{Nd}+)*", "0")
     return F.concat(F.array(F.lit("^"), F.lit("^")), F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)))
 
 
-def _keys(toks: str, i: Column) -> Column:
-    """(context, gram): hash keys of the trigram that ends at i without and with its last token.
+def _grams(toks: Column) -> Column:
+    """Array of the tokens with those around them: t5 to t1 before, t0, and t6 after it (null at the end)."""
+    padded = F.concat(F.array_repeat(F.lit("^"), 3), toks)
+    n = F.size(toks) - 2
+    shifted = [F.slice(padded, 6 - k, n + k) for k in (5, 4, 3, 2, 1, 0)] + [F.slice(padded, 7, F.greatest(n - 1, F.lit(0)))]
+    zipped = F.arrays_zip(*[x.alias(name) for x, name in zip(shifted, ("t5", "t4", "t3", "t2", "t1", "t0", "t6"))])
+    return F.slice(zipped, 1, F.greatest(n, F.lit(0)))
+
+
+def _keys(t: str) -> tuple[Column, Column]:
+    """(context, gram): hash keys of the trigram that ends at t0 without and with its last token.
 
     Where words aren't parted by blanks six signs take the place of three words. Of a full stop only the word before it
     counts, of one after a single letter also what precedes that.
     """
-    at = lambda k: F.get(F.col(toks), i - k)
-    sign = (F.length(at(0)) == 1) & (at(0) >= "฀")
-    far = [F.when(sign, at(k)) for k in (5, 4, 3)]
-    second = F.when((at(0) == ".") & (F.length(at(1)) > 1), F.lit("*")).otherwise(at(2))
-    context = F.xxhash64(*far, second, at(1))
-    return F.struct(context.alias("context"), F.xxhash64(context, at(0)).alias("gram"))
+    at = [F.col(f"{t}.t{k}") for k in range(6)]
+    sign = (F.length(at[0]) == 1) & (at[0] >= "฀")
+    far = [F.when(sign, at[k]) for k in (5, 4, 3)]
+    second = F.when((at[0] == ".") & (F.length(at[1]) > 1), F.lit("*")).otherwise(at[2])
+    return F.xxhash64(*far, second, at[1]), F.xxhash64(*far, second, at[1], at[0])
 
 
-def _ends(toks: str, i: Column) -> Column:
-    """Whether an end follows token i: of the line or text; after a word also a sentence mark."""
-    nxt, this = F.get(F.col(toks), i + 1), F.get(F.col(toks), i)
+def _ends(t: str) -> Column:
+    """Whether an end follows t0: of the line or text; after a word also a sentence mark."""
+    nxt, this = F.col(f"{t}.t6"), F.col(f"{t}.t0")
     line = nxt.isNull() | nxt.startswith("\n") | (nxt == " ")
     return line | (~this.isin(*".!?") & nxt.isin(*".!?。！？।؟"))
 
@@ -62,18 +66,14 @@ def trigram_ends(vals: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Combined in each task before the shuffle, first by trigram, then by context.
     """
-    toks = vals.where(F.col("text").isNotNull()).select(_tokens(F.col("text")).alias("toks"))
-    grams = F.transform(
-        F.sequence(F.lit(2), F.size("toks") - 1), lambda i: F.struct(_keys("toks", i).alias("k"), F.when(_ends("toks", i), 1).otherwise(0).alias("e"))
-    )
+    grams = vals.where(F.col("text").isNotNull()).select(_tokens(F.col("text")).alias("toks")).select(F.explode(_grams(F.col("toks"))).alias("t"))
+    context, gram = _keys("t")
     exact = (
-        toks.where(F.size("toks") > 2)
-        .select(F.explode(grams).alias("g"))
-        .groupBy(F.col("g.k.context").alias("context"), F.col("g.k.gram").alias("gram"))
-        .agg(F.count("*").alias("n"), F.sum("g.e").alias("ends"))
+        grams.select(context.alias("context"), gram.alias("gram"), F.when(_ends("t"), 1).otherwise(0).alias("e"))
+        .groupBy("context", "gram")
+        .agg(F.count("*").alias("n"), F.sum("e").alias("ends"))
     )
-    context = exact.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.count_if(F.col("n") == 1).alias("once"))
-    return exact, context
+    return exact, exact.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.count_if(F.col("n") == 1).alias("once"))
 
 
 def limits(vals: DataFrame, *, least_length: int = 100, least_count: int = 8, one_share: float = 0.02, ten_share: float = 0.08) -> DataFrame:
@@ -82,7 +82,7 @@ def limits(vals: DataFrame, *, least_length: int = 100, least_count: int = 8, on
     ``_top``: one length that holds ``one_share`` of the values, where a back end counts signs; ``_all``: the whole ten
     holds ``ten_share``, where it stops at the word before its limit.
     """
-    sizes = vals.where(F.col("text").isNotNull()).groupBy("model", "field", "len").agg(F.count("*").alias("n"))
+    sizes = vals.where(F.col("len").isNotNull()).groupBy("model", "field", "len").agg(F.count("*").alias("n"))
     tens = sizes.groupBy("model", "field", F.ceil(F.col("len") / 10).alias("ten")).agg(
         F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("len", F.struct("n", "len")).alias("top")
     )
@@ -114,31 +114,29 @@ def judged(
     raw = whole.select(
         "trace_id", "model", *more, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in FIELDS])).alias("_v")
     ).select("trace_id", "model", *more, "_v.field", "_v.raw", F.length("_v.raw").alias("len"))
-    vals = raw.withColumn("text", F.regexp_replace("raw", r"(?U)[\s​﻿]+\z", ""))
-
-    text = F.col("text")
-    tail = F.right(text, F.lit(1500))
-    bare = F.regexp_replace(tail, r"```[^`]*```", " ")
-    para = F.element_at(F.split(bare, r"\n\s*\n"), -1)
-    line = F.element_at(F.split(para, r"\n"), -1)
-    fence = F.pmod(_count(text, "```"), F.lit(2)) != 0
+    vals = raw.withColumn("text", F.rtrim(F.col("raw"), F.lit(BLANKS)))
+
+    text, para, line, last = F.col("text"), F.col("_para"), F.col("_line"), F.col("_last80")
+    # a step each, so that no expression is repeated in the next; what only the end can hold is looked for there
+    bare = F.regexp_replace(F.right(text, F.lit(1500)), r"```[^`]*```", " ")
+    staged = vals.withColumn("_para", F.substring_index(bare, "\n\n", -1)).withColumn("_line", F.substring_index(para, "\n", -1))
+    staged = staged.withColumn("_inner", F.regexp_replace(para, r"(?m)^\s*\(?\w{1,3}\)", "")).withColumn("_last80", F.right(text, F.lit(80)))
+    # lambdas keep the generated code short
+    without = lambda where, what: F.length(F.replace(where, what, F.lit("")))
+    pair = lambda where, a, b: F.struct(where.alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    pairs = [(line, "\\[", "\\]"), (line, "\\(", "\\)"), (line, "{", "}"), (F.col("_inner"), "(", ")"), (para, "«", "»"), (para, "「", "」"), (F.replace(para, F.lit("“"), F.lit("”")), "„", "”")]
+    english = ~F.contains(para, F.lit("„")) & (without(para, F.lit("“")) < without(para, F.lit("”")))
+    odd = lambda where, mark: F.pmod((F.length(where) - without(where, mark)) / F.length(mark), F.lit(2)) != 0
     opened = (
-        fence
-        | (_count(line, "\\[") > _count(line, "\\]"))
-        | (_count(line, "\\(") > _count(line, "\\)"))
-        | (F.pmod(_count(line, "`"), F.lit(2)) != 0) & (F.pmod(_count(para, "`"), F.lit(2)) != 0)
-        | (F.pmod(_count(line, "$"), F.lit(2)) != 0) & (F.pmod(_count(para, "$"), F.lit(2)) != 0)
-        | (F.pmod(_count(line, "**"), F.lit(2)) != 0)
-        | (_count(line, "{") > _count(line, "}"))
-        | (_count(F.regexp_replace(para, r"(?m)^\s*\(?\w{1,3}\)", ""), "(") > _count(F.regexp_replace(para, r"(?m)^\s*\(?\w{1,3}\)", ""), ")"))
-        | (F.pmod(_count(line, '"'), F.lit(2)) != 0) & (F.pmod(_count(para, '"'), F.lit(2)) != 0)
-        | (_count(para, "«") > _count(para, "»"))
-        | (_count(para, "「") > _count(para, "」"))
-        | F.when(F.contains(para, F.lit("„")), _count(para, "„") > _count(para, "“") + _count(para, "”")).otherwise(_count(para, "“") > _count(para, "”"))
+        odd(text, F.lit("```"))
+        | odd(line, F.lit("**"))
+        | F.exists(F.array(*[F.lit(m) for m in "`$\""]), lambda m: odd(line, m) & odd(para, m))
+        | F.exists(F.array(*[pair(*x) for x in pairs]), lambda p: without(p["t"], p["a"]) < without(p["t"], p["b"]))
+        | english
     )
     held = F.coalesce(text.rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    stopped = text.rlike(SENTENCE_END)
-    facts = vals.select(
+    stopped = last.rlike(SENTENCE_END)
+    facts = staged.select(
         "trace_id",
         "model",
         *more,
@@ -147,24 +145,25 @@ def judged(
         "text",
         "len",
         held.alias("held"),
-        (held & text.rlike(CUT_MARK)).alias("mark"),
+        (held & last.rlike(CUT_MARK)).alias("mark"),
         (held & opened).alias("opened"),
-        (held & ~stopped & ~F.element_at(F.split(text, r"\n"), -1).rlike(LABEL_ONLY) & ~text.rlike(BARE)).alias("unsure"),
-        (held & text.rlike(ANSWER_END)).alias("answered"),
+        (held & ~stopped & ~line.rlike(LABEL_ONLY) & ~((F.length(text) < 40) & text.rlike(BARE))).alias("unsure"),
+        (held & last.rlike(ANSWER_END)).alias("answered"),
     )
     # only the tail's tokens are needed for the last trigram
     facts = facts.withColumn("_toks", F.when(F.col("unsure") & ~F.col("mark") & ~F.col("opened"), _tokens(F.right("text", F.lit(200)))))
-    facts = facts.withColumn("_k", _keys("_toks", F.size("_toks") - 1)).withColumn("_last", F.element_at("_toks", -1))
-    asked = facts.select("*", F.col("_k.context").alias("_c"), F.col("_k.gram").alias("_g")).drop("_k", "_toks")
+    facts = facts.withColumn("_t", F.try_element_at(_grams(F.col("_toks")), F.lit(-1))).withColumn("_last", F.col("_t.t0"))
+    context_key, gram_key = _keys("_t")
+    asked = facts.select("*", F.when(F.col("_last").isNotNull(), context_key).alias("_c"), F.when(F.col("_last").isNotNull(), gram_key).alias("_g")).drop("_t", "_toks")
     exact, context = trigram_ends(vals)
     undecided = asked.where(F.col("_last").isNotNull()).select("trace_id", "field", "_c", "_g")
     found = (
         undecided.join(exact.select(F.col("context").alias("_c"), F.col("gram").alias("_g"), F.col("n").alias("n3"), F.col("ends").alias("e3")), ["_c", "_g"])
         .join(context.select(F.col("context").alias("_c"), F.col("n").alias("n2"), F.col("ends").alias("e2"), "once"), "_c")
-        .select(F.col("trace_id").alias("_t"), F.col("field").alias("_fd"), "n3", "e3", "n2", "e2", "once")
+        .select(F.col("trace_id").alias("_id"), F.col("field").alias("_fd"), "n3", "e3", "n2", "e2", "once")
     )
-    at = limits(vals)
-    got = asked.join(found, F.col("trace_id").eqNullSafe(F.col("_t")) & (F.col("field") == F.col("_fd")), "left").join(
+    at = limits(raw)
+    got = asked.join(found, F.col("trace_id").eqNullSafe(F.col("_id")) & (F.col("field") == F.col("_fd")), "left").join(
         at, F.col("model").eqNullSafe(F.col("_m")) & (F.col("field") == F.col("_f")) & (F.ceil(F.col("len") / 10) == F.col("_ten")), "left"
     )
     at_limit = F.coalesce(F.col("_all") | (F.col("len") == F.col("_top")), F.lit(False))

@@ -23,3 +23,6 @@ ANSWER_END = r"(?:\\boxed\{[^{}\n]*\}[$.]*|\*\*[^*\n]{1,40}\*\*|</answer>|\\\]|`
 
 #: A value of one short word or number: a bare answer.
 BARE = r"(?U)\A\s*\S{1,12}\z"
+
+#: White space and invisible characters at the end of a value.
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u200b\u200c\u200d\u2028\u2029\u3000\ufeff"
