@@ -14,12 +14,13 @@ def auc(df: DataFrame, groups: list[str], label: Column, score: Column, *, range
     """(groups, auc, pos, neg): the share of pairs of a 1 and a 0 in the right order, ties by half; null with one class only."""
     rows = df.select(*groups, label.cast("int").alias("y"), score.cast("double").alias("s")).where("y is not null and s is not null")
     by = rows.groupBy(*groups, "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    cuts = rows.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 1000).alias("c")).scalar()
-    ranged = by.withColumn("r", F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: c < F.col("s"))))
+    # the bounds of the ranges: one row of ``ranges`` numbers
+    cuts = by.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 1000).alias("_c")).withColumn("_k", F.lit(1))
+    ranged = by.withColumn("_k", F.lit(1)).join(F.broadcast(cuts), "_k").withColumn("r", F.size(F.filter("_c", lambda c: c < F.col("s")))).drop("_k", "_c")
     part = ranged.groupBy(*groups, "r").agg(F.sum("q").alias("rq"))
     before = part.withColumn("base", F.sum("rq").over(Window.partitionBy(*groups).orderBy("r")) - F.col("rq")).drop("rq")
     inner = Window.partitionBy(*groups, "r").orderBy("s")
-    joined = ranged.join(before, [*groups, "r"]) if not groups else _join_null_safe(ranged, before, [*groups, "r"])
+    joined = _join_null_safe(ranged, before, [*groups, "r"])
     u2 = F.col("p") * (2 * (F.col("base") + F.col("below")) + F.col("q"))
     return (
         joined.withColumn("below", F.sum("q").over(inner) - F.col("q"))
