@@ -63,10 +63,12 @@ def density(df: DataFrame, value: str, grid: list[float], factor: float = 0.15)
     return wide.groupBy("x").agg(F.avg(kernel).alias("density"))
 
 
-def char_ngram_vector(text: Column, n: int = 3, slots: int = 64) -> Column:
-    """A unit vector of hashed n-grams of the text's signs, a stand-in for a learned embedding."""
-    padded = F.concat(F.lit("^"), F.lower(text), F.lit("$"))
+def char_ngram_vectors(df: DataFrame, key: str, n: int = 3, slots: int = 64) -> DataFrame:
+    """(key, x): unit vectors of the hashed n-grams of the key's signs, a stand-in for a learned embedding."""
+    padded = F.concat(F.lit("^"), F.lower(key), F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))
-    at = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(slots)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.size(F.filter(at, lambda x: x == s)).cast("double"))
-    return F.transform(raw, lambda x: x / F.greatest(norm(raw), F.lit(1e-12)))
+    slot = F.pmod(F.xxhash64("g"), F.lit(slots)).cast("int")
+    counts = df.select(key, F.explode(grams).alias("g")).groupBy(key, slot.alias("s")).agg(F.count("*").cast("double").alias("c"))
+    per = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("s", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("l"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0)) / F.col("l"))
+    return per.select(key, x.alias("x"))
