@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 
 def auc(df: DataFrame, groups: list[str], label: Column, score: Column, *, ranges: int = 64) -> DataFrame:
     """(groups, auc, pos, neg): the share of pairs of a 1 and a 0 in the right order, ties by half; null with one class only."""
-    rows = df.select(*groups, label.cast("int").alias("y"), score.cast("double").alias("s")).where("y is not null and s is not null")
-    by = rows.groupBy(*groups, "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    rows = df.select(*groups, label.cast("int").alias("_y"), score.cast("double").alias("_s")).where("_y is not null and _s is not null")
+    by = rows.groupBy(*groups, "_s").agg(F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q"))
     # the bounds of the ranges: one row of ``ranges`` numbers
-    cuts = by.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 1000).alias("_c")).withColumn("_k", F.lit(1))
-    ranged = by.withColumn("_k", F.lit(1)).join(F.broadcast(cuts), "_k").withColumn("r", F.size(F.filter("_c", lambda c: c < F.col("s")))).drop("_k", "_c")
-    part = ranged.groupBy(*groups, "r").agg(F.sum("q").alias("rq"))
-    before = part.withColumn("base", F.sum("rq").over(Window.partitionBy(*groups).orderBy("r")) - F.col("rq")).drop("rq")
-    inner = Window.partitionBy(*groups, "r").orderBy("s")
-    joined = _join_null_safe(ranged, before, [*groups, "r"])
-    u2 = F.col("p") * (2 * (F.col("base") + F.col("below")) + F.col("q"))
+    cuts = by.agg(F.percentile_approx("_s", [k / ranges for k in range(1, ranges)], 1000).alias("_c")).withColumn("_one", F.lit(1))
+    ranged = by.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one").withColumn("_r", F.size(F.filter("_c", lambda c: c < F.col("_s")))).drop("_one", "_c")
+    part = ranged.groupBy(*groups, "_r").agg(F.sum("_q").alias("_rq"))
+    before = part.withColumn("_base", F.sum("_rq").over(Window.partitionBy(*groups).orderBy("_r")) - F.col("_rq")).drop("_rq")
+    inner = Window.partitionBy(*groups, "_r").orderBy("_s")
+    joined = _join_null_safe(ranged, before, [*groups, "_r"])
+    u2 = F.col("_p") * (2 * (F.col("_base") + F.col("_below")) + F.col("_q"))
     return (
-        joined.withColumn("below", F.sum("q").over(inner) - F.col("q"))
+        joined.withColumn("_below", F.sum("_q").over(inner) - F.col("_q"))
         .groupBy(*groups)
-        .agg(F.sum(u2).alias("u2"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
-        .select(*groups, F.try_divide(F.col("u2"), 2.0 * F.col("pos") * F.col("neg")).alias("auc"), "pos", "neg")
+        .agg(F.sum(u2).alias("_u2"), F.sum("_p").alias("pos"), F.sum("_q").alias("neg"))
+        .select(*groups, F.try_divide(F.col("_u2"), 2.0 * F.col("pos") * F.col("neg")).alias("auc"), "pos", "neg")
     )
 
 

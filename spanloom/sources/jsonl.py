@@ -28,9 +28,10 @@ def read_strict(spark: SparkSession, path: str | list[str], schema: str, partiti
 def read_tolerant(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): bad lines are kept aside, not lost."""
     wide = T.StructType.fromDDL(schema).add("_corrupt_record", T.StringType())
-    df = spark.read.schema(wide).json(path, mode="PERMISSIVE")
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), bad
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    bad = parsed.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    return parsed.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), bad
 
 
 def read_keyed(spark: SparkSession, path: str | list[str], schema: str, key: str, by: list[str]) -> DataFrame:
