@@ -148,3 +148,9 @@ def locate_forward(text: Column, parts: Column, short: int = 60) -> Column:
         return F.struct(moved.cast("int").alias("cursor"), F.array_append(acc["at"], (hit - 1).cast("int")).alias("at"))
 
     return F.aggregate(parts, seed, step, lambda acc: acc["at"])
+
+
+def mark_region(text: Column, start: Column, end: Column, opening: str = "<<", closing: str = ">>") -> Column:
+    """The text with marks around the signs from ``start`` to before ``end``, both from 0; unmarked where the start is null."""
+    marked = F.concat(F.left(text, start), F.lit(opening), F.substring(text, start + 1, end - start), F.lit(closing), F.substring(text, end + 1, F.length(text)))
+    return F.when(start.isNull(), text).otherwise(marked)

@@ -80,3 +80,25 @@ def transition_shares(ev: DataFrame) -> DataFrame:
 
 def mean_frequencies(ev: DataFrame) -> DataFrame:
     return frequencies(ev).groupBy("feature").agg(F.sum("value").alias("sum"), F.count("*").alias("traces"))
+
+
+def class_shares(df: DataFrame, column: str) -> DataFrame:
+    """(class, n, percent) over the rows that have a class."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
+    total = df.agg(F.count(column)).scalar()
+    return counts.select("class", "n", (F.col("n") * 100.0 / total).alias("percent"))
+
+
+def alignment(counts: DataFrame, k: int = 2) -> DataFrame:
+    """(true, pred, n, share, rank): of each true class the ``k`` classes that it goes with most, ties by class."""
+    from pyspark.sql import Window
+
+    total = counts.groupBy("true").agg(F.sum("n").alias("t"))
+    ranked = counts.join(total, "true").withColumn("rank", F.row_number().over(Window.partitionBy("true").orderBy(F.desc("n"), "pred")))
+    return ranked.where(F.col("rank") <= k).select("true", "pred", "n", (F.col("n") / F.col("t")).alias("share"), "rank")
+
+
+def best_by(df: DataFrame, group: str, item: str, score: str) -> DataFrame:
+    """(group, best, score): the item with the greatest score of each group, ties by the lesser item."""
+    ranked = df.groupBy(group).agg(F.max(score).alias("_m")).join(df.select(F.col(group).alias("_g"), item, score), F.col(group) == F.col("_g"))
+    return ranked.where(F.col(score) == F.col("_m")).groupBy(group).agg(F.min(item).alias("best"), F.max("_m").alias("score"))

@@ -304,3 +304,25 @@ def across_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PR}, z AS (SELECT d100 AS v FROM pr WHERE d100 IS NOT NULL), w AS (SELECT stddev_samp(v) * 0.15::DOUBLE AS w FROM z) SELECT x, round(avg(exp(-(((x - v) / w) ** 2) / 2) / (w * 2.5066282746310002::DOUBLE)), 6) AS density FROM z, w, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS x) GROUP BY 1")
 def score_density(spark: SparkSession, d: str) -> DataFrame:
     return v.density(predictions(spark, d), "d100", [0.0, 0.25, 0.5, 0.75, 1.0]).withColumn("density", F.round("density", 6))
+
+
+@query("WITH c AS (SELECT finish_reason AS class, count(*) AS n FROM final_dataset WHERE finish_reason IS NOT NULL GROUP BY 1) SELECT class, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS percent FROM c")
+def class_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p.class_shares(table(spark, d, "final_dataset"), "finish_reason").withColumn("percent", F.round("percent", 6))
+
+
+@query(f"WITH {_JUDGED}, c AS (SELECT \"true\", pred, count(*) AS n FROM ju GROUP BY ALL) SELECT \"true\", pred, n, share, rank FROM (SELECT *, n / sum(n) OVER (PARTITION BY \"true\") AS share, row_number() OVER (PARTITION BY \"true\" ORDER BY n DESC, pred) AS rank FROM c) WHERE rank <= 2")
+def relation_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return p.alignment(m.confusion(_judged(spark, d), "true", "pred"))
+
+
+@query(f"WITH {_JUDGED}, j2 AS (SELECT ju.*, sp.model FROM ju JOIN sp USING (trace_id, span_idx)), a AS (SELECT model, \"true\" AS l, count(*) AS a FROM j2 GROUP BY ALL), b AS (SELECT model, pred AS l, count(*) AS b FROM j2 GROUP BY ALL), e AS (SELECT model, sum(a * b)::DOUBLE AS ab FROM a JOIN b USING (model, l) GROUP BY 1), w AS (SELECT model, count(*) AS n, count(*) FILTER (\"true\" = pred) AS hit FROM j2 GROUP BY 1) SELECT model, n, hit / n AS agreement, round((hit / n - ab / (n * n::DOUBLE)) / (1 - ab / (n * n::DOUBLE)), 9) AS kappa FROM w JOIN e USING (model)")
+def kappa_by_model(spark: SparkSession, d: str) -> DataFrame:
+    j = _judged(spark, d).join(spans(spark, d, "model"), ["trace_id", "span_idx"])
+    counts = j.groupBy("model", "true", "pred").agg(F.count("*").alias("n"))
+    return m.kappa(counts, ["model"]).withColumn("kappa", F.round("kappa", 9))
+
+
+@query(f"WITH {_LONG}, a AS {_auc_sql('method, dataset, problem_id', 'lo')}, s AS (SELECT method, dataset, round(avg(auc), 4) AS score FROM a GROUP BY ALL) SELECT dataset, min(method) AS best, any_value(score) AS score FROM (SELECT *, max(score) OVER (PARTITION BY dataset) AS top FROM s) WHERE score = top GROUP BY 1")
+def best_method(spark: SparkSession, d: str) -> DataFrame:
+    return p.best_by(dataset_scores(spark, d), "dataset", "method", "wp_auc")

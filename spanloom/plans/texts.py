@@ -226,3 +226,11 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     m = traces(spark, d, "model").select("model").distinct()
     names = m.select(F.col("model").alias("_m"), F.concat(F.upper(F.left("model", F.lit(1))), F.substr(F.replace("model", F.lit("-"), F.lit(" ")), F.lit(2))).alias("shown"))
     return m.join(names, F.col("model") == F.col("_m"), "left").select("model", F.coalesce("shown", "model").alias("shown"))
+
+
+@query(f"WITH {SP}, {TR}, f AS (SELECT trace_id, arg_min(anchor, span_idx) AS anchor FROM sp WHERE anchor IS NOT NULL AND anchor <> '' GROUP BY 1), z AS (SELECT trace_id, reasoning AS r, anchor, strpos(reasoning, anchor) AS place FROM tr JOIN f USING (trace_id)) SELECT trace_id, CASE WHEN place > 0 THEN left(r, (place - 1)::INT) || '<<' || anchor || '>>' || substr(r, place + length(anchor)) ELSE r END AS marked FROM z")
+def marked_regions(spark: SparkSession, d: str) -> DataFrame:
+    f = spans(spark, d, "anchor").where("anchor is not null and anchor <> ''").groupBy("trace_id").agg(F.min_by("anchor", "span_idx").alias("anchor"))
+    t = traces(spark, d, "reasoning").join(f, "trace_id")
+    start = F.nullif(F.position(F.col("anchor"), F.col("reasoning")), F.lit(0)) - 1
+    return t.select("trace_id", x.mark_region(F.col("reasoning"), start, start + F.length("anchor")).alias("marked"))
