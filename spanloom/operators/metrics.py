@@ -55,9 +55,10 @@ def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 def confusion_shares(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """(true, pred, share) for all pairs of labels, of each row's total; rows without any count are zero."""
-    t, p = labels.select(F.col("label").alias("true")), labels.select(F.col("label").alias("pred"))
+    names = labels.agg(F.collect_set("label")).scalar()  # a row for each label and every label beside it
     total = counts.groupBy("true").agg(F.sum("n").alias("t"))
-    dense = t.join(total, "true", "left").join(p, F.lit(True), "inner").join(counts, ["true", "pred"], "left")
+    grid = labels.select(F.col("label").alias("true"), F.explode(names).alias("pred"))
+    dense = grid.join(total, "true", "left").join(counts, ["true", "pred"], "left")
     return dense.select("true", "pred", F.coalesce(F.col("n") / F.col("t"), F.lit(0.0)).alias("share"))
 
 
