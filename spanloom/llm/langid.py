@@ -91,14 +91,16 @@ def document_languages(docs: DataFrame, model: Model) -> DataFrame:
 
     Texts are labelled where they are read; the shuffle that keeps each doc_id once moves the segments only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x 15 weights: 2 MB, however many documents there are
+    # SLOTS x 15 weights: 2 MB, however many documents there are; arrays only, which any worker can read
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
         kind = pa.list_(pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("start_pos", pa.int32()), ("end_pos", pa.int32())]))
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                found = segments(part.column(2).to_pylist(), shared.value)
+                found = segments(part.column(2).to_pylist(), own)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], ["doc_id", "label", "segments"])
 
     got = docs.select("doc_id", label_language(F.col("lang")).alias("label"), "text").mapInArrow(run, f"doc_id long, label string, segments {SEGMENTS}")
