@@ -71,7 +71,7 @@ def early_scores(spark: SparkSession, d: str) -> DataFrame:
     parts = None
     for depth in (25, 50):
         x = s.vectors(s.features(s.prefix(s.entries(t), depth, "ceil")), s.feature_names(len(OPS)))
-        got = ml.out_of_fold(t.select("trace_id", "problem_id", "correct").join(x, "trace_id"), "trace_id", "problem_id", "correct", "x").withColumn("depth", F.lit(depth))
+        got = ml.out_of_fold(t.select("trace_id", "problem_id", "correct").join(x, "trace_id"), "trace_id", "problem_id", "correct", "x", kind="forest").withColumn("depth", F.lit(depth))
         parts = got if parts is None else parts.unionByName(got)
     return parts
 
