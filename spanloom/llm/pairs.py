@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.languages import LETTERS, word_weights
 from spanloom.llm.pairs_text import ANSWERED, EMPTY_WORDS, LABELS, REFUSALS
+from spanloom.llm.segment import units
 from spanloom.llm.truncation import FIELDS, truncated
 
 _WRAPPER = regex.compile(r"</?[\p{L}_|:-]{1,30}/?>|<\|[^|>]{0,30}\|>|\\(?:boxed|text|mathrm)\b|^\s*```\w*\s*$", regex.M)
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 _ALNUM = regex.compile(r"[\p{L}\p{N}]")
 _LABELS, _EMPTY, _ANSWERED = (regex.compile(p, regex.I | regex.M) for p in (LABELS, EMPTY_WORDS, ANSWERED))
-_REFUSALS = {k: (re.compile("|".join(map(re.escape, parts.split("|")))) if parts else None, regex.compile(phrases)) for k, (parts, phrases) in REFUSALS.items()}
+_REFUSALS = {k: (tuple(parts.split("|")) if parts else (), regex.compile(phrases)) for k, (parts, phrases) in REFUSALS.items()}
 _QUESTION_LABEL = regex.compile(r"\A[>*_#\s]*(?:the\s+)?(?:problem|question|task|prompt|exercise|q)\s*(?:statement)?[*_]*\s*[:：]|^\s*[*_]*[\p{L}\p{M} ]{2,24}[:：][*_]*\s*\Z", regex.I | regex.M)
 _WORD = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Arabic}\p{Devanagari}\p{Hangul}\p{M}\p{N}]+")
 _ASCII_WORD = re.compile("[a-z0-9]+")
@@ -32,6 +33,7 @@ _SIGNS = re.compile("[฀-๿぀-ヿ㐀-鿿]+")
 _FRESH = regex.compile(r"(?:\p{N}+|[a-e])\Z")
 _NOT_PROSE = re.compile(r"```[^`]*(?:```|\Z)|`[^`\n]*`|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\boxed\{[^}]*\}|https?://\S+")
 _BARE_ANSWER = regex.compile(r"^\s*[*_]*[\p{L}\p{M} ]{2,20}[*_]*\s?[:：]\s*[*_]*[\p{L}\p{N}.,-]{1,12}[*_]*\s*$|(?:\n|(?<=[.!?]\s))\s*[*_]*[\p{L}\p{M}]{4,12}\s?[:：]\s*[*_]*[\p{N}A-E]+[*_]*\s*\Z", regex.M)
+_WORK = regex.compile(r"[=≈≡≤≥<>]\s*[\p{N}\p{L}(\\$-]|\p{N}\s*[+*/×·÷^]|\$[^$\n]+\$|\\[(\[]|```")
 _LATIN_WORD = re.compile("[a-zß-öø-ɏ']+")
 #: Blocks of letters by script.
 _RUNS = re.compile(
@@ -54,17 +56,36 @@ def is_empty(text: str | None) -> bool:
     return not bare or bool(_EMPTY.match(bare))
 
 
-def is_refusal(text: str) -> bool:
-    """It declines, in one of the languages known, within a short text that states no answer."""
-    if len(text) > 600:
-        return False
+def is_refusal(text: str, question: str | None = None, *, share: float = 0.125) -> bool:
+    """It declines, in one of the languages known, and states no answer; however long it is.
+
+    Sentences that restate the question neither answer nor work. A text that goes on to work after it declined ('I can't
+    solve this directly, so let n = 4') declines only where ``share`` of its other sentences do.
+    """
     low = text.lower().replace("’", "'")
     latin = low.isascii()
-    for parts, phrases in _REFUSALS.values():
-        # a group's phrases are tried where one of their parts is there, or letters beyond ASCII
-        if (parts.search(low) if parts else not latin) and phrases.search(low):
-            return not _ANSWERED.search(text)
-    return False
+    # a group's phrases are tried where one of their parts is there, or letters beyond ASCII
+    hit = [phrases for parts, phrases in _REFUSALS.values() if (any(p in low for p in parts) if parts else not latin) and phrases.search(low)]
+    if not hit:
+        return False
+    answered = [m.start() for m in _ANSWERED.finditer(text)]
+    if answered and not question:
+        return False
+    asked = _question_pieces(question) if question else set()
+    sentences = units(text) or [(0, len(text))]
+    own = [(a, b) for a, b in sentences if not _restates(text[a:b], asked)]
+    if any(a <= at < b for at in answered for a, b in own):
+        return False
+    declines = [any(p.search(text[a:b].lower().replace("’", "'")) for p in hit) for a, b in own]
+    if not any(declines):  # a phrase over a sentence's end
+        return not answered and len(own) == len(sentences)
+    after = len(own) - declines[::-1].index(True)
+    return sum(declines) >= share * len(own) or not any(_WORK.search(text, a, b) for a, b in own[after:])
+
+
+def _restates(sentence: str, asked: set[str]) -> bool:
+    got = _pieces(sentence)
+    return bool(asked) and len(got & asked) >= 0.8 * len(got)
 
 
 def _pieces(text: str) -> set[str]:
@@ -143,7 +164,7 @@ def defects(question: str | None, answer: str | None, asked: str | None | bool =
     """The defects of one answer but for truncation. ``asked``: the question's language, where it is known already."""
     if is_empty(answer):
         return ["empty"]
-    if is_refusal(answer):
+    if is_refusal(answer, question):
         return ["refusal"]
     if question is None or is_empty(question):
         return []

@@ -22,7 +22,8 @@ ANSWERED = (
 #: texts must hold, and the phrases.
 REFUSALS: dict[str, tuple[str, str]] = {
     "en": (
-        "able to|not permitted|not allowed|can't|cannot|can not|won't|will not|must not|may not|could not|going to|not something|declin|refus|to pass on|not give|not provide|not answer|not respond|not help|not say|not solve|not do|not to|outside|beyond|keep|prevent|forbid|stop|do not|don't|prohibit|bar|leav|leave|no answer|no solution|no response|no help|against my|as an",
+        "not able to|unable to|not permitted to|not allowed to|i can't |i cannot |i can not |i won't |i will not |i must not |i may not |i could not |i am going to have to |not something |decline|refuse|to pass on|rather not |prefer not |outside|beyond|"
+        "my rules|my guidelines|my polic|my instructions|my principles|our rules|our guidelines|our polic|our instructions|our principles|leave |leaving |no answer|no solution|no response|no help|against my |as an ai|as an assistant|as an language model",
         "|".join(
             [
                 r"\bi(?:'m| am) (?:not able|unable|not permitted|not allowed) to (?!divide|find|see|tell)\w+",
@@ -57,7 +58,7 @@ REFUSALS: dict[str, tuple[str, str]] = {
         ),
     ),
     "es": (
-        "no |niego|debo|prefiero|tengo que",
+        "no puedo|no podr|no debo|no me es|no soy capaz|no estoy autoriz|no se me permite|me niego a|debo |prefiero no|tengo que ",
         "|".join(
             [
                 r"no (?:puedo|podré|podría|debo|me es posible|soy capaz de|estoy autorizad[oa] (?:a|para))\s(?:\w+ )?(?:ayudar|responder|contestar|resolver|dar|proporcionar|asistir|atender|con)",

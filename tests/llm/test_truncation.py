@@ -1,6 +1,6 @@
 import random
 
-from spanloom.llm.pairs import defects, language, pair_defects
+from spanloom.llm.pairs import defects, is_refusal, language, pair_defects
 from spanloom.llm.truncation import truncated, truncation_rates
 
 SCHEMA = "trace_id string, model string, problem string, reasoning string, model_response string, at_limit int"
@@ -54,3 +54,15 @@ def test_pairs(spark):
     df = spark.createDataFrame([("a", "m", "Q one?", None, "ok it is 4.", 1), ("a", "m", "Q one?", None, "ok it is 4.", 1), ("b", "m", None, "x", "", 1)], SCHEMA)
     assert sorted((r.trace_id, r.field, r.defect) for r in pair_defects(df).collect()) == [("a", "reasoning", "empty"), ("b", "model_response", "empty")]
     assert pair_defects(df.limit(0)).count() == 0
+
+
+def test_long_refusals():
+    q = "Two even clerks, Ana and Bo, share 187 stamps. They give 3 + 4 of them away. How many remain at the end of the day?"
+    why = "The people who wrote the rules wanted every reader to ask a teacher about matters like these, and a teacher knows more about them. "
+    no = "I'm sorry, but I can't help with this request. "
+    for a in (no + why * 12, why * 12 + no, "I'm sorry that you had to wait. You asked this: " + q * 6 + " " + no + why * 12, "Let me read it again. We have n = 4 rows. " * 30 + no):
+        assert len(a) > 600 and is_refusal(a, q) and "refusal" in defects(q, a)
+    assert is_refusal(("Das ist eine lange Erklärung der Regeln. " * 30) + "Dabei kann ich leider nicht helfen.")
+    # an aside is none, nor is a text with an answer
+    for a in ("We look at the rows. " * 20 + "I can't solve this directly. " + "So let n = 4 and go on with it. " * 20, no + why * 12 + "The answer is 4."):
+        assert not is_refusal(a, q) and "refusal" not in defects(q, a)
