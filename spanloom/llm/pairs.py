@@ -1,7 +1,7 @@
 """Broken question and answer pairs, by ordered rules.
 
 Every rule that holds gives a defect: ``empty``, ``truncated`` (the operator of that name), ``refusal``, ``copy``,
-``other_language``. An empty answer has no further defect of its own, and a refusal or a copy no language to compare. A
+``other_language``. An empty answer has no further defect of its own; the other rules are tried each by itself. A
 null or blank question leaves ``copy`` and ``other_language`` out. Copies of a trace count once: texts are judged where
 they are read, and only the defects are shuffled.
 """
@@ -160,19 +160,23 @@ def language(text: str, ratio: float = 1.7) -> str | None:
     return best if hits[best] >= 2 and hits[best] >= ratio * rest else None
 
 
-def defects(question: str | None, answer: str | None, asked: str | None | bool = False) -> list[str]:
-    """The defects of one answer but for truncation. ``asked``: the question's language, where it is known already."""
+def every_defect(question: str | None, answer: str | None, asked: str | None | bool = False) -> list[str]:
+    """All defects of one answer but for truncation. ``asked``: the question's language, where it is known already."""
     if is_empty(answer):
         return ["empty"]
-    if is_refusal(answer, question):
-        return ["refusal"]
+    out = ["refusal"] if is_refusal(answer, question) else []
     if question is None or is_empty(question):
-        return []
+        return out
     if is_copy(answer, question):
-        return ["copy"]
+        out.append("copy")
     own = language(question, 1.2) if asked is False else asked
     got = language(answer) if own else None
-    return ["other_language"] if own and got and own != got else []
+    return [*out, "other_language"] if own and got and own != got else out
+
+
+def defects(question: str | None, answer: str | None, asked: str | None | bool = False) -> list[str]:
+    """The first of an answer's defects, by the order of the rules; the query gives them all."""
+    return every_defect(question, answer, asked)[:1]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +190,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.clear()
                 known[q] = language(q, 1.2)
             for field, texts in zip(FIELDS, answers):
-                for defect in defects(q, texts[k], known.get(q) if q is not None else None):
+                for defect in every_defect(q, texts[k], known.get(q) if q is not None else None):
                     out[0].append(i)
                     out[1].append(field)
                     out[2].append(defect)

@@ -66,3 +66,11 @@ def test_long_refusals():
     # an aside is none, nor is a text with an answer
     for a in ("We look at the rows. " * 20 + "I can't solve this directly. " + "So let n = 4 and go on with it. " * 20, no + why * 12 + "The answer is 4."):
         assert not is_refusal(a, q) and "refusal" not in defects(q, a)
+
+
+def test_every_defect(spark):
+    q = "Two even clerks, Ana and Bo, share 187 stamps. How many remain at the end of the day?"
+    no = "Dabei kann ich leider nicht helfen, weil die Regeln das nicht erlauben."
+    df = spark.createDataFrame([("a", "m", q, no, q + " I refuse.", 1), ("b", "m", None, no, "4", 1)], SCHEMA)
+    got = sorted((r.trace_id, r.field, r.defect) for r in pair_defects(df).where("defect != 'truncated'").collect())
+    assert got == [("a", "model_response", "copy"), ("a", "model_response", "refusal"), ("a", "reasoning", "other_language"), ("a", "reasoning", "refusal"), ("b", "reasoning", "refusal")]
