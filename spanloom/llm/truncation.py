@@ -118,7 +118,7 @@ def judged(
 
     text, para, line, last = F.col("text"), F.col("_para"), F.col("_line"), F.col("_last80")
     # a step each, so that no expression is repeated in the next; what only the end can hold is looked for there
-    bare = F.regexp_replace(F.right(text, F.lit(1500)), r"```[^`]*```", " ")
+    bare = F.when(F.contains(text, F.lit("```")), F.regexp_replace(text, r"(?s)```.*?```", " ")).otherwise(text)
     staged = vals.withColumn("_para", F.substring_index(bare, "\n\n", -1)).withColumn("_line", F.substring_index(para, "\n", -1))
     staged = staged.withColumn("_inner", F.regexp_replace(para, r"(?m)^\s*\(?\w{1,3}\)", "")).withColumn("_last80", F.right(text, F.lit(80)))
     # lambdas keep the generated code short

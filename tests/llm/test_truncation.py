@@ -1,7 +1,7 @@
 import random
 
 from spanloom.llm.pairs import defects, is_refusal, language, pair_defects
-from spanloom.llm.truncation import truncated, truncation_rates
+from spanloom.llm.truncation import judged, truncated, truncation_rates
 
 SCHEMA = "trace_id string, model string, problem string, reasoning string, model_response string, at_limit int"
 NOUNS = "queue tiling marble corner lantern ledger schedule digit orbit prefix".split()
@@ -74,3 +74,12 @@ def test_every_defect(spark):
     df = spark.createDataFrame([("a", "m", q, no, q + " I refuse.", 1), ("b", "m", None, no, "4", 1)], SCHEMA)
     got = sorted((r.trace_id, r.field, r.defect) for r in pair_defects(df).where("defect != 'truncated'").collect())
     assert got == [("a", "model_response", "copy"), ("a", "model_response", "refusal"), ("a", "reasoning", "other_language"), ("a", "reasoning", "refusal"), ("b", "reasoning", "refusal")]
+
+
+def test_delimiters_far_from_the_end(spark):
+    far = "so it is and " * 150
+    whole = {"w1": "Code:\n```py\n" + "x = 1\n" * 400 + "```", "w2": 'It says "' + far + 'that" is it!', "w3": "Code:\n```sh\n" + "echo `pwd`\n" * 200 + "```", "w4": "We see $" + far + "$ here!"}
+    cut = {"c1": "We see (" + far + "that is it!", "c2": "We see «" + far + "that is it!", "c3": "We see \\(" + far + "that is it!"}
+    df = spark.createDataFrame([(k, "m", None, v, None, 1) for k, v in {**whole, **cut}.items()], SCHEMA)
+    got = {r.trace_id: r.reason for r in judged(df).where("field = 'reasoning'").collect()}
+    assert got == {**dict.fromkeys(whole), **dict.fromkeys(cut, "open")}
