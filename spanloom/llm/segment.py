@@ -45,6 +45,9 @@ _SPANS = re.compile(
 )
 _UNCLOSED = regex.compile(r"[\"„“«「『]|(?<![\p{L}\p{N}])\(")
 _SCRIPTS = [("latin", regex.compile(r"\p{Latin}")), ("cyrillic", regex.compile(r"\p{Cyrillic}")), ("arabic", regex.compile(r"\p{Arabic}")), ("devanagari", regex.compile(r"\p{Devanagari}"))]
+_BEYOND_LATIN = regex.compile(r"[\p{Cyrillic}\p{Arabic}\p{Devanagari}]")
+_LATIN_LETTER = regex.compile(r"\p{Latin}")
+_WORD_BEFORE = regex.compile(r"(?r)\p{L}")
 _CLOSING = set("\"'’”»“」』）)]】》*_")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}]")
 _TIGHT = regex.compile(r"[,.;:!?%)\]}»”’。！？，、；：」』）।؟،]")
@@ -54,14 +57,38 @@ _FIRST_LETTER = regex.compile(r"[\"'“„«(\[*_]*")
 def _script(text: str) -> str:
     if text.isascii():
         return "latin"
-    head = text[:1500]
-    counts = {name: len(pattern.findall(head)) for name, pattern in _SCRIPTS}
+    counts = {name: len(pattern.findall(text)) for name, pattern in _SCRIPTS}
     # letters of formulas and invented names don't make a text Latin
     counts["latin"] *= 0.5 if max(counts["cyrillic"], counts["arabic"], counts["devanagari"]) > 20 else 1
     best = max(counts, key=counts.get)
     return best if counts[best] else "other"
 
 
+class _Tables:
+    """The cascade of each mark of a block: the block's own; in one of several scripts that of the words before the mark."""
+
+    def __init__(self, block: str, default: str):
+        script = _script(block)
+        self.script = default if script == "other" or (block.isascii() and not _LATIN_LETTER.search(block)) else script
+        self.mixed = bool(_BEYOND_LATIN.search(block)) and sum(bool(pattern.search(block)) for _, pattern in _SCRIPTS) > 1
+        self.read = self.latin = 0
+        self.beyond = False
+
+    def at(self, text: str, opened: int, mark: int):
+        if not self.mixed:
+            return cascade_for(self.script)
+        if self.read <= opened:
+            self.read, self.latin, self.beyond = opened, 0, False
+        self.latin += len(_LATIN_LETTER.findall(text, self.read, mark))
+        self.beyond = self.beyond or bool(_BEYOND_LATIN.search(text, self.read, mark))
+        self.read = max(self.read, mark)
+        last = _WORD_BEFORE.search(text, max(opened, mark - 28), mark)
+        script = next((name for name, pattern in _SCRIPTS if last and pattern.match(last[0])), None)
+        if script == "latin" and (self.beyond or self.latin < 3):  # a name or a formula within a sentence
+            script = None
+        return cascade_for(script or self.script)
+
+
 def _ended(line: str) -> bool:
     tail = line.rstrip()
     if not tail or (tail[-1] not in TERMINATORS and tail[-1] not in _CLOSING):
@@ -206,7 +233,7 @@ def _guarded(text: str, start: int, end: int, last: bool) -> list[tuple[int, int
     return spans
 
 
-def _sentences(text: str, start: int, end: int, cascade, last: bool) -> Iterator[tuple[int, int]]:
+def _sentences(text: str, start: int, end: int, tables: _Tables, last: bool) -> Iterator[tuple[int, int]]:
     spans = _guarded(text, start, end, last)
     cuts: list[tuple[int, int]] = []
     opened = start
@@ -229,7 +256,7 @@ def _sentences(text: str, start: int, end: int, cascade, last: bool) -> Iterator
                 continue
             if text[low] in "`$\\":
                 continue
-        if cascade.breaks(window, opened, at, stop):
+        if tables.at(text, opened, at).breaks(window, opened, at, stop):
             cuts.append((stop, stop))
             opened = stop
     if _THAI_GAP.search(text, start, end):
@@ -252,11 +279,11 @@ def units(text: str | None) -> list[tuple[int, int]]:
     if _QUICK.match(text):
         a = len(text) - len(text.lstrip())
         return [(a, len(text.rstrip()))]
-    cascade = cascade_for(_script(text))
+    script = _script(text)
     pieces = list(_blocks(text))
     out: list[tuple[int, int]] = []
     for k, (start, end, whole) in enumerate(pieces):
-        parts = [(start, end)] if whole else _sentences(text, start, end, cascade, k == len(pieces) - 1)
+        parts = [(start, end)] if whole else _sentences(text, start, end, _Tables(text[start:end], script), k == len(pieces) - 1)
         for a, b in parts:
             piece = text[a:b]
             left = len(piece) - len(piece.lstrip())

@@ -45,3 +45,12 @@ def test_corpus(spark):
     got = sorted((r.trace_id or "", r.field, r.span_idx, r.start_pos, r.end_pos) for r in corpus_units(t, s).collect())
     assert got == [("", "reasoning", -1, 0, 4), ("a", "anchor", 0, 0, 2), ("a", "reasoning", -1, 0, 10), ("a", "reasoning", -1, 11, 15)]
     assert corpus_units(t.limit(0), s.limit(0)).count() == 0
+
+
+def test_tables_by_paragraph():
+    english, russian = "We look at the rows and count them again. " * 40, "Это видно на рис. Петрова и в табл. Иванова. "
+    german = "Das gilt z. B. Montags. "
+    for gap in ("\n\n", ""):
+        assert cut(english + gap + russian)[-1] == russian.strip() and cut(english + gap + russian * 80)[-1] == russian.strip()
+        assert cut(russian * 40 + gap + german)[-1] == german.strip()
+    assert cut(english + "\n\nयह डॉ. शर्मा का काम है।")[-1] == "यह डॉ. शर्मा का काम है।"
