@@ -23,8 +23,9 @@ from spanloom.llm.truncation import FIELDS, truncated
 
 _WRAPPER = regex.compile(r"</?[\p{L}_|:-]{1,30}/?>|<\|[^|>]{0,30}\|>|\\(?:boxed|text|mathrm)\b|^\s*```\w*\s*$", regex.M)
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
-_ALNUM = regex.compile(r"[\p{L}\p{N}]")
 _LABELS, _EMPTY, _ANSWERED = (regex.compile(p, regex.I | regex.M) for p in (LABELS, EMPTY_WORDS, ANSWERED))
+_WRAPPER_OR_WORD = regex.compile(rf"(?:{_WRAPPER.pattern})|(?P<word>[\p{{L}}\p{{M}}\p{{N}}]+)", regex.M)
+_EMPTY_VOCABULARY = frozenset(regex.findall(r"[\p{L}\p{M}\p{N}]+", (LABELS + " " + EMPTY_WORDS).replace("\\A", " ").lower()))
 _REFUSALS = {k: (tuple(parts.split("|")) if parts else (), regex.compile(phrases)) for k, (parts, phrases) in REFUSALS.items()}
 _QUESTION_LABEL = regex.compile(r"\A[>*_#\s]*(?:the\s+)?(?:problem|question|task|prompt|exercise|q)\s*(?:statement)?[*_]*\s*[:：]|^\s*[*_]*[\p{L}\p{M} ]{2,24}[:：][*_]*\s*\Z", regex.I | regex.M)
 _WORD = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Arabic}\p{Devanagari}\p{Hangul}\p{M}\p{N}]+")
@@ -49,8 +50,10 @@ def is_empty(text: str | None) -> bool:
     """Null, or nothing left but white space, invisible characters, wrappers, labels or placeholders."""
     if text is None:
         return True
-    if len(text) > 200:
-        return not _ALNUM.search(text)
+    # the first word that is in no wrapper, label or placeholder decides, without reading on
+    for m in _WRAPPER_OR_WORD.finditer(text):
+        if (word := m["word"]) and word.lower() not in _EMPTY_VOCABULARY and word.strip("xX"):
+            return False
     bare = _OTHER.sub(" ", _WRAPPER.sub(" ", text)).strip().lower()
     bare = _LABELS.sub(" ", f" {bare} ").strip()
     return not bare or bool(_EMPTY.match(bare))
@@ -113,11 +116,15 @@ def _question_pieces(text: str) -> set[str]:
 
 def is_copy(answer: str, question: str, *, share: float = 0.80, covered: float = 0.55) -> bool:
     """The answer's tokens are the question's but for few, cover most of it, and no new number or single letter answers."""
-    if len(answer) > len(question) * 8 + 100:
-        return False
+    q = _question_pieces(question)
+    if len(answer) > 2 * len(question) + 400 and answer.isascii():
+        # a copy has at most a quarter as many other words as the question has words; a label at its edges at most 16 more
+        first = _ASCII_WORD.findall(answer[: 2 * len(question) + 200].lower())[:-1]
+        if len(set(first) - q) > len(q) * (1 - share) / share + 16:
+            return False
     if ":" in answer or "：" in answer:
         answer = _QUESTION_LABEL.sub(" ", answer)
-    a, q = _pieces(answer), _question_pieces(question)
+    a = _pieces(answer)
     both = len(a & q)
     return bool(a) and bool(q) and both >= len(a) * share and both >= len(q) * covered and not any(_FRESH.match(t) for t in a - q)
 

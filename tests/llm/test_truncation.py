@@ -83,3 +83,12 @@ def test_delimiters_far_from_the_end(spark):
     df = spark.createDataFrame([(k, "m", None, v, None, 1) for k, v in {**whole, **cut}.items()], SCHEMA)
     got = {r.trace_id: r.reason for r in judged(df).where("field = 'reasoning'").collect()}
     assert got == {**dict.fromkeys(whole), **dict.fromkeys(cut, "open")}
+
+
+def test_long_copies_and_empty_values():
+    q = "Two even clerks, Ana and Bo, share 187 stamps. How many remain at the end of the day?"
+    other = "They count on, row by row, until some clerk of the office finds that no stamp was lost and nobody has to pay for it. "
+    assert defects(q, (q + "\n") * 20) == ["copy"] == defects(q, "Question: " + (q.upper() + " ") * 30) and defects(q, q + other * 30) == []
+    for a in ("Answer:" + " " * 400, "Answer:" + "\u200b" * 400, "<answer></answer>\n" * 40, "**Answer:**\n" * 40, "\\boxed{}" * 60, "N/A" + "\n" * 300, "```text\n" + " " * 300 + "\n```"):
+        assert len(a) > 200 and defects(q, a) == ["empty"], a
+    assert defects(q, "Answer:" + " " * 400 + "4") == [] == defects(q, "Answer: " * 40 + "n")
