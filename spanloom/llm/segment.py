@@ -39,10 +39,9 @@ _QUICK = regex.compile(rf"[^{regex.escape(TERMINATORS)}\n\u0e00-\u0e7f]*[.!?。
 _ALNUM = regex.compile(r"[\p{L}\p{N}]")
 _MARK = re.compile(rf"[{re.escape(TERMINATORS)}]+(?:\s?[»])?[{CLOSERS}]*")
 _THAI_GAP = regex.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
-_SPANS = re.compile(
-    r"`[^`\n]+`|\$[^$\n]{1,200}\$|\\\([^\n]{0,200}?\\\)|\"[^\"]{1,600}\"|„[^“”]{1,600}[“”]|“[^”]{1,600}”|«[^»]{1,600}»|「[^」]{1,600}」|『[^』]{1,600}』"
-    r"|\((?:[^()]|\([^()]*\)){1,600}\)|（[^（）]{1,600}）|\[[^\[\]\n]{1,300}\]"
-)
+_OPENERS = re.compile(r"[`$\"„“«「『(（\[]|\\\(")
+_CLOSERS_OF = {'"': '"', "„": "“”", "“": "”", "«": "»", "「": "」", "『": "』"}
+_BRACKETS = {"(": ")", "（": "）", "[": "]"}
 _UNCLOSED = regex.compile(r"[\"„“«「『]|(?<![\p{L}\p{N}])\(")
 _SCRIPTS = [("latin", regex.compile(r"\p{Latin}")), ("cyrillic", regex.compile(r"\p{Cyrillic}")), ("arabic", regex.compile(r"\p{Arabic}")), ("devanagari", regex.compile(r"\p{Devanagari}"))]
 _BEYOND_LATIN = regex.compile(r"[\p{Cyrillic}\p{Arabic}\p{Devanagari}]")
@@ -224,8 +223,74 @@ def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         i = j + 1
 
 
+def _bracket_pairs(text: str, start: int, end: int) -> dict[int, int]:
+    """The place of each bracket that is closed, with that of the bracket that closes it."""
+    out: dict[int, int] = {}
+    for opening, closing in _BRACKETS.items():
+        if text.find(opening, start, end) < 0:
+            continue
+        stack: list[int] = []
+        for m in re.finditer(f"[{re.escape(opening + closing)}]", text[start:end]):
+            if m[0] == opening:
+                stack.append(start + m.start())
+            elif stack:
+                out[stack.pop()] = start + m.start()
+    return out
+
+
+def _pairs(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Outermost quotations, brackets, formulas and code of a paragraph, of any length. Each sign is looked at a few times."""
+    out: list[tuple[int, int]] = []
+    brackets: dict[int, int] | None = None
+    none: dict[str, int] = {}  # up to where a closing mark is known not to come
+    found: dict[str, int] = {}  # where it comes next
+    line_end = at = start
+
+    def closing(mark: str, low: int, high: int) -> int:
+        if found.get(mark, -1) >= low:
+            return found[mark] if found[mark] < high else -1
+        if low <= none.get(mark, -1):
+            return -1
+        j = text.find(mark, low, high)
+        if j < 0:
+            none[mark] = high
+        else:
+            found[mark] = j
+        return j
+
+    while m := _OPENERS.search(text, at, end):
+        i, c = m.start(), m[0]
+        at = i + 1
+        if i >= line_end:
+            line_end = text.find("\n", i, end)
+            line_end = end if line_end < 0 else line_end
+        j = -1
+        if c in _CLOSERS_OF:
+            ends = [k for mark in _CLOSERS_OF[c] if (k := closing(mark, i + 1, end)) >= 0]
+            j = min(ends, default=-1)
+        elif c in _BRACKETS:
+            if brackets is None:
+                brackets = _bracket_pairs(text, start, end)
+            j = brackets.get(i, -1)
+            if c == "[" and j > line_end:
+                j = -1
+        elif c == "\\(":
+            j = closing("\\)", i + 2, line_end)
+            if j >= 0:
+                j += 1
+        else:
+            j = closing(c, i + 1, line_end)
+            # far apart, two signs of money are no formula
+            if c == "$" and j - i > 201 and (text[i + 1].isspace() or text[j - 1].isspace() or text[j + 1 : j + 2].isdigit()):
+                j = -1
+        if j > i + 1:
+            out.append((i, j + 1))
+            at = j + 1
+    return out
+
+
 def _guarded(text: str, start: int, end: int, last: bool) -> list[tuple[int, int]]:
-    spans = [(m.start(), m.end()) for m in _SPANS.finditer(text, start, end)]
+    spans = _pairs(text, start, end)
     if last:  # what a cut left open stays open to the end
         tail = spans[-1][1] if spans else start
         if (m := _UNCLOSED.search(text, tail, end)) and m.start() > start:

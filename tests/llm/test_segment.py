@@ -54,3 +54,12 @@ def test_tables_by_paragraph():
         assert cut(english + gap + russian)[-1] == russian.strip() and cut(english + gap + russian * 80)[-1] == russian.strip()
         assert cut(russian * 40 + gap + german)[-1] == german.strip()
     assert cut(english + "\n\nयह डॉ. शर्मा का काम है।")[-1] == "यह डॉ. शर्मा का काम है।"
+
+
+def test_long_quotations():
+    said = "We count the rows again. " * 40
+    for a, b in ('""', "“”", "«»", "()", "[]"):
+        first = f"The note says {a}{said.strip()}{b} and goes on."
+        assert cut(f'{first} Then we stop. It was so. The end says {a}So. It was.{b} and ends.') == [first, "Then we stop.", "It was so.", f"The end says {a}So. It was.{b} and ends."]
+    for odd in ("«a. " * 30_000, "\\(a. " * 30_000, '("a. ' * 30_000, "[a\n" * 30_000):
+        assert units(odd)
