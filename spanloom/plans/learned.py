@@ -69,7 +69,7 @@ def operator_scores(spark: SparkSession, d: str) -> DataFrame:
 def early_scores(spark: SparkSession, d: str) -> DataFrame:
     t = traces(spark, d, "problem_id", "correct", "operator_sequence").where("correct is not null")
     parts = None
-    for depth in (25, 50):
+    for depth in (10, 25, 50, 75, 100):
         x = s.vectors(s.features(s.prefix(s.entries(t), depth, "ceil")), s.feature_names(len(OPS)))
         got = ml.out_of_fold(t.select("trace_id", "problem_id", "correct").join(x, "trace_id"), "trace_id", "problem_id", "correct", "x", kind="forest").withColumn("depth", F.lit(depth))
         parts = got if parts is None else parts.unionByName(got)
@@ -78,7 +78,7 @@ def early_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_identification(spark: SparkSession, d: str) -> DataFrame:
-    return ml.classify_models(_vectors(spark, d), "trace_id", "problem_id", "model", "x", folds=3).select("trace_id", "true", "pred", "prob")
+    return ml.classify_models(_vectors(spark, d), "trace_id", "problem_id", "model", "x", folds=5).select("trace_id", "true", "pred", "prob")
 
 
 @query()
@@ -96,7 +96,7 @@ def _openers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def opener_clusters(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = ml.cluster(_openers(spark, d), "x", 7, restarts=2, iterations=30)
+    found, _ = ml.cluster(_openers(spark, d), "x", 7, restarts=30, iterations=500)
     return found.select("ngram", "cluster")
 
 

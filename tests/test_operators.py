@@ -104,3 +104,9 @@ def test_folds(spark):
 def test_cosine(spark):
     r = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>").select(cosine(F.col("a"), F.col("b")).alias("c"), cosine(F.col("a"), F.col("z")).alias("n")).first()
     assert r.c == pytest.approx(2**-0.5) and r.n is None
+
+
+def test_early_scores_at_every_depth(spark):
+    from spanloom.plans.learned import early_scores
+
+    assert {r.depth for r in early_scores(spark, "/root/testdata/sf0.001").select("depth").distinct().collect()} == {10, 25, 50, 75, 100}
