@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.languages import LETTERS, word_weights
 from spanloom.llm.pairs_text import ANSWERED, EMPTY_WORDS, LABELS, REFUSALS
 from spanloom.llm.segment import units
-from spanloom.llm.truncation import FIELDS, truncated
+from spanloom.llm.truncation import FIELDS, deliveries, delivery_hash, truncated
 
 _WRAPPER = regex.compile(r"</?[\p{L}_|:-]{1,30}/?>|<\|[^|>]{0,30}\|>|\\(?:boxed|text|mathrm)\b|^\s*```\w*\s*$", regex.M)
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
@@ -189,8 +189,8 @@ def defects(question: str | None, answer: str | None, asked: str | None | bool =
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, str | None] = {}
     for b in batches:
-        ids, questions, *answers = (b.column(i).to_pylist() for i in range(2 + len(FIELDS)))
-        out: tuple[list, list, list] = ([], [], [])
+        ids, hashes, questions, *answers = (b.column(i).to_pylist() for i in range(3 + len(FIELDS)))
+        out: tuple[list, list, list, list] = ([], [], [], [])
         for k, (i, q) in enumerate(zip(ids, questions)):
             if q is not None and q not in known:
                 if len(known) > 50_000:
@@ -198,13 +198,17 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known[q] = language(q, 1.2)
             for field, texts in zip(FIELDS, answers):
                 for defect in every_defect(q, texts[k], known.get(q) if q is not None else None):
-                    out[0].append(i)
-                    out[1].append(field)
-                    out[2].append(defect)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["trace_id", "field", "defect"])
+                    for column, value in zip(out, (i, hashes[k], field, defect)):
+                        column.append(value)
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], ["trace_id", "h", "field", "defect"])
 
 
 def pair_defects(traces: DataFrame) -> DataFrame:
-    """(trace_id, field, defect): every defect of either answer of each trace."""
-    found = traces.select("trace_id", "problem", *FIELDS).mapInArrow(_run, "trace_id string, field string, defect string").distinct()
-    return found.unionByName(truncated(traces).select("trace_id", "field", F.lit("truncated").alias("defect")))
+    """(trace_id, field, defect): every defect of either answer of each trace, all from the delivery that counts."""
+    chosen = deliveries(traces, "problem")
+    marked = traces.select("trace_id", delivery_hash("model", *FIELDS, "problem").alias("h"), "problem", *FIELDS)
+    found = marked.mapInArrow(_run, "trace_id string, h long, field string, defect string").distinct()
+    one = chosen.where("at = 0").select(F.col("trace_id").alias("_id"), F.col("h").alias("_h"))
+    kept = found.join(one, F.col("trace_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").select("trace_id", "field", "defect")
+    return kept.unionByName(truncated(traces, "problem", chosen=chosen).select("trace_id", "field", F.lit("truncated").alias("defect")))

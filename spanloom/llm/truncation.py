@@ -7,7 +7,10 @@ Where the trigram is new, its first two words decide: if new words are rare afte
 else the same figures of them with any third word hold. Scripts without blanks use six signs in place of three words. Marks left by a cut, delimiters left open and
 lengths at which a back end stops are told apart before, all in SQL expressions: no Python runs.
 
-A null value or one without a letter or digit is no case. Copies of a trace count once.
+Two reads of the texts give all of it, and no text is shuffled: the first tells of each delivery what its values end like
+and a hash, the second counts the trigrams. Deliveries of one trace count once, that with the most text, of equally long
+ones that with the greatest hash; its equal copies share one weight in the second read. A null value or one without a
+letter or digit is no case.
 """
 
 from __future__ import annotations
@@ -15,15 +18,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.held import held
 from spanloom.llm.truncation_text import ANSWER_END, BARE, BLANKS, CUT_MARK, LABEL_ONLY, SENTENCE_END, TOKEN
 
 FIELDS = ("reasoning", "model_response")
+#: repeated traces at most that are sent to every task (some 40 bytes each); more are joined by shuffles
+SENT = 200_000
 
 
-def one_delivery(traces: DataFrame, *columns: str) -> DataFrame:
-    """One row per trace_id; copies are combined before the shuffle."""
-    best = traces.groupBy("trace_id").agg(F.max(F.struct(*columns)).alias("_b"))
-    return best.select("trace_id", *[F.col(f"_b.{c}").alias(c) for c in columns])
+def delivery_hash(*columns: str) -> Column:
+    """What tells deliveries of one trace apart: equal for equal values, nulls included."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def _trimmed(c: str) -> Column:
+    """Without blanks at the end; most values have none."""
+    return F.when(F.right(c, F.lit(1)).isin(*BLANKS), F.rtrim(F.col(c), F.lit(BLANKS))).otherwise(F.col(c))
 
 
 def _tokens(text: Column) -> Column:
@@ -62,16 +72,18 @@ def _ends(t: str) -> Column:
 
 
 def trigram_ends(vals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(context, gram, n, ends) of every trigram of every value, and the same by context with its words that occur once.
+    """(context, gram, n, ends) of every trigram of every value (text, weight), and the same by context with its words that
+    occur once.
 
-    Combined in each task before the shuffle, first by trigram, then by context.
+    Combined in each task before the shuffle, first by trigram, then by context. The weights of equal copies add up to one.
     """
-    grams = vals.where(F.col("text").isNotNull()).select(_tokens(F.col("text")).alias("toks")).select(F.explode(_grams(F.col("toks"))).alias("t"))
+    grams = vals.where(F.col("text").isNotNull()).select("weight", _tokens(F.col("text")).alias("toks")).select("weight", F.explode(_grams(F.col("toks"))).alias("t"))
     context, gram = _keys("t")
+    whole = lambda c: F.round(F.sum(c)).cast("long")
     exact = (
-        grams.select(context.alias("context"), gram.alias("gram"), F.when(_ends("t"), 1).otherwise(0).alias("e"))
+        grams.select("weight", context.alias("context"), gram.alias("gram"), F.when(_ends("t"), F.col("weight")).otherwise(0.0).alias("e"))
         .groupBy("context", "gram")
-        .agg(F.count("*").alias("n"), F.sum("e").alias("ends"))
+        .agg(whole("weight").alias("n"), whole("e").alias("ends"))
     )
     return exact, exact.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.count_if(F.col("n") == 1).alias("once"))
 
@@ -96,9 +108,92 @@ def limits(vals: DataFrame, *, least_length: int = 100, least_count: int = 8, on
     )
 
 
+def _facts(traces: DataFrame, *more: str) -> DataFrame:
+    """(trace_id, model, h, size, at, f): of each delivery and field, ``at`` in FIELDS, what its value ends like. No shuffle."""
+    raw = traces.select(
+        "trace_id",
+        "model",
+        delivery_hash("model", *FIELDS, *more).alias("h"),
+        sum(F.coalesce(F.length(f), F.lit(0)) for f in FIELDS).alias("size"),
+        F.posexplode(F.array(*FIELDS)).alias("at", "raw"),
+    )
+    keys = ("trace_id", "model", "h", "size", "at")
+    staged = raw.withColumn("text", _trimmed("raw"))
+    text, para, line, last = F.col("text"), F.col("_para"), F.col("_line"), F.col("_last80")
+    # a step each, so that no expression is repeated in the next; what only the end can hold is looked for there
+    bare = F.when(F.contains(text, F.lit("```")), F.regexp_replace(text, r"(?s)```.*?```", " ")).otherwise(text)
+    staged = staged.withColumn("_para", F.substring_index(bare, "\n\n", -1)).withColumn("_line", F.substring_index(para, "\n", -1))
+    staged = staged.withColumn("_last80", F.right(text, F.lit(80)))
+    # the delimiters are looked for by single signs first: most ends hold none of a kind
+    without = lambda where, what: F.length(F.replace(where, F.lit(what), F.lit("")))
+    odd = lambda where, mark: F.contains(where, F.lit(mark)) & (F.pmod((F.length(where) - without(where, mark)) / len(mark), F.lit(2)) != 0)
+    more_of = lambda where, a, b: F.contains(where, F.lit(a)) & (without(where, a) < without(where, b))
+    inner = F.regexp_replace(para, r"(?m)^\s*\(?\w{1,3}\)", "")
+    opened = (
+        odd(text, "```")
+        | odd(line, "**")
+        | (odd(line, "`") & odd(para, "`"))
+        | (odd(line, "$") & odd(para, "$"))
+        | (odd(line, '"') & odd(para, '"'))
+        | more_of(line, "\\[", "\\]")
+        | more_of(line, "\\(", "\\)")
+        | more_of(line, "{", "}")
+        | (F.contains(para, F.lit("(")) & more_of(inner, "(", ")"))
+        | more_of(para, "«", "»")
+        | more_of(para, "「", "」")
+        | F.when(F.contains(para, F.lit("„")), more_of(F.replace(para, F.lit("“"), F.lit("”")), "„", "”")).otherwise(more_of(para, "“", "”"))
+    )
+    has = F.coalesce(text.rlike(r"[a-zA-Z0-9\p{L}\p{N}]"), F.lit(False))
+    told = staged.select(
+        *keys,
+        "text",
+        F.length("raw").alias("len"),
+        has.alias("held"),
+        (has & last.rlike(CUT_MARK)).alias("mark"),
+        (has & opened).alias("opened"),
+        (has & ~last.rlike(SENTENCE_END) & ~line.rlike(LABEL_ONLY) & ~((F.length(text) < 40) & text.rlike(BARE))).alias("unsure"),
+        (has & last.rlike(ANSWER_END)).alias("answered"),
+    )
+    # only the tail's tokens are needed for the last trigram
+    told = told.withColumn("_toks", F.when(F.col("unsure") & ~F.col("mark") & ~F.col("opened"), _tokens(F.right("text", F.lit(200)))))
+    told = told.withColumn("_t", F.try_element_at(_grams(F.col("_toks")), F.lit(-1)))
+    context_key, gram_key = _keys("_t")
+    asks = F.col("_t.t0").isNotNull()
+    return told.select(
+        *keys,
+        F.struct(
+            "len", "held", "mark", "opened", "answered", asks.alias("asks"), F.coalesce(F.col("_t.t0") == ".", F.lit(False)).alias("stop"), F.when(asks, context_key).alias("c"), F.when(asks, gram_key).alias("g")
+        ).alias("f"),
+    )
+
+
+def deliveries(traces: DataFrame, *more: str) -> DataFrame:
+    """(trace_id, h, copies, kinds, model, at, f): of each trace the delivery that counts, a row for each field.
+
+    ``copies``: how often just this one was delivered; ``kinds``: how many different ones there are. ``more``: columns that
+    tell deliveries apart besides model and texts. Equal rows are combined in each task before the shuffle.
+    """
+    counted = _facts(traces, *more).groupBy("trace_id", "at", "size", "h", "model", "f").agg(F.count("*").alias("copies"))
+    best = counted.groupBy("trace_id", "at").agg(F.max(F.struct("size", "h", "copies", "model", "f")).alias("b"), F.count("*").alias("kinds"))
+    return held(best.select("trace_id", "b.h", "b.copies", "kinds", "b.model", "at", "b.f"))
+
+
+def _weighted(traces: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """(text, weight) of the values that count: one over the number of its copies for each of them. Texts aren't shuffled
+    where the traces delivered more than once are at most ``SENT``."""
+    again = chosen.where((F.col("at") == 0) & ((F.col("copies") > 1) | (F.col("kinds") > 1))).select(F.col("trace_id").alias("_id"), F.col("h").alias("_h"), "copies")
+    if again.limit(SENT + 1).count() <= SENT:
+        again = F.broadcast(again)
+    rows = traces.select("trace_id", delivery_hash("model", *FIELDS, *more).alias("h"), *FIELDS).join(again, F.col("trace_id").eqNullSafe(F.col("_id")), "left")
+    weight = F.when(F.col("copies").isNull(), 1.0).when(F.col("h") == F.col("_h"), 1.0 / F.col("copies")).otherwise(0.0)
+    vals = rows.select(weight.alias("weight"), *FIELDS).where(F.col("weight") > 0).select("weight", F.explode(F.array(*FIELDS)).alias("raw"))
+    return vals.select("weight", _trimmed("raw").alias("text"))
+
+
 def judged(
     traces: DataFrame,
     *more: str,
+    chosen: DataFrame | None = None,
     least_n: int = 5,
     word_ends: float = 0.10,
     stop_ends: float = 0.03,
@@ -106,63 +201,22 @@ def judged(
     closed_n: int = 20,
     closed_new: float = 0.05,
 ) -> DataFrame:
-    """(trace_id, model, field, text, ..., reason): every value with the reason why it counts as cut, else null.
+    """(trace_id, model, field, reason): every value with the reason why it counts as cut, else null.
 
     Reasons, the first that holds: ``mark`` (left by the cut), ``open`` (delimiters left open), ``trigram``, ``limit``.
+    ``chosen``: what ``deliveries`` gave with the same columns ``more``.
     """
-    whole = one_delivery(traces, "model", *FIELDS, *more)
-    raw = whole.select(
-        "trace_id", "model", *more, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in FIELDS])).alias("_v")
-    ).select("trace_id", "model", *more, "_v.field", "_v.raw", F.length("_v.raw").alias("len"))
-    vals = raw.withColumn("text", F.rtrim(F.col("raw"), F.lit(BLANKS)))
-
-    text, para, line, last = F.col("text"), F.col("_para"), F.col("_line"), F.col("_last80")
-    # a step each, so that no expression is repeated in the next; what only the end can hold is looked for there
-    bare = F.when(F.contains(text, F.lit("```")), F.regexp_replace(text, r"(?s)```.*?```", " ")).otherwise(text)
-    staged = vals.withColumn("_para", F.substring_index(bare, "\n\n", -1)).withColumn("_line", F.substring_index(para, "\n", -1))
-    staged = staged.withColumn("_inner", F.regexp_replace(para, r"(?m)^\s*\(?\w{1,3}\)", "")).withColumn("_last80", F.right(text, F.lit(80)))
-    # lambdas keep the generated code short
-    without = lambda where, what: F.length(F.replace(where, what, F.lit("")))
-    pair = lambda where, a, b: F.struct(where.alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    pairs = [(line, "\\[", "\\]"), (line, "\\(", "\\)"), (line, "{", "}"), (F.col("_inner"), "(", ")"), (para, "«", "»"), (para, "「", "」"), (F.replace(para, F.lit("“"), F.lit("”")), "„", "”")]
-    english = ~F.contains(para, F.lit("„")) & (without(para, F.lit("“")) < without(para, F.lit("”")))
-    odd = lambda where, mark: F.pmod((F.length(where) - without(where, mark)) / F.length(mark), F.lit(2)) != 0
-    opened = (
-        odd(text, F.lit("```"))
-        | odd(line, F.lit("**"))
-        | F.exists(F.array(*[F.lit(m) for m in "`$\""]), lambda m: odd(line, m) & odd(para, m))
-        | F.exists(F.array(*[pair(*x) for x in pairs]), lambda p: without(p["t"], p["a"]) < without(p["t"], p["b"]))
-        | english
-    )
-    held = F.coalesce(text.rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    stopped = last.rlike(SENTENCE_END)
-    facts = staged.select(
-        "trace_id",
-        "model",
-        *more,
-        "field",
-        "raw",
-        "text",
-        "len",
-        held.alias("held"),
-        (held & last.rlike(CUT_MARK)).alias("mark"),
-        (held & opened).alias("opened"),
-        (held & ~stopped & ~line.rlike(LABEL_ONLY) & ~((F.length(text) < 40) & text.rlike(BARE))).alias("unsure"),
-        (held & last.rlike(ANSWER_END)).alias("answered"),
-    )
-    # only the tail's tokens are needed for the last trigram
-    facts = facts.withColumn("_toks", F.when(F.col("unsure") & ~F.col("mark") & ~F.col("opened"), _tokens(F.right("text", F.lit(200)))))
-    facts = facts.withColumn("_t", F.try_element_at(_grams(F.col("_toks")), F.lit(-1))).withColumn("_last", F.col("_t.t0"))
-    context_key, gram_key = _keys("_t")
-    asked = facts.select("*", F.when(F.col("_last").isNotNull(), context_key).alias("_c"), F.when(F.col("_last").isNotNull(), gram_key).alias("_g")).drop("_t", "_toks")
-    exact, context = trigram_ends(vals)
-    undecided = asked.where(F.col("_last").isNotNull()).select("trace_id", "field", "_c", "_g")
+    chosen = deliveries(traces, *more) if chosen is None else chosen
+    names = F.array(*map(F.lit, FIELDS))
+    asked = chosen.select("trace_id", "model", F.get(names, F.col("at")).alias("field"), "f.*")
+    exact, context = trigram_ends(_weighted(traces, chosen, *more))
+    undecided = asked.where("asks").select("trace_id", "field", F.col("c").alias("_c"), F.col("g").alias("_g"))
     found = (
         undecided.join(exact.select(F.col("context").alias("_c"), F.col("gram").alias("_g"), F.col("n").alias("n3"), F.col("ends").alias("e3")), ["_c", "_g"])
         .join(context.select(F.col("context").alias("_c"), F.col("n").alias("n2"), F.col("ends").alias("e2"), "once"), "_c")
         .select(F.col("trace_id").alias("_id"), F.col("field").alias("_fd"), "n3", "e3", "n2", "e2", "once")
     )
-    at = limits(raw)
+    at = limits(asked)
     got = asked.join(found, F.col("trace_id").eqNullSafe(F.col("_id")) & (F.col("field") == F.col("_fd")), "left").join(
         at, F.col("model").eqNullSafe(F.col("_m")) & (F.col("field") == F.col("_f")) & (F.ceil(F.col("len") / 10) == F.col("_ten")), "left"
     )
@@ -170,9 +224,8 @@ def judged(
     # the value's own end is left out of the figures
     n3, e3, n2, e2 = (F.col(c) - 1 for c in ("n3", "e3", "n2", "e2"))
     once = F.col("once") - F.when(n3 == 0, 1).otherwise(0)
-    stop = F.col("_last") == "."
     cut = (
-        F.when(stop, (n3 >= stop_n) & (e3 < n3 * F.lit(stop_ends)))
+        F.when(F.col("stop"), (n3 >= stop_n) & (e3 < n3 * F.lit(stop_ends)))
         .when(n3 >= least_n, e3 < n3 * F.lit(word_ends))
         # a word that its place has never held, where few words are new: a piece of one
         .when((n3 == 0) & (n2 >= closed_n) & (once < n2 * F.lit(closed_new)), F.lit(True))
@@ -183,15 +236,15 @@ def judged(
         F.when(~F.col("held"), F.lit(None))
         .when(F.col("mark"), F.lit("mark"))
         .when(F.col("opened"), F.lit("open"))
-        .when(F.col("_last").isNotNull() & ~F.col("answered") & cut, F.lit("trigram"))
-        .when(F.col("_last").isNotNull() & ~F.col("answered") & ~stop & at_limit, F.lit("limit"))
+        .when(F.col("asks") & ~F.col("answered") & cut, F.lit("trigram"))
+        .when(F.col("asks") & ~F.col("answered") & ~F.col("stop") & at_limit, F.lit("limit"))
     )
-    return got.select("trace_id", "model", *more, "field", "raw", reason.alias("reason"))
+    return got.select("trace_id", "model", "field", reason.alias("reason"))
 
 
-def truncated(traces: DataFrame) -> DataFrame:
+def truncated(traces: DataFrame, *more: str, chosen: DataFrame | None = None) -> DataFrame:
     """(trace_id, model, field, reason) of the values that were cut."""
-    return judged(traces).where(F.col("reason").isNotNull()).select("trace_id", "model", "field", "reason")
+    return judged(traces, *more, chosen=chosen).where(F.col("reason").isNotNull()).select("trace_id", "model", "field", "reason")
 
 
 def truncation_rates(traces: DataFrame) -> DataFrame:

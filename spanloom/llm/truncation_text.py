@@ -1,8 +1,8 @@
 """Patterns of the truncation operator, in Java's regular expressions."""
 
-#: Words with their marks; single signs of scripts without blanks; a blank between Thai letters; line ends; other marks.
+#: Words with their marks (those of ASCII first); signs; single signs of scripts without blanks; line ends; a blank between Thai letters.
 TOKEN = (
-    r"[ก-๎぀-ヿ㐀-鿿]|[\p{L}\p{M}'’]+?(?=[ก-๎぀-ヿ㐀-鿿])|[\p{L}\p{M}'’]+|0|\s*\n\s*"
+    r"[a-z']++(?![^\x00-\x7f])|[!-`{-~&&[^a-z']]|(?:[a-z']|[\p{L}\p{M}’&&[^ก-๎぀-ヿ㐀-鿿]])++|[ก-๎぀-ヿ㐀-鿿]|\s*\n\s*"
     r"|(?<=[ก-๎]) +(?=[ก-๎])|[^\s\p{L}\p{M}]"
 )
 

@@ -92,3 +92,18 @@ def test_long_copies_and_empty_values():
     for a in ("Answer:" + " " * 400, "Answer:" + "\u200b" * 400, "<answer></answer>\n" * 40, "**Answer:**\n" * 40, "\\boxed{}" * 60, "N/A" + "\n" * 300, "```text\n" + " " * 300 + "\n```"):
         assert len(a) > 200 and defects(q, a) == ["empty"], a
     assert defects(q, "Answer:" + " " * 400 + "4") == [] == defects(q, "Answer: " * 40 + "n")
+
+
+def test_one_delivery_decides(spark, monkeypatch):
+    q = "Two even clerks, Ana and Bo, share 187 stamps. How many remain at the end of the day?"
+    no = "I'm sorry, but I can't help with this request."
+    rows = [("a", "m", q, no, "4", 1), ("a", "m", q, None, "4", 1), (None, "m", q, "", "4", 1), (None, "m", q, "", "4", 1)]
+    got = sorted((r.trace_id or "", r.field, r.defect) for r in pair_defects(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("", "reasoning", "empty"), ("a", "reasoning", "refusal")]
+    # a trace with a third of all rows counts once, whether its id is sent to the tasks or joined
+    rows = corpus() + [(k, "m", None, v, None, 1) for k, v in {**CUT, **WHOLE}.items()]
+    df = spark.createDataFrame(rows + [rows[3]] * 80 + [("t3", "m", None, "Short", None, 1)], SCHEMA)
+    sent = sorted(map(tuple, judged(df).select("trace_id", "field", "reason").collect()))
+    monkeypatch.setattr("spanloom.llm.truncation.SENT", 0)
+    assert sent == sorted(map(tuple, judged(df).select("trace_id", "field", "reason").collect()))
+    assert {k for k, f, r in sent if r} == set(CUT)
