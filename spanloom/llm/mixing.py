@@ -10,7 +10,6 @@ stays unmet, and its share goes to the others.
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.langid import label_language
+from spanloom.operators.held import held
 
 MOST_LEAVES = 100_000
 
@@ -101,14 +101,6 @@ def budgets(leaves: dict[tuple[str, ...], tuple[int, int]], shares: dict[str, fl
     return level((), sorted(leaves), total) if leaves else {}
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """The rows written once to the folder that all executors share, so that the texts aren't read and counted again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # only where the cluster names none, as in tests
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-    return df.checkpoint()
-
-
 def _plan(docs: DataFrame, targets: DataFrame, total: int | None, weights: dict[tuple[str, ...], float] | None, tokenizer: str | None) -> tuple[DataFrame, list[tuple]]:
     spark = docs.sparkSession
     wanted = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(
@@ -120,7 +112,7 @@ def _plan(docs: DataFrame, targets: DataFrame, total: int | None, weights: dict[
     named = docs.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce(label_language(F.col("lang")), F.lit("und")).alias("lang"), "text")
     named = named.join(wanted.select("source"), "source", "left_semi")
     one = count_tokens(named, {"doc_id": "long", "source": "string", "lang": "string"}, tokenizer=tokenizer).groupBy("doc_id").agg(F.max(F.struct("source", "lang", "tokens")).alias("v"))
-    counted = _held(one.select("doc_id", "v.*").where(F.col("tokens") > 0))
+    counted = held(one.select("doc_id", "v.*").where(F.col("tokens") > 0))
     sums = counted.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).collect()  # targets x languages
     repeats, shares = {r.source: int(r.max_repeats or 0) for r in rows}, {r.source: float(r.target_share or 0) for r in rows}
     leaves = {(r.source, r.lang): (int(r.tokens), repeats[r.source]) for r in sums}

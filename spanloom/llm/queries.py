@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm import queries_sequences
 from spanloom.llm.langid import document_languages, fit_model, relabelled
 from spanloom.llm.leakage import leaked_items, leaks, without_leaks
 from spanloom.llm.mixing import mixture, mixture_shares
@@ -74,6 +75,6 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p7_found, p7_matches, p7_items, p7_clean, p8_mixture, p8_shares, p9_found, p9_segments)}
+QUERIES = queries_sequences.QUERIES | {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p7_found, p7_matches, p7_items, p7_clean, p8_mixture, p8_shares, p9_found, p9_segments)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**queries_sequences.SQL}
