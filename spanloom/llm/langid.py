@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.crf import LANGUAGES, Model, fit, words
+from spanloom.llm.crf import LANGUAGES, Model, fit, script, sentence_words, words
 from spanloom.llm.languages import NAMES
 from spanloom.llm.segment import units
 
@@ -30,7 +30,7 @@ def label_language(label: Column) -> Column:
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each sentence."""
-    return [(a, b, [w for _, w in words(text, a, b)]) for a, b in units(text)]
+    return [(a, b, sentence_words(text, a, b)) for a, b in units(text)]
 
 
 def training_sample(docs: DataFrame, per_language: int, longest: int) -> DataFrame:
@@ -54,45 +54,70 @@ def fit_model(docs: DataFrame, *, per_language: int = 80, longest: int = 20_000)
     return fit([[ws for _, _, ws in sentences(r.text)] for r in rows], [LANGUAGES.index(r.y) for r in rows])
 
 
+def _joined(pieces: list[tuple[int, int, int, float, int]], text: str | None) -> list[dict]:
+    """Segments of neighbouring pieces (start, end, language, confidence, words) of one language, with their mean confidence."""
+    found: list[list] = []
+    for a, b, y, p, n in pieces:
+        if found and found[-1][2] == y:
+            found[-1][1] = b
+            found[-1][3] += p * n
+            found[-1][4] += n
+        else:
+            found.append([a, b, y, p * n, n])
+    if not found:
+        return [{"seg_no": 1, "lang": "und", "confidence": 0.0, "start_pos": 0, "end_pos": len(text or "")}]
+    return [{"seg_no": k, "lang": LANGUAGES[y], "confidence": min(max(p / n, 0.0), 1.0), "start_pos": a, "end_pos": b} for k, (a, b, y, p, n) in enumerate(found, 1)]
+
+
 def segments(texts: list[str | None], model: Model) -> list[list[dict]]:
-    """Of each text its segments; one of language ``und`` and confidence 0 where no word tells any."""
+    """Of each text its segments of whole sentences; one of language ``und`` and confidence 0 where no word tells any.
+
+    The confidence is the field's probability, less where few of the words are ones that the language is known by, as in a
+    text of a language that the field doesn't know.
+    """
     split = [sentences(t or "") for t in texts]
     out = []
-    for text, parts, post in zip(texts, split, model.posteriors([[w for _, _, ws in parts for w in ws] for parts in split])):
-        found: list[dict] = []
-        at = 0
+    for text, parts, (post, share) in zip(texts, split, model.sentences([[ws for _, _, ws in parts] for parts in split])):
+        pieces: list[tuple[int, int, int, float, int]] = []
+        best, k = post.argmax(1).tolist(), 0
+        sure = (post * share)[np.arange(len(post)), best].tolist()
         for a, b, ws in parts:
-            if not ws:
-                if found:
-                    found[-1]["end"] = b
-                continue
-            mean = post[at : at + len(ws)].mean(0)
-            at += len(ws)
-            y = int(mean.argmax())
-            if found and found[-1]["y"] == y:
-                found[-1]["end"] = b
-                found[-1]["p"] += mean[y] * len(ws)
-                found[-1]["n"] += len(ws)
-            else:
-                found.append({"y": y, "start": a, "end": b, "p": mean[y] * len(ws), "n": len(ws)})
-        if not found:
-            found = [{"y": None, "start": 0, "end": len(text or ""), "p": 0.0, "n": 1}]
-        out.append(
-            [
-                {"seg_no": k, "lang": "und" if s["y"] is None else LANGUAGES[s["y"]], "confidence": float(np.clip(s["p"] / s["n"], 0, 1)), "start_pos": s["start"], "end_pos": s["end"]}
-                for k, s in enumerate(found, 1)
-            ]
-        )
+            if ws:
+                y = best[k]
+                pieces.append((a, b, y, sure[k], len(ws)))
+                k += 1
+            elif pieces:
+                pieces.append((a, b, pieces[-1][2], 0.0, 0))
+        out.append(_joined(pieces, text) if any(script(w) for _, _, ws in parts for w in ws) else _joined([], text))
+    return out
+
+
+def switches(texts: list[str | None], model: Model, *, least: int = 3) -> list[list[dict]]:
+    """Of each text its stretches of words of one language, within sentences too; ``least``: words that such a stretch must
+    have, shorter ones belong to the stretch before them."""
+    split = [[(a, b, words(t, a, b)) for a, b in units(t)] if t else [] for t in texts]
+    out = []
+    for text, parts, post in zip(texts, split, model.words([[[w for _, w in ws] for _, _, ws in parts] for parts in split])):
+        flat = [(at, at + len(w)) for _, _, ws in parts for at, w in ws]
+        best = post.argmax(1)
+        edges = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)] if len(best) else [0]
+        pieces: list[tuple[int, int, int, float, int]] = []
+        for i, j in zip(edges[:-1], edges[1:]):
+            y = int(best[i]) if j - i >= least or not pieces else pieces[-1][2]
+            pieces.append((flat[i][0], flat[j - 1][1], y, float(post[i:j, y].mean()), j - i))
+        out.append(_joined(pieces, text))
     return out
 
 
-def document_languages(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, label, segments): each document once, with the language its label names and its segments.
+def document_languages(docs: DataFrame, model: Model, *, within: bool = False) -> DataFrame:
+    """(doc_id, label, segments): each document once, with the language its label names and its segments: of whole sentences,
+    or ``within`` sentences too.
 
     Texts are labelled where they are read; the shuffle that keeps each doc_id once moves the segments only.
     """
-    # SLOTS x 15 weights: 2 MB, however many documents there are; arrays only, which any worker can read
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans))
+    # weights, transitions and known words: 2 MB and a few hundred KB, however many documents; arrays only, which any worker can read
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays())
+    label_all = switches if within else segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -100,7 +125,7 @@ def document_languages(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                found = segments(part.column(2).to_pylist(), own)
+                found = label_all(part.column(2).to_pylist(), own)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], ["doc_id", "label", "segments"])
 
     got = docs.select("doc_id", label_language(F.col("lang")).alias("label"), "text").mapInArrow(run, f"doc_id long, label string, segments {SEGMENTS}")

@@ -42,9 +42,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_shares(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
+def _languages(spark: SparkSession, d: str, within: bool = False) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
-    return document_languages(docs, fit_model(docs))
+    return document_languages(docs, fit_model(docs), within=within)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +75,10 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
 
 
-QUERIES = queries_sequences.QUERIES | {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p7_found, p7_matches, p7_items, p7_clean, p8_mixture, p8_shares, p9_found, p9_segments)}
+def p9_switches(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d, within=True).select("doc_id", "label", F.explode("segments").alias("s")).select("doc_id", "label", "s.*")
+
+
+QUERIES = queries_sequences.QUERIES | {f.__name__: f for f in (p1_found, p1_rates, p2_found, p4_found, p7_found, p7_matches, p7_items, p7_clean, p8_mixture, p8_shares, p9_found, p9_segments, p9_switches)}
 
 SQL: dict[str, str] = {**queries_sequences.SQL}

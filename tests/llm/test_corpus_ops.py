@@ -73,6 +73,29 @@ def test_languages(spark, docs):
     assert all(0 <= s.confidence <= 1 for r in found.collect() for s in r.segments)
 
 
+def test_within_sentences(spark, docs):
+    model = fit_model(docs)
+    mixed = ["We walked to the station and dann haben wir den Zug genommen, weil es geregnet hat, so we were late.", "Primero miro la fila porque the answer is not what we need here, y entonces no hay más."]
+    rows = [(k, t, "en") for k, t in enumerate(mixed)] + [(9, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.segments for r in document_languages(df, model, within=True).collect()}
+    assert [s.lang for s in found[0]] == ["en", "de", "en"] and [s.lang for s in found[1]] == ["es", "en", "es"] and [s.lang for s in found[9]] == ["und"]
+    assert mixed[0][found[0][1].start_pos : found[0][1].end_pos].startswith("dann haben wir")
+    # whole sentences stay one segment
+    assert [len(r.segments) for r in document_languages(df, model).collect()] == [1, 1, 1]
+
+
+def test_names_and_unknown_languages(docs):
+    from spanloom.llm.langid import segments
+
+    model = fit_model(docs)
+    known = ["Die Zahl der Zeilen bleibt gleich, und wir müssen nicht noch einmal zählen.", "Ripel用2枚caovel币换38颗珠子。Pelzoni用24枚usa币换206颗珠子。"]
+    got = segments(known, model)
+    assert [[s["lang"] for s in g] for g in got] == [["de"], ["zh"]] and got[0][0]["confidence"] > 0.8
+    for other in ("Jeg har ikke set nogen af dem, der boede i huset ved siden af skoven.", "Η απάντηση δεν είναι γνωστή.", "Sidoo kale waxaan aragnay in ay jiraan dad badan oo meesha jooga."):
+        assert segments([other], model)[0][0]["confidence"] < 0.5, other
+
+
 def test_fill():
     assert fill({"a": 10, "b": 100, "c": 0}, {"a": 0.5, "b": 0.25, "c": 0.25}, 60) == {"a": 10, "b": 50, "c": 0}
     got = budgets({("s", "en"): (10, 1), ("s", "de"): (30, 1), ("r", "en"): (100, 2)}, {"s": 0.8, "r": 0.2}, {("s", "en"): 0.9, ("s", "de"): 0.1}, 50)
