@@ -11,6 +11,7 @@ score is computed once per task, however often it occurs.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 
@@ -26,6 +27,7 @@ LATIN_ABROAD, ABROAD = 1.0, 6.0
 
 _NOT_WORDS = regex.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\$[^$\n]{1,200}\$|\\\[.*?\\\]|\\\(.*?\\\)|https?://\S+|\\[a-z]+|<[^<>\n]{1,200}>|&#?\w{2,8};", regex.S)
 _WORDS = regex.compile(r"[a-zA-Z']++(?![^\x00-\x7f])|[\p{Han}\p{Hiragana}\p{Katakana}ー]{1,3}|\p{Thai}{1,5}|[[\p{L}\p{M}'’]--[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}]]+", regex.V1)
+_ASCII_WORDS = re.compile("[a-z][a-z']*[a-z]")
 _SCRIPTS = [
     ("Latin", regex.compile(r"\p{Latin}")), ("Cyrillic", regex.compile(r"\p{Cyrillic}")), ("Arabic", regex.compile(r"\p{Arabic}")), ("Devanagari", regex.compile(r"\p{Devanagari}")),
     ("Hangul", regex.compile(r"\p{Hangul}")), ("Thai", regex.compile(r"\p{Thai}")), ("Kana", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("Han", regex.compile(r"\p{Han}")),
@@ -47,9 +49,16 @@ def words(text: str, start: int, end: int) -> list[tuple[int, str]]:
 
 
 def sentence_words(text: str, start: int, end: int) -> list[str]:
-    """The words of a sentence, and ``HAN_ONLY`` where it holds."""
-    found = [w for _, w in words(text, start, end)]
-    if found and not (joined := "".join(found)).isascii() and len(_HAN.findall(joined)) > 3 and not _KANA.search(joined):
+    """The words of a sentence as ``words`` gives them, without their places, and ``HAN_ONLY`` where it holds."""
+    piece = text[start:end]
+    if any(c in piece for c in "`$\\/<&"):
+        piece = _NOT_WORDS.sub(" ", piece)
+    low = piece.lower()
+    if low.isascii():
+        return _ASCII_WORDS.findall(low)
+    low = unicodedata.normalize("NFC", low.replace("’", "'"))
+    found = [w for x in _WORDS.findall(low) if len(w := x.strip("'")) > 1 or (w and w not in _VARIABLES)]
+    if found and len(_HAN.findall(low)) > 3 and not _KANA.search(low):
         found.append(HAN_ONLY)
     return found
 
