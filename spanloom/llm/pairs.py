@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.languages import LETTERS, word_weights
+from spanloom.llm.languages import cyrillic_language, latin_language
 from spanloom.llm.pairs_text import ANSWERED, EMPTY_WORDS, LABELS, REFUSALS
 from spanloom.llm.segment import units
 from spanloom.llm.truncation import FIELDS, deliveries, delivery_hash, truncated
@@ -35,16 +35,12 @@ _FRESH = regex.compile(r"(?:\p{N}+|[a-e])\Z")
 _NOT_PROSE = re.compile(r"```[^`]*(?:```|\Z)|`[^`\n]*`|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\boxed\{[^}]*\}|https?://\S+")
 _BARE_ANSWER = regex.compile(r"^\s*[*_]*[\p{L}\p{M} ]{2,20}[*_]*\s?[:：]\s*[*_]*[\p{L}\p{N}.,-]{1,12}[*_]*\s*$|(?:\n|(?<=[.!?]\s))\s*[*_]*[\p{L}\p{M}]{4,12}\s?[:：]\s*[*_]*[\p{N}A-E]+[*_]*\s*\Z", regex.M)
 _WORK = regex.compile(r"[=≈≡≤≥<>]\s*[\p{N}\p{L}(\\$-]|\p{N}\s*[+*/×·÷^]|\$[^$\n]+\$|\\[(\[]|```")
-_LATIN_WORD = re.compile("[a-zß-öø-ɏ']+")
 #: Blocks of letters by script.
 _RUNS = re.compile(
     "(?P<cyrillic>[Ѐ-ԯ]+)|(?P<ar>[\u0600-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufefc]+)|(?P<hi>[\u0900-\u097f]+)|(?P<ko>[\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]+)"
     "|(?P<th>[\u0e01-\u0e4e]+)|(?P<kana>[\u3041-\u309f\u30a1-\u30ff]+)|(?P<han>[\u3400-\u4dbf\u4e00-\u9fff]+)"
 )
 _LETTERS_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_LATIN = ("en", "de", "fr", "es", "pt", "it", "nl")
-_WEIGHTS = {w: [x for x in langs if x[0] in _LATIN] for w, langs in word_weights().items()}
-
 
 def is_empty(text: str | None) -> bool:
     """Null, or nothing left but white space, invisible characters, wrappers, labels or placeholders."""
@@ -150,21 +146,11 @@ def language(text: str, ratio: float = 1.7) -> str | None:
             if top == "cjk":
                 return "ja" if n["kana"] * 8 >= wide["cjk"] else "zh"
             if top == "cyrillic":
-                return "uk" if sum(c in "іїєґІЇЄҐ" for c in prose) > sum(c in "ыэъёЫЭЪЁ" for c in prose) else "ru"
+                return cyrillic_language(prose) or "ru"
             return top
         if n["latin"] < 12 or wide[top] * 4 >= n["latin"]:
             return None
-    hits = dict.fromkeys(_LATIN, 0.0)
-    low = prose.lower().replace("’", "'")
-    for w in _LATIN_WORD.findall(low):
-        for lang, weight in _WEIGHTS.get(w, ()):
-            hits[lang] += weight
-    if not prose.isascii():
-        for lang, letters in LETTERS.items():
-            hits[lang] += 0.5 * sum(low.count(c) for c in letters)
-    best = max(hits, key=hits.get)
-    rest = max(v for k, v in hits.items() if k != best)
-    return best if hits[best] >= 2 and hits[best] >= ratio * rest else None
+    return latin_language(prose.lower().replace("’", "'"), ratio)
 
 
 def every_defect(question: str | None, answer: str | None, asked: str | None | bool = False) -> list[str]:

@@ -10,13 +10,14 @@ Null and values without a letter or digit have no unit. Positions count code poi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.languages import cyrillic_language, latin_language
 from spanloom.llm.segment_rules import CLOSERS, TERMINATORS, cascade_for
 
 _FENCE = regex.compile(r"\s*(```+|~~~+)")
@@ -64,28 +65,53 @@ def _script(text: str) -> str:
 
 
 class _Tables:
-    """The cascade of each mark of a block: the block's own; in one of several scripts that of the words before the mark."""
+    """The cascade of each mark of a block: by the script of the block, or, in one of several scripts, of the words before the
+    mark, and by the language of the sentence so far, else with what follows, else of the block, else of the text; all of the
+    script's where none tells."""
 
-    def __init__(self, block: str, default: str):
+    def __init__(self, text: str, start: int, end: int, default: str, of_text: Callable[[str], str | None]):
+        block = text[start:end]
         script = _script(block)
+        self.block, self.of_text = block, of_text
         self.script = default if script == "other" or (block.isascii() and not _LATIN_LETTER.search(block)) else script
         self.mixed = bool(_BEYOND_LATIN.search(block)) and sum(bool(pattern.search(block)) for _, pattern in _SCRIPTS) > 1
         self.read = self.latin = 0
         self.beyond = False
+        self.last: str | None = None
+        self.own: dict[str, str | None] = {}
 
-    def at(self, text: str, opened: int, mark: int):
+    def script_at(self, text: str, opened: int, mark: int) -> str:
         if not self.mixed:
-            return cascade_for(self.script)
+            return self.script
         if self.read <= opened:
-            self.read, self.latin, self.beyond = opened, 0, False
+            self.read, self.latin, self.beyond, self.last = opened, 0, False, None
         self.latin += len(_LATIN_LETTER.findall(text, self.read, mark))
         self.beyond = self.beyond or bool(_BEYOND_LATIN.search(text, self.read, mark))
+        if found := _WORD_BEFORE.search(text, self.read, mark):
+            self.last = next((name for name, pattern in _SCRIPTS if pattern.match(found[0])), None)
         self.read = max(self.read, mark)
-        last = _WORD_BEFORE.search(text, max(opened, mark - 28), mark)
-        script = next((name for name, pattern in _SCRIPTS if last and pattern.match(last[0])), None)
-        if script == "latin" and (self.beyond or self.latin < 3):  # a name or a formula within a sentence
-            script = None
-        return cascade_for(script or self.script)
+        if self.last == "latin" and (self.beyond or self.latin < 3):  # a name or a formula within a sentence
+            return self.script
+        return self.last or self.script
+
+    def breaks(self, text: str, opened: int, mark: int, stop: int) -> bool:
+        script = self.script_at(text, opened, mark)
+        cascade = cascade_for(script)
+        if stop - mark == 1 and (quick := cascade.plain(text, opened, mark, stop)) is not None:
+            return quick
+        if script in _TELL and cascade.hangs_on_language(text, opened, mark):
+            tell = _TELL[script]
+            # what follows belongs to the sentence if it goes on
+            if (language := tell(text[opened:mark]) or tell(text[opened : mark + 60])) is None:
+                if script not in self.own:
+                    self.own[script] = tell(self.block) or self.of_text(script)
+                language = self.own[script]
+            if language:
+                cascade = cascade_for(script, language)
+        return cascade.breaks(text, opened, stop)
+
+
+_TELL: dict[str, Callable[[str], str | None]] = {"latin": lambda t: latin_language(t.lower().replace("’", "'"), 2, 1.3), "cyrillic": cyrillic_language}
 
 
 def _ended(line: str) -> bool:
@@ -321,7 +347,7 @@ def _sentences(text: str, start: int, end: int, tables: _Tables, last: bool) ->
                 continue
             if text[low] in "`$\\":
                 continue
-        if tables.at(text, opened, at).breaks(window, opened, at, stop):
+        if tables.breaks(window, opened, at, stop):
             cuts.append((stop, stop))
             opened = stop
     if _THAI_GAP.search(text, start, end):
@@ -345,10 +371,17 @@ def units(text: str | None) -> list[tuple[int, int]]:
         a = len(text) - len(text.lstrip())
         return [(a, len(text.rstrip()))]
     script = _script(text)
+    known: dict[str, str | None] = {}
+
+    def of_text(script: str) -> str | None:
+        if script not in known:
+            known[script] = _TELL[script](text)
+        return known[script]
+
     pieces = list(_blocks(text))
     out: list[tuple[int, int]] = []
     for k, (start, end, whole) in enumerate(pieces):
-        parts = [(start, end)] if whole else _sentences(text, start, end, _Tables(text[start:end], script), k == len(pieces) - 1)
+        parts = [(start, end)] if whole else _sentences(text, start, end, _Tables(text, start, end, script, of_text), k == len(pieces) - 1)
         for a, b in parts:
             piece = text[a:b]
             left = len(piece) - len(piece.lstrip())

@@ -1,8 +1,9 @@
 """Segmentation rule tables: ordered break and no-break pairs per language.
 
 A rule is (break?, before, after): ``before`` must match the text that ends at a position, ``after`` the text that begins
-there. Tables are cascaded: those of the languages written in a text's script come first, in order, then the general
-one; the first rule whose two sides match decides the position.
+there. Tables are cascaded: that of the words' language comes first, or, where no language can be told, those of all
+languages written in their script; then the table of abbreviations that several languages share and the general one. The
+first rule whose two sides match decides the position.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ BREAK, KEEP = True, False
 # ``lower`` not before a lower-case word, a number or a bracket.
 ABBREVIATIONS: dict[str, dict[str, str]] = {
     "en": {
-        "always": "Dr Prof Mr Mrs Ms Messrs Rev Hon Gen Col Sgt Capt Lt St Mt vs cf Cf viz i.e I.e e.g E.g approx Approx resp esp incl ca "
+        "always": "Dr Prof Mr Mrs Ms Messrs Rev Hon Gen Col Sgt Capt Lt St Mt vs cf Cf viz i.e I.e e.g E.g approx Approx resp esp incl "
         "Sec Secs Eq Eqs Fig Figs Ch Chap Thm Lem Prop Cor Def Vol Vols pp ff al ed eds et a.k.a c.f w.r.t",
-        "number": "No no Nos nos p P Art art Ex ex Ref ref Tab Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec",
+        "number": "ca No no Nos nos p P Art art Ex ex Ref ref Tab Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec",
         "lower": "etc a.m p.m U.K U.S U.N E.U Inc Ltd Co Corp Jr Sr dept est max min",
     },
     "de": {
@@ -65,6 +66,9 @@ ABBREVIATIONS: dict[str, dict[str, str]] = {
     "ko": {"always": "Dr", "number": "", "lower": ""},
 }
 
+#: Abbreviations met in all languages of the Latin script.
+SHARED = {"always": "al cf Cf vs Dr Prof", "number": "ca", "lower": "etc"}
+
 #: Languages by the script whose letters they are written with.
 TABLES_BY_SCRIPT = {
     "latin": ("en", "de", "fr", "es", "pt", "it", "nl"),
@@ -97,7 +101,7 @@ def _alternation(words: str) -> str:
 
 
 def _language_rules(lang: str) -> list[tuple[bool, str, str]]:
-    words = ABBREVIATIONS[lang]
+    words = SHARED if lang == "shared" else ABBREVIATIONS[lang]
     rules = []
     edge = r"(?<![\p{L}\p{N}])"
     if words["always"]:
@@ -134,6 +138,8 @@ GENERAL: list[tuple[bool, str, str]] = [
 class Cascade:
     """The tables of some languages, then the general one. Neighbouring rules of one kind are tried as one pattern."""
 
+    last_word = regex.compile(r"(?r)(?:\p{L}+|\p{Nd})")
+
     def __init__(self, languages: tuple[str, ...]):
         rules = [r for lang in languages for r in _language_rules(lang)] + GENERAL
         merged: list[tuple[bool, list[str], str]] = []
@@ -151,20 +157,22 @@ class Cascade:
         self.rules = [(kind, regex.compile("(?r)(?:" + "|".join(side) + ")"), regex.compile(after)) for kind, side, after in merged]
 
         #: words that some rule names: a mark after any other word of letters is decided by what follows
-        self.named = {part for lang in languages for words in ABBREVIATIONS[lang].values() for w in words.split() for part in w.replace("-", ".").split(".")}
+        tables = [SHARED if lang == "shared" else ABBREVIATIONS[lang] for lang in languages]
+        self.named = {part for words in tables for listed in words.values() for w in listed.split() for part in w.replace("-", ".").split(".")}
 
-    def breaks(self, text: str, low: int, mark: int, at: int) -> bool:
-        """Whether the mark that begins at ``mark``, with its closing marks, ends a unit at ``at``; ``low`` is the unit's start."""
-        if at - mark == 1 and (quick := self._plain(text, low, mark, at)) is not None:
-            return quick
-        low = max(low, at - 28)
+    def breaks(self, text: str, low: int, at: int) -> bool:
+        """Whether a mark with its closing marks ends a unit at ``at``; ``low`` is the unit's start, as far as rules look back."""
         for kind, left, right in self.rules:
             if right.match(text, at) and left.match(text, low, at):
                 return kind
         return False
 
+    def hangs_on_language(self, text: str, low: int, mark: int) -> bool:
+        """Whether the word before a mark is one that only some languages' tables name, or a number, as German ordinals are."""
+        word = self.last_word.match(text, low, mark)
+        return bool(word) and (word[0][-1].isdigit() or word[0] in self.named)
 
-    def _plain(self, text: str, low: int, mark: int, at: int) -> bool | None:
+    def plain(self, text: str, low: int, mark: int, at: int) -> bool | None:
         """What the tables say of a single mark in a plain place, without trying them; None elsewhere."""
         c, nxt = text[mark], text[at : at + 1]
         if c == "." and (nxt.isdigit() or nxt.islower()):
@@ -185,10 +193,12 @@ class Cascade:
         return True if word[-1].isdigit() and ("." in word or "," in word) and word[0].isdigit() else None
 
 
-_CASCADES: dict[str, Cascade] = {}
+_CASCADES: dict[tuple[str, str | None], Cascade] = {}
 
 
-def cascade_for(script: str) -> Cascade:
-    if script not in _CASCADES:
-        _CASCADES[script] = Cascade(TABLES_BY_SCRIPT[script])
-    return _CASCADES[script]
+def cascade_for(script: str, language: str | None = None) -> Cascade:
+    """The tables of a language, or of all languages of a script."""
+    if (script, language) not in _CASCADES:
+        own = TABLES_BY_SCRIPT[script] if language is None else (language,)
+        _CASCADES[script, language] = Cascade((*own, "shared") if script in ("latin", "cyrillic") else own)
+    return _CASCADES[script, language]

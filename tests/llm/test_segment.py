@@ -63,3 +63,13 @@ def test_long_quotations():
         assert cut(f'{first} Then we stop. It was so. The end says {a}So. It was.{b} and ends.') == [first, "Then we stop.", "It was so.", f"The end says {a}So. It was.{b} and ends."]
     for odd in ("«a. " * 30_000, "\\(a. " * 30_000, '("a. ' * 30_000, "[a\n" * 30_000):
         assert units(odd)
+
+
+def test_tables_by_language():
+    for text in ("It is so ca. Two more came.", "He gave it to Me. Then he left.", "They bought es. Other things followed.", "So that is what they call the number n. (It was so from the start.)"):
+        first = text.split(". ")[0] + "."
+        assert cut(text) == [first, text[len(first) + 1 :]]
+    for text in ("D'après l'éq. 5, la limite reste sous 5,4.", "El Sr. Tolva llama a esto griel.", "Das sind ca. 5 Zeilen, vgl. Abb. 3 und Gl. 4.", "We call it ori, a.k.a. the linear one."):
+        assert cut(text) == [text] and cut("The rows that we count are these. " * 5 + text)[-1] == text
+    # a rule looks back as far as it needs
+    assert len(cut("Am" + " " * 60 + "8. Schritt ist Schluss mit der Zählung.")) == 1
