@@ -1,18 +1,21 @@
 """Evaluation texts within a corpus, by suffix arrays over shards of it.
 
 Texts become tokens as a reader compares them: without case, accents, punctuation, markup, layout and typographic forms.
-Items in Chinese are compared by letters and digits, all others by words. A shard keeps only stretches of tokens that all
-occur in some item and are long enough for a match; everything else can't be part of one. Its suffix array is searched
-for every suffix of every item at once; all places that share the least number of tokens form a range of the array, and
-the places on one diagonal join to the longest verbatim match.
-
-The items are shared with all tasks in blocks of at most ``block_chars`` signs; more items than that take more passes.
-Null and empty texts match nothing.
+Items in scripts that don't part words by blanks are compared by letters and digits, all others by words. A shard keeps
+only stretches of tokens that all occur in some item and are long enough for a match; everything else can't be part of
+one. Its suffix array is searched for the suffixes of the items, a bounded number at once; all places that share the least
+number of tokens form a range of the array, and the places on one diagonal join to the longest verbatim match. Places are
+expanded for some items at a time, so that a passage of many items in many documents costs rows, not memory.
+
+The items are shared with all tasks in blocks of at most ``block_chars`` signs, as whole numbers of four bytes a token. More
+items than that take more passes, one after another: the driver holds one block, and each pass's matches are written to
+the shared folder. Null and empty texts match nothing.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.held import held
+
 _INVISIBLE = regex.compile(r"[­​-‏⁠﻿‪-‮]")
 _INLINE = regex.compile(r"</?(?:b|i|u|em|strong|span|a|sub|sup|mark|code|font|small|s|wbr)\b[^<>]{0,200}>", regex.I)
 _TAG = regex.compile(r"</?[a-zA-Z!][^<>]{0,300}>")
@@ -29,7 +34,8 @@ _MARKS = regex.compile(r"[*_`~\\]+")
 _ITEM = regex.compile(r"(?:\A|(?<=[.!?:;。？！…]\s{0,3}\n)|(?<=\n\s{0,3}\n))\s*(?:\(?\d{1,3}[.)]|[-•>#|+]+)\s+(?=\S)")
 _QUOTE = regex.compile(r"^\s*(?:>\s?)+", regex.M)
 _TOKEN = regex.compile(r"[^\W_]+")
-_HAN = regex.compile(r"\p{Han}")
+_SIGNS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+_LETTERS = regex.compile(r"\p{L}")
 _BROKEN = regex.compile(r"[-‐‑]\s*\n\s*")
 _FOLD = str.maketrans({"æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i", "’": "'", "‘": "'", "‐": "-", "‑": "-"})
 
@@ -69,6 +75,13 @@ def sign_tokens(text: str) -> list[str]:
     return [c for c in text if c.isalnum()]
 
 
+def by_signs(text: str, lang: str | None) -> bool:
+    """Whether an item is compared by signs: by its language, or else by most of its letters."""
+    if lang:
+        return lang.lower()[:2] in ("zh", "ja", "th")
+    return 2 * len(_SIGNS.findall(text)) > len(_LETTERS.findall(text))
+
+
 class Queries:
     """The tokens of items that are compared in one way, as numbers, one after another."""
 
@@ -76,14 +89,30 @@ class Queries:
         self.least = least
         self.code: dict[str, int] = {}
         kept = [(i, t) for i, t in zip(ids, texts) if len(t) >= least]
-        seqs = [np.array([self.code.setdefault(w, len(self.code) + 1) for w in t], dtype=np.int64) for _, t in kept]
         self.ids = np.array([i for i, _ in kept], dtype=np.int64)
-        n = [len(s) - least + 1 for s in seqs]
-        #: item and offset of every suffix long enough to match
-        self.item = np.repeat(np.arange(len(seqs)), n) if seqs else np.zeros(0, dtype=np.int64)
-        self.offset = np.concatenate([np.arange(k) for k in n]) if seqs else np.zeros(0, dtype=np.int64)
-        #: their first ``least`` tokens
-        self.heads = np.concatenate([np.lib.stride_tricks.sliding_window_view(s, least) for s in seqs]) if seqs else np.zeros((0, least), dtype=np.int64)
+        self.tokens = np.fromiter((self.code.setdefault(w, len(self.code) + 1) for _, t in kept for w in t), dtype=np.int32)
+        self.ends = np.cumsum([len(t) for _, t in kept], dtype=np.int64)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, tokens: np.ndarray, ends: np.ndarray, code: dict[str, int], least: int) -> Queries:
+        q = cls([], [], least)
+        q.ids, q.tokens, q.ends, q.code = ids, tokens, ends, code
+        return q
+
+    def heads(self, size: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, offset, first ``least`` tokens) of every suffix long enough to match, of some whole items at a time."""
+        item = 0
+        while item < len(self.ids):
+            start = int(self.ends[item - 1]) if item else 0
+            last = max(item + 1, int(np.searchsorted(self.ends, start + size, side="right")))
+            ends = self.ends[item:last]
+            lengths = np.diff(np.concatenate(([start], ends)))
+            n = lengths - self.least + 1
+            which = np.repeat(np.arange(item, last), n)
+            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            windows = np.lib.stride_tricks.sliding_window_view(self.tokens, self.least)
+            yield which, offset, windows[np.repeat(ends - lengths, n) + offset]
+            item = last
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -150,25 +179,45 @@ class Shard:
                 self.places.append(np.arange(a, b))
                 self.size += int(b - a)
 
-    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, item, tokens matched, offset in the item, place in the document) of the longest match of each pair."""
+    def matches(self, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(doc, item, tokens matched, offset in the item, place in the document) of the longest match of each pair, from some
+        items at a time: those with at most ``most`` places together, or one item."""
         q = self.queries
-        none = (np.zeros(0, dtype=np.int64),) * 5
         if not self.parts or not len(q.ids):
-            return none
+            return
         # a number of its own ends each stretch: no match runs over it
         top = len(q.code) + 1
         tokens = np.concatenate([np.append(p, top + k) for k, p in enumerate(self.parts)])
         docs = np.concatenate([np.append(d, d[-1]) for d in self.docs])
         places = np.concatenate([np.append(p, p[-1] + 1) for p in self.places])
         order = suffix_array(tokens)
-        low, high = search(tokens, order, q.heads)
-        n = high - low
-        if not n.any():
-            return none
+        begun = np.unique(tokens[:-1] * (2 * top) + np.minimum(tokens[1:], top))  # two tokens that a place here begins with
+        for item, offset, heads in q.heads():
+            here = np.isin(heads[:, 0].astype(np.int64) * (2 * top) + heads[:, 1], begun)
+            item, offset, heads = item[here], offset[here], heads[here]
+            if not len(item):
+                continue
+            low, high = search(tokens, order, heads)
+            n = high - low
+            found = n > 0
+            item, offset, low, n = item[found], offset[found], low[found], n[found]
+            if not len(item):
+                continue
+            ends = np.append(np.flatnonzero(np.diff(item)) + 1, len(item))  # after the last suffix of each item
+            upto = np.cumsum(n)[ends - 1]
+            k = at = 0
+            while k < len(ends):
+                before = int(upto[k - 1]) if k else 0
+                j = max(k + 1, int(np.searchsorted(upto, before + most, side="right")))
+                part = slice(at, int(ends[j - 1]))
+                yield self._longest(order, docs, places, item[part], offset[part], low[part], n[part])
+                k, at = j, part.stop
+
+    def _longest(self, order, docs, places, item, offset, low, n):
+        q = self.queries
         which = np.repeat(np.arange(len(n)), n)
         at = order[np.repeat(low, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-        item, offset = q.item[which], q.offset[which]
+        item, offset = item[which], offset[which]
         # neighbouring places on one diagonal are one match
         by = np.lexsort((at, at - offset, item))
         at, item, offset = at[by], item[by], offset[by]
@@ -182,16 +231,17 @@ class Shard:
         return d[keep], q.ids[i[keep]], length[keep], o[keep], p[keep]
 
 
-def _searcher(words: Queries, signs: Queries, shard_tokens: int):
+def _searcher(shared, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, signs = (Queries.of(*parts) for parts in shared.value)
         shards = {"word": Shard(words), "sign": Shard(signs)}
 
-        def flush(unit: str) -> pa.RecordBatch:
-            d, i, n, o, p = shards[unit].matches()
+        def flush(unit: str) -> Iterator[pa.RecordBatch]:
+            for d, i, n, o, p in shards[unit].matches():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d), pa.array(i), pa.array([unit] * len(d), pa.string()), *(pa.array(x, pa.int32()) for x in (n, o, p))], ["doc_id", "item_id", "unit", "matched", "item_offset", "doc_offset"]
+                )
             shards[unit] = Shard(shards[unit].queries)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(i), pa.array([unit] * len(d), pa.string()), *(pa.array(x, pa.int32()) for x in (n, o, p))], ["doc_id", "item_id", "unit", "matched", "item_offset", "doc_offset"]
-            )
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -199,48 +249,66 @@ def _searcher(words: Queries, signs: Queries, shard_tokens: int):
                     continue
                 low = plain(text)
                 shards["word"].add(doc, word_tokens(low, words.code))
-                if len(signs.ids) and _HAN.search(low):
+                if len(signs.ids) and _SIGNS.search(low):
                     shards["sign"].add(doc, sign_tokens(low))
                 for unit, shard in shards.items():
                     if shard.size >= shard_tokens:
-                        yield flush(unit)
+                        yield from flush(unit)
         for unit in shards:
-            yield flush(unit)
+            yield from flush(unit)
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, least_words: int = 12, least_signs: int = 24, block_chars: int = 20_000_000, shard_tokens: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, unit, matched, item_offset, doc_offset): every document and item that share a long enough passage.
-
-    ``matched`` is the length of the longest one, in words or, of Chinese items, in letters and digits; the offsets count
-    the same. Items shorter than the least length can't leak by this measure.
-    """
-    out: DataFrame | None = None
+def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str, str | None]]]:
+    """The items in blocks of at most ``most`` signs, or one item; a partition of them is at the driver at a time."""
     block: list[tuple[int, str, str | None]] = []
     size = 0
-
-    def search_block() -> DataFrame:
-        flat = [(i, plain(t), lang) for i, t, lang in block]
-        chinese = [(lang or "").lower().startswith("zh") or (lang is None and bool(_HAN.search(t))) for _, t, lang in flat]
-        words = [(i, word_tokens(t)) for (i, t, _), zh in zip(flat, chinese) if not zh]
-        signs = [(i, sign_tokens(t)) for (i, t, _), zh in zip(flat, chinese) if zh]
-        run = _searcher(Queries([i for i, _ in words], [t for _, t in words], least_words), Queries([i for i, _ in signs], [t for _, t in signs], least_signs), shard_tokens)
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, unit string, matched int, item_offset int, doc_offset int")
-
-    for row in items.where(F.col("text").isNotNull()).select("item_id", "text", "lang").orderBy("item_id").toLocalIterator():
+    for row in items.where(F.length("text") > 0).select("item_id", "text", "lang").toLocalIterator():
+        if block and size + len(row.text) > most:
+            yield block
+            block, size = [], 0
         block.append((row.item_id, row.text, row.lang))
         size += len(row.text)
-        if size >= block_chars:
-            found = search_block()
-            out, block, size = (found if out is None else out.unionByName(found)), [], 0
-    if block or out is None:
-        found = search_block()
-        out = found if out is None else out.unionByName(found)
+    yield block
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """Of each document and item the longest match, the first of equally long ones."""
     best = F.max(F.struct("matched", (-F.col("doc_offset")).alias("d"), (-F.col("item_offset")).alias("i"), "unit")).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", "b.unit", "b.matched", (-F.col("b.i")).alias("item_offset"), (-F.col("b.d")).alias("doc_offset")
-    )
+    one = found.groupBy("doc_id", "item_id").agg(best)
+    return one.select("doc_id", "item_id", "b.unit", "b.matched", (-F.col("b.i")).alias("item_offset"), (-F.col("b.d")).alias("doc_offset"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, least_words: int = 12, least_signs: int = 24, block_chars: int = 8_000_000, shard_tokens: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id, unit, matched, item_offset, doc_offset): every document and item that share a long enough passage.
+
+    ``matched`` is the length of the longest one, in words or, of items compared by signs, in letters and digits; the offsets
+    count the same. Items shorter than the least length can't leak by this measure. Repeated items count once.
+    """
+    spark = docs.sparkSession
+
+    def search_block(block: list[tuple[int, str, str | None]]) -> tuple[DataFrame, object]:
+        flat = [(i, plain(t), lang) for i, t, lang in dict.fromkeys(block)]
+        signs = {i: by_signs(t, lang) for i, t, lang in flat}
+        parts = [[(i, t) for i, t, _ in flat if signs[i] is kind] for kind in (False, True)]
+        made = (Queries([i for i, _ in parts[0]], [word_tokens(t) for _, t in parts[0]], least_words), Queries([i for i, _ in parts[1]], [sign_tokens(t) for _, t in parts[1]], least_signs))
+        # at most block_chars signs: some 8 bytes for each, vocabulary included
+        shared = spark.sparkContext.broadcast(tuple((q.ids, q.tokens, q.ends, q.code, q.least) for q in made))
+        got = docs.select("doc_id", "text").mapInArrow(_searcher(shared, shard_tokens), "doc_id long, item_id long, unit string, matched int, item_offset int, doc_offset int")
+        return _best(got), shared
+
+    blocks = _blocks(items, block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return search_block(first)[0]
+    out: DataFrame | None = None
+    for block in itertools.chain([first, second], blocks):
+        found, shared = search_block(block)
+        found = held(found)
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return _best(out)
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -250,5 +318,5 @@ def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents that hold no passage of any item."""
+    """The documents that hold no passage of any item, with all their columns. Null ids are kept: they can't be told affected."""
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")

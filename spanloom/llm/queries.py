@@ -64,7 +64,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
-    return without_leaks(_t(spark, d, "documents").select("doc_id", "source"), _leaks(spark, d))
+    return without_leaks(_t(spark, d, "documents").select("doc_id", "text", "lang", "source"), _leaks(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

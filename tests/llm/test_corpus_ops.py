@@ -56,6 +56,28 @@ def test_leaks_brute_force(spark):
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
 
 
+def test_shared_header(spark, monkeypatch):
+    import numpy as np
+
+    from spanloom.llm.leakage import Queries, Shard
+
+    header = [f"h{k}" for k in range(40)]
+    q = Queries(list(range(100, 150)), [header + [f"i{n}_{k}" for k in range(20)] for n in range(50)], 12)
+    assert sum(len(i) for i, _, _ in q.heads(300)) == 50 * 49 and max(len(h) for _, _, h in q.heads(300)) <= 300
+    shard = Shard(q)
+    for doc in range(80):
+        shard.add(doc, ["x"] * 5 + header + ["y"])
+    pieces = list(shard.matches(most=9000))
+    assert len(pieces) > 10 and max(len(p[0]) for p in pieces) <= 9000 // 29
+    d, i, n, o, p = (np.concatenate(x) for x in zip(*pieces))
+    assert len(set(zip(d.tolist(), i.tolist()))) == len(d) == 80 * 50 and set(n) == {40} and set(o) == {0} and set(p) == {5}
+    ja = "この表の各行の数を数えると答えは全部で四十二個になることが分かります"
+    items = spark.createDataFrame([(1, ja, "ja", None), (1, ja, "ja", None), (2, " ".join(header), "en", None)], "item_id long, text string, lang string, suite string")
+    docs = spark.createDataFrame([(1, "x " + ja + "。", 0), (2, " ".join(header), 0), (None, "x", 0)], "doc_id long, text string, matched int")
+    for block in (40, 8_000_000):
+        assert sorted((r.doc_id, r.item_id, r.unit) for r in leaks(docs, items, block_chars=block).collect()) == [(1, 1, "sign"), (2, 2, "word")]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(DOCS.replace("0.001", "0.01"))
