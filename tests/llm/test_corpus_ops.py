@@ -6,7 +6,7 @@ import pytest
 
 from spanloom.llm.langid import document_languages, fit_model, relabelled
 from spanloom.llm.leakage import leaked_items, leaks, plain, sign_tokens, suffix_array, without_leaks, word_tokens
-from spanloom.llm.mixing import budgets, count_tokens, fill, mixture, mixture_shares
+from spanloom.llm.mixing import budgets, count_tokens, fill, mixture, mixture_shares, source_budgets
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -120,8 +120,23 @@ def test_names_and_unknown_languages(docs):
 
 def test_fill():
     assert fill({"a": 10, "b": 100, "c": 0}, {"a": 0.5, "b": 0.25, "c": 0.25}, 60) == {"a": 10, "b": 50, "c": 0}
-    got = budgets({("s", "en"): (10, 1), ("s", "de"): (30, 1), ("r", "en"): (100, 2)}, {"s": 0.8, "r": 0.2}, {("s", "en"): 0.9, ("s", "de"): 0.1}, 50)
-    assert got == {("s", "en"): 10.0, ("s", "de"): 30.0, ("r", "en"): 10.0}
+    leaves = {("s", "en"): (10, 1), ("s", "de"): (30, 1), ("r", "en"): (100, 2)}
+    assert budgets(leaves, {("s", "en"): 0.72, ("s", "de"): 0.08, ("r", "en"): 0.2}, 50) == {("s", "en"): 10.0, ("s", "de"): 30.0, ("r", "en"): 10.0}
+
+
+def test_tree_of_domains():
+    # a short source leaves its part to its siblings first: notes in German stay as many as before
+    leaves = {("note", "de", "a"): (10, 1), ("note", "de", "b"): (90, 2), ("note", "en", "b"): (100, 2), ("talk", "en", "c"): (100, 2)}
+    weights = {("note", "de", "a"): 0.3, ("note", "de", "b"): 0.2, ("note", "en", "b"): 0.2, ("talk", "en", "c"): 0.3}
+    got = budgets(leaves, weights, 100)
+    assert got == {("note", "de", "a"): 10, ("note", "de", "b"): pytest.approx(40), ("note", "en", "b"): pytest.approx(20), ("talk", "en", "c"): pytest.approx(30)}
+    # sources get their shares of what all give: 10, and 0.4 to 0.3 of the rest
+    fitted = source_budgets(leaves, {"a": 0.3, "b": 0.4, "c": 0.3, "absent": 0.0}, 100)
+    by = {s: sum(v for p, v in fitted.items() if p[-1] == s) for s in "abc"}
+    assert by == {"a": pytest.approx(10, abs=1e-3), "b": pytest.approx(90 * 4 / 7, abs=1e-3), "c": pytest.approx(90 * 3 / 7, abs=1e-3)}
+    # a domain's given weight stands before the shares
+    forced = source_budgets(leaves, {"a": 0.3, "b": 0.4, "c": 0.3}, 100, {("note",): 0.5, ("talk",): 0.5})
+    assert sum(v for p, v in forced.items() if p[0] == "talk") == pytest.approx(50, abs=1e-3)
 
 
 def test_mixture(spark):
