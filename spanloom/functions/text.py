@@ -135,19 +135,19 @@ def safe_name(c: Column) -> Column:
 def locate_forward(text: Column, parts: Column, short: int = 60) -> Column:
     """Start of each part in the text at or after the end of the one found before; else of its first ``short`` signs; else null.
 
-    The cursor moves on by the length that was found.
+    Parts are looked for without white space at their ends; blank ones and null have no place. The cursor moves on by the
+    length of the whole part, also where only its first signs were found.
     """
     seed = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("at"))
 
     def step(acc: Column, part: Column) -> Column:
         whole = F.position(part, text, acc["cursor"] + 1)
         head = F.position(F.left(part, F.lit(short)), text, acc["cursor"] + 1)
-        hit = F.when(whole > 0, whole).when(head > 0, head)
-        size = F.when(whole > 0, F.length(part)).otherwise(F.least(F.length(part), F.lit(short)))
-        moved = F.when(hit.isNotNull(), hit - 1 + size).otherwise(acc["cursor"])
+        hit = F.when(F.length(part) > 0, F.when(whole > 0, whole).when(head > 0, head))
+        moved = F.when(hit.isNotNull(), hit - 1 + F.length(part)).otherwise(acc["cursor"])
         return F.struct(moved.cast("int").alias("cursor"), F.array_append(acc["at"], (hit - 1).cast("int")).alias("at"))
 
-    return F.aggregate(parts, seed, step, lambda acc: acc["at"])
+    return F.aggregate(F.transform(parts, strip), seed, step, lambda acc: acc["at"])
 
 
 def mark_region(text: Column, start: Column, end: Column, opening: str = "<<", closing: str = ">>") -> Column:

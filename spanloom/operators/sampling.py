@@ -54,7 +54,8 @@ def fold_table(problems: list[str], folds: int = 5, seed: int = 42, kind: str =
 
 
 def contrast_pairs(df: DataFrame, problem: str, key: str, label: str, most: int = 16) -> DataFrame:
-    """(problem, pos, neg): of each problem with both labels, up to ``most`` pairs; the shorter side is repeated in turn.
+    """(problem, pos, neg): of each problem with both labels ``most`` pairs; sides with fewer traces are repeated in turn, so that
+    problems weigh alike.
 
     Both sides are numbered in hash order and cut to ``most`` before they meet, so a problem gives at most that many rows.
     """
@@ -62,6 +63,5 @@ def contrast_pairs(df: DataFrame, problem: str, key: str, label: str, most: int
     numbered = df.where(F.col(label).isNotNull()).select(problem, F.col(key).alias("k"), F.col(label).alias("y"), (F.row_number().over(order) - 1).alias("i")).where(F.col("i") < most)
     side = lambda y, name: numbered.where(F.col("y") == y).groupBy(problem).agg(F.sort_array(F.collect_list(F.struct("i", "k"))).alias(name))
     both = side(True, "p").join(side(False, "q"), problem)
-    n = F.least(F.lit(most), F.greatest(F.size("p"), F.size("q")))
-    each = both.select(problem, "p", "q", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    each = both.select(problem, "p", "q", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("j"))
     return each.select(problem, F.get("p", F.col("j") % F.size("p"))["k"].alias("pos"), F.get("q", F.col("j") % F.size("q"))["k"].alias("neg"))

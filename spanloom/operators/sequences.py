@@ -114,6 +114,14 @@ def next_same(ev: DataFrame) -> DataFrame:
     return ev.withColumn("next_pos", F.coalesce(F.lead("pos").over(own), F.col("n")))
 
 
+def regions(places: DataFrame) -> DataFrame:
+    """(trace_id, k, start, stop) from (trace_id, k, op, start, length): of each place that was found, up to the next one of the
+    same operator, else to the text's end."""
+    own = Window.partitionBy("trace_id", "op").orderBy("k")
+    found = places.where(F.col("start").isNotNull())
+    return found.select("trace_id", "k", "start", F.coalesce(F.lead("start").over(own), F.col("length")).alias("stop"))
+
+
 def previous(ev: DataFrame) -> DataFrame:
     order = Window.partitionBy("trace_id").orderBy("pos")
     return ev.withColumn("prev_op", F.lag("op").over(order))

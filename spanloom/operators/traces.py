@@ -54,6 +54,32 @@ def not_done(candidates: DataFrame, done: DataFrame, key: str = "trace_id") -> D
     return candidates.join(done.select(key).distinct(), key, "left_anti")
 
 
+def candidates(df: DataFrame, done: DataFrame, *, skip: list[str] = (), dataset: str | None = None, limit: int | None = None, key: str = "trace_id") -> DataFrame:
+    """What is left to grade: not truncated, of no dataset to skip, not done; of one dataset only, and the first by key, if asked."""
+    kept = df.where(~F.coalesce("truncated", F.lit(False)))
+    if skip:
+        kept = kept.where(F.col("dataset").isNull() | ~F.col("dataset").isin(list(skip)))
+    if dataset is not None:
+        kept = kept.where(F.col("dataset") == dataset)
+    left = not_done(kept, done, key)
+    return left if limit is None else left.orderBy(key).limit(limit)
+
+
+def listed(column: str, names: str | None) -> Column:
+    """Whether a column is one of names parted by commas; all rows where none are given."""
+    return F.lit(True) if not names else F.coalesce(F.col(column).isin([n.strip() for n in names.split(",")]), F.lit(False))
+
+
+def remapped(models: DataFrame, registry: DataFrame, fixes: dict[str, str], *, skip: list[str] = (), prefixed: str = "direct") -> DataFrame:
+    """(model, model_id): the registry's id, else the model's own name, either as ``fixes`` has it; ids of the backend
+    ``prefixed`` without a slash get its name before them; null for models to skip."""
+    known = models.select("model").join(registry.select("model", "id", "backend"), "model", "left")
+    base = F.coalesce("id", "model")
+    fixed = F.coalesce(F.create_map(*[F.lit(x) for pair in fixes.items() for x in pair])[base], base) if fixes else base
+    full = F.when((F.col("backend") == prefixed) & ~F.contains(fixed, F.lit("/")), F.concat(F.lit(f"{prefixed}/"), fixed)).otherwise(fixed)
+    return known.select("model", F.when(~F.col("model").isin(list(skip)), full).alias("model_id"))
+
+
 def backfill(df: DataFrame, lookup: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Null fields filled from a lookup by key; the lookup keeps its least row of each key."""
     one = lookup.groupBy(key).agg(F.min(F.struct(*fields)).alias("_l"))

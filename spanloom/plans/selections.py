@@ -65,10 +65,30 @@ def key_synthesis(spark: SparkSession, d: str) -> DataFrame:
     return t.select(tr_ops.trace_key().alias("trace_key")).distinct()
 
 
-@query(f"WITH {TR}, {PR} SELECT trace_id FROM tr WHERE NOT coalesce(truncated, false) AND correct IS NOT NULL AND trace_id NOT IN (SELECT trace_id FROM pr WHERE trace_id IS NOT NULL)")
+@query(f"WITH {TR}, {PR} SELECT trace_id, dataset FROM tr WHERE NOT coalesce(truncated, false) AND dataset NOT IN ('codelore') AND trace_id NOT IN (SELECT trace_id FROM pr WHERE trace_id IS NOT NULL AND correct IS NOT NULL) ORDER BY trace_id LIMIT 40")
 def grading_candidates(spark: SparkSession, d: str) -> DataFrame:
-    t = traces(spark, d, "truncated", "correct").where(~F.coalesce("truncated", F.lit(False)) & F.col("correct").isNotNull())
-    return tr_ops.not_done(t, predictions(spark, d)).select("trace_id")
+    t = traces(spark, d, "truncated", "dataset")
+    return tr_ops.candidates(t, predictions(spark, d).where("correct is not null"), skip=["codelore"], limit=40).select("trace_id", "dataset")
+
+
+@query(f"WITH {TR} SELECT trace_id, dataset, model FROM tr WHERE correct IS NOT NULL AND dataset NOT IN ('bbh','humaneval','arc_agi2') AND dataset IN ('numera', 'gatewise') AND model IN ('tessel-r2', 'quillon-pro', 'oxbow-32b')")
+def judge_candidates(spark: SparkSession, d: str) -> DataFrame:
+    t = traces(spark, d, "dataset", "model", "correct")
+    kept = tr_ops.labelled(t, DROP_DATASETS)
+    return kept.where(tr_ops.listed("dataset", "numera, gatewise") & tr_ops.listed("model", "tessel-r2,quillon-pro, oxbow-32b")).select("trace_id", "dataset", "model")
+
+
+_REGISTRY = [("tessel-r2", "lab/tessel-r2-0711", "hosted"), ("quillon-pro", "quillon-pro-2", "direct"), ("oxbow-32b", "oxbow-32b-old", "hosted"), ("cobble-mix", "cobble", "hosted")]
+_FIXES = {"oxbow-32b-old": "works/oxbow-32b", "fennel-9b": "works/fennel-9b"}
+
+
+@query("""WITH r(model, id, backend) AS (VALUES ('tessel-r2', 'lab/tessel-r2-0711', 'hosted'), ('quillon-pro', 'quillon-pro-2', 'direct'), ('oxbow-32b', 'oxbow-32b-old', 'hosted'), ('cobble-mix', 'cobble', 'hosted')),
+f(a, b) AS (VALUES ('oxbow-32b-old', 'works/oxbow-32b'), ('fennel-9b', 'works/fennel-9b')), m AS (SELECT DISTINCT model FROM final_dataset), j AS (SELECT m.model, coalesce(x.b, r.id, y.b, m.model) AS id, r.backend FROM m LEFT JOIN r USING (model) LEFT JOIN f x ON x.a = r.id LEFT JOIN f y ON y.a = m.model AND r.id IS NULL)
+SELECT model, CASE WHEN model = 'cobble-mix' THEN NULL WHEN backend = 'direct' AND NOT contains(id, '/') THEN 'direct/' || id ELSE id END AS model_id FROM j""")
+def model_ids(spark: SparkSession, d: str) -> DataFrame:
+    registry = spark.createDataFrame(_REGISTRY, "model string, id string, backend string")
+    m = table(spark, d, "final_dataset").select("model").distinct()
+    return tr_ops.remapped(m, registry, _FIXES, skip=["cobble-mix"], prefixed="direct")
 
 
 @query("""WITH u AS (SELECT problem_id, min(answer) AS a FROM problems GROUP BY 1)
@@ -156,7 +176,7 @@ def model_dataset_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TR}, o AS (SELECT problem_id, trace_id, correct, row_number() OVER (PARTITION BY problem_id, correct ORDER BY md5('42:' || trace_id), trace_id) - 1 AS i FROM tr WHERE correct IS NOT NULL),
 c AS (SELECT * FROM o WHERE i < 16), n AS (SELECT problem_id, count(*) FILTER (correct) AS p, count(*) FILTER (NOT correct) AS q FROM c GROUP BY 1),
-j AS (SELECT problem_id, p, q, unnest(range(0, least(16, greatest(p, q)))) AS j FROM n WHERE p > 0 AND q > 0)
+j AS (SELECT problem_id, p, q, unnest(range(0, 16)) AS j FROM n WHERE p > 0 AND q > 0)
 SELECT j.problem_id, a.trace_id AS pos, b.trace_id AS neg FROM j JOIN c a ON a.problem_id = j.problem_id AND a.correct AND a.i = j.j % j.p JOIN c b ON b.problem_id = j.problem_id AND NOT b.correct AND b.i = j.j % j.q""")
 def contrast_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sampling.contrast_pairs(traces(spark, d, "problem_id", "correct"), "problem_id", "trace_id", "correct")
@@ -201,10 +221,41 @@ def first_span_by_word(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("cluster", "word").agg(F.min("at").alias("at")).select("cluster", "word", "at.*")
 
 
-@query("SELECT trace_id, max(d100) AS d100 FROM (SELECT trace_id, d100 FROM predictions UNION ALL SELECT trace_id, d100 FROM predictions) GROUP BY 1")
+_TWO = "u AS (SELECT trace_id, 1 AS file, d100 AS score FROM predictions WHERE dataset < 'm' AND d100 IS NOT NULL UNION ALL SELECT trace_id, 2, op_cross FROM predictions WHERE dataset > 'd' AND op_cross IS NOT NULL)"
+
+
+def _two_files(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of two overlapping files, as one table; each keeps the rows that have its score."""
+    p = table(spark, d, "predictions")
+    a = p.where("dataset < 'm' and d100 is not null").select("trace_id", F.lit(1).alias("file"), F.col("d100").alias("score"))
+    return a.unionByName(p.where("dataset > 'd' and op_cross is not null").select("trace_id", F.lit(2).alias("file"), F.col("op_cross").alias("score")))
+
+
+@query(f"WITH {_TWO} SELECT trace_id, file, score FROM u")
+def union_all(spark: SparkSession, d: str) -> DataFrame:
+    return _two_files(spark, d)
+
+
+@query(f"WITH {_TWO} SELECT trace_id, file, max(score) AS score FROM (SELECT *, max(file) OVER (PARTITION BY trace_id) AS last FROM u) WHERE file = last GROUP BY ALL")
 def union_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "predictions").select("trace_id", "d100")
-    return tr_ops.latest(p.unionByName(p), "d100", by=("d100",))
+    return tr_ops.latest(_two_files(spark, d), "file", "score", by=("file", "score"))
+
+
+@query(f"WITH {SP}, e AS (SELECT DISTINCT lower(ngram) AS ngram, md5(lower(ngram)) AS v FROM sp WHERE ngram IS NOT NULL AND length(ngram) > 6), c AS (SELECT lower(ngram) AS ngram, min(cluster) AS cluster FROM sp WHERE cluster >= 0 AND ngram IS NOT NULL GROUP BY 1) SELECT ngram, cluster, v FROM c JOIN e USING (ngram)")
+def phrase_vectors(spark: SparkSession, d: str) -> DataFrame:
+    s = spans(spark, d, "cluster", "ngram").where("ngram is not null")
+    vectors = s.where(F.length("ngram") > 6).select(F.lower("ngram").alias("ngram"), F.md5(F.lower("ngram")).alias("v")).distinct()  # stand-ins for embeddings
+    clusters = s.where("cluster >= 0").groupBy(F.lower("ngram").alias("ngram")).agg(F.min("cluster").alias("cluster"))
+    return clusters.join(vectors, "ngram").select("ngram", "cluster", "v")
+
+
+@query("""WITH p AS (SELECT DISTINCT problem_id, test_cases AS j FROM problems WHERE test_cases IS NOT NULL AND test_cases <> '') SELECT problem_id, json_array_length(j) AS n, json_extract_string(j, '$[0].input') AS input, json_extract_string(j, '$[0].output') AS output,
+ '{"input":' || to_json(json_extract_string(j, '$[0].input')) || ',"output":' || to_json(json_extract_string(j, '$[0].output')) || '}' AS first FROM p""")
+def nested_answers(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "problems").where("test_cases <> ''").select("problem_id", "test_cases").distinct()
+    cases = F.from_json("test_cases", "array<struct<input:string,output:string>>")
+    first = F.get(cases, F.lit(0))
+    return p.select("problem_id", F.size(cases).cast("bigint").alias("n"), first["input"].alias("input"), first["output"].alias("output"), F.to_json(first).alias("first"))
 
 
 @query(f"WITH {TR} SELECT DISTINCT trace_id FROM tr WHERE trace_id NOT IN (SELECT trace_id FROM spans_clustered)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import grading as g
 from spanloom.functions import text as x
 from spanloom.operators import pivots as pv
+from spanloom.operators import sequences as seq
 from spanloom.plans.tables import SP, TR, WS, spans, table, traces
 
 QUERIES: dict = {}
@@ -153,45 +154,102 @@ def span_texts(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d, "anchor", "body").select("trace_id", "span_idx", x.full_text(a, b).alias("full_text"), x.topic_sentence(a, b, 200).alias("topic"), x.span_text(a, b).alias("span_text"))
 
 
-@query(r"""WITH g AS (SELECT DISTINCT trace_id, gold_answer AS a FROM final_dataset) SELECT DISTINCT a AS answer,
- lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '[\s$,%]', '', 'g'), '\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}', '\1/\2', 'g'), '\\sqrt\{([^{}]*)\}', 'sqrt(\1)', 'g'), '\\[a-zA-Z]+', '', 'g'), '[{}\\]', '', 'g')) AS plain, try_cast(a AS DOUBLE) IS NOT NULL AS is_number FROM g WHERE a IS NOT NULL""")
+_ALONE = r"regexp_extract_all(regexp_replace({c}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])({what})(?:$|[^\p{{L}}\p{{N}}_])', 1)"
+_DIGITS = f"translate({{c}}, '{g.DIGITS}', '{'0123456789' * 4}')"
+
+
+def _hit(c: str, pattern: str, at: int = 1, group: int = 1) -> str:
+    return f"list_extract(regexp_extract_all({c}, '{pattern}', {group}), {at})"
+
+
+def _plain(c: str) -> str:
+    e = f"regexp_replace({_strip(c)}, '\\.+$', '')"
+    for what, by in ((f"[{WS}$,%]", ""), (r"\\frac\{([^}]+)\}\{([^}]+)\}", r"\1/\2"), (r"\\[dt]frac\{([^}]+)\}\{([^}]+)\}", r"\1/\2"), (r"\\sqrt\{([^}]+)\}", r"sqrt(\1)"), (r"\\(text|mathrm|mathbf|textbf|left|right|big|Big)", ""), (r"\\[a-zA-Z]+", ""), ("[{}]", "")):
+        e = f"regexp_replace({e}, '{what}', '{by}', 'g')"
+    return f"lower({e})"
+
+
+def _number(c: str) -> str:
+    d = _DIGITS.format(c=c)
+    return f"CASE WHEN regexp_full_match({d}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast({d} AS DOUBLE) END"
+
+
+@query(f"WITH z AS (SELECT DISTINCT gold_answer AS answer FROM final_dataset WHERE gold_answer IS NOT NULL) SELECT answer, {_plain('answer')} AS plain, ({_number('answer')}) IS NOT NULL AS is_number FROM z")
 def answer_forms(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "final_dataset").where("gold_answer is not null").select(F.col("gold_answer").alias("answer")).distinct()
-    return a.select("answer", g.plain_math(F.col("answer")).alias("plain"), F.col("answer").try_cast("double").isNotNull().alias("is_number"))
+    return a.select("answer", g.plain_math(F.col("answer")).alias("plain"), g.as_number(F.col("answer")).isNotNull().alias("is_number"))
 
 
-_CHOICE = r"""upper(coalesce(list_extract(regexp_extract_all(r, '(?i)answer\s*(?:is|:)\s*\**\(?([A-J])(?:$|[^\p{L}\p{N}_])', 1), -1), list_extract(regexp_extract_all(r, '\\boxed\{\s*(?:\\text\{)?\(?([A-J])\)?', 1), -1),
- list_extract(regexp_extract_all(r, '\(([A-J])\)', 1), -1), list_extract(regexp_extract_all(regexp_replace(r, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-J])(?:$|[^\p{L}\p{N}_])', 1), -1)))"""
+# the first or last match of each rule, in the rules' order
+_RULES = [
+    _hit("r", rf"(?i)(?:the answer is|the answer:)[{WS}]*\(?([A-J])\)?"), _hit("r", rf"(?i)answer[{WS}]*:[{WS}]*\$?\(?([A-J])\)?\$?"), _hit("r", rf"(?i)(?:choose|pick|select|choice)[{WS}]*:?[{WS}]*\(?([A-J])\)?"),
+    _hit("r", r"\(([A-J])\)", -1), _hit("r", r"\*\*\(?([A-J])\)?\*\*"), f"list_extract({_ALONE.format(c='r', what='[A-J]')}, -1)",
+]
+_CHOICE = f"upper(coalesce({', '.join(_RULES)}))"
+_FIELD = _strip(_hit("r", rf"(?i)answer[{WS}]*:[{WS}]*([^\n]+)"))
+_BOXED = f"""CASE WHEN contains(r, '\\boxed{{') THEN {_strip("left(tail, (list_extract(list_filter(range(1, length(tail) + 1), lambda i: substr(tail, i, 1) = '}' AND len(regexp_extract_all(left(tail, i), '\\}')) = len(regexp_extract_all(left(tail, i), '\\{')) + 1), 1) - 1)::INT)")} END"""
+_ANSWERS = f"""z AS (SELECT trace_id, dataset, model_response AS r, gold_answer AS gold, list_extract(string_split(model_response, '\\boxed{{'), -1) AS tail FROM tr),
+y AS (SELECT *, {_CHOICE} AS choice, {_FIELD} AS stated, {_BOXED} AS boxed FROM z)"""
 
 
-@query(rf"WITH {TR}, z AS (SELECT trace_id, model_response AS r FROM tr) SELECT trace_id, {_CHOICE} AS choice, trim(list_extract(regexp_extract_all(r, '(?i)answer\s*:\s*([^\n]+)', 1), -1)) AS stated FROM z")
+@query(f"WITH {TR}, {_ANSWERS} SELECT trace_id, choice, stated FROM y")
 def answer_choice(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("model_response")
     return traces(spark, d, "model_response").select("trace_id", g.choice(r).alias("choice"), g.answer_field(r).alias("stated"))
 
 
-@query(rf"WITH {TR}, z AS (SELECT trace_id, model_response AS r FROM tr) SELECT trace_id, list_extract(regexp_extract_all(r, '\\boxed\{{([^{{}}]*)\}}', 1), -1) AS boxed FROM z")
+@query(f"WITH {TR}, {_ANSWERS} SELECT trace_id, boxed FROM y")
 def answer_boxed(spark: SparkSession, d: str) -> DataFrame:
     return traces(spark, d, "model_response").select("trace_id", g.boxed(F.col("model_response")).alias("boxed"))
 
 
-@query()
+@query(rf"""WITH {TR}, z AS (SELECT trace_id, reasoning AS r FROM tr), y AS (SELECT trace_id, coalesce({_hit("r", rf"(?s)```python[{WS}]*?\n(.*?)```")}, {_hit("r", rf"(?s)```[{WS}]*?\n(.*?)```")}, {_hit("r", r"(?s)(?:^|\n)((?:def |class |import |from |if |for |while |    ).*)$")}) AS code FROM z) SELECT trace_id, {_strip("code")} AS code FROM y WHERE code IS NOT NULL""")
+def code_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return traces(spark, d, "reasoning").select("trace_id", g.code_block(F.col("reasoning")).alias("code")).where("code is not null")
+
+
+#: How the tables' invented benchmarks are verified here, so that every kind is met.
+_KIND = {"numera": "integer", "tidebench": "math", "codelore": "code", "gatewise": "choice", "scholarmix": "mixed", "polyscope": "phrase", "logicgrid": "grid", "proofline": "math"}
+_EQ = lambda a, b: f"({_plain(a)} = {_plain(b)})"
+_NEQ = lambda a, b: f"coalesce(abs(({_number(_plain(a))}) - ({_number(_plain(b))})) < 1e-6, false)"
+_FIT = lambda e: f"CASE WHEN try_cast({_DIGITS.format(c=e)} AS HUGEINT) <= 999 THEN try_cast({_DIGITS.format(c=e)} AS INT) END"
+_WHOLE = f"""coalesce({_FIT(_hit("boxed", r"\p{Nd}+", group=0))}, {_FIT(_hit("stated", r"\p{Nd}+", group=0))},
+ {_FIT(_hit("r", rf"(?i)the answer is[{WS}]+(\p{{Nd}}{{1,3}})(?:$|[^\p{{L}}\p{{N}}_])"))}, {_FIT(f"list_extract({_ALONE.format(c='r', what=chr(92) + 'p{Nd}{1,3}')}, -1)")})"""
+_LETTER = f"(choice = regexp_replace(upper({_strip('gold')}), '^[()]+|[()]+$', '', 'g'))"
+_SAID = f"coalesce(stated, {_strip(f'list_extract(string_split({_strip(chr(114))}, chr(10)), -1)')})"
+_TOLD = _strip(f"regexp_replace({_strip('coalesce(' + _strip(_hit('r', rf'(?i)(?:the answer is|the answer:|the final answer:)[{WS}]*([^' + chr(92) + r'n]+?)(?:' + chr(92) + r'.|' + chr(92) + 'n?$)')) + ', stated)')}, '^[()]+|[()]+$', '', 'g')")
+
+
+@query(f"""WITH {TR}, {_ANSWERS}, x AS (SELECT *, coalesce(boxed, stated, {_hit("r", r"-?\p{Nd}+(?:[.,]\p{Nd}+)*(?:/\p{Nd}+)?", -1, 0)}) AS math, {_WHOLE} AS whole, {_SAID} AS said, {_TOLD} AS told, {_strip('gold')} AS pure FROM y)
+SELECT trace_id, dataset, whole, CASE WHEN dataset IN ('tidebench', 'proofline') THEN {_EQ("math", "gold")} OR {_NEQ("math", "gold")} WHEN dataset = 'gatewise' THEN {_LETTER}
+ WHEN dataset = 'numera' THEN whole = try_cast(gold AS INT) WHEN dataset = 'scholarmix' THEN CASE WHEN regexp_full_match(pure, '[A-Z]') THEN {_LETTER} ELSE {_EQ("said", "gold")} OR (length(pure) > 2 AND contains(lower(said), lower(pure))) END
+ WHEN dataset = 'polyscope' THEN CASE WHEN regexp_full_match(pure, '\(?[A-Z]\)?') AND regexp_full_match(upper(told), '\p{{L}}') THEN upper(told) = regexp_replace(pure, '[()]', '', 'g')
+   WHEN lower(pure) IN ('yes', 'no', 'true', 'false', 'valid', 'invalid') THEN lower(told) = lower(pure) ELSE {_EQ("told", "gold")} END END AS graded FROM x""")
 def graded_traces(spark: SparkSession, d: str) -> DataFrame:
-    t = traces(spark, d, "model_response", "gold_answer", "correct")
-    r, a = F.col("model_response"), F.col("gold_answer")
-    return t.select("trace_id", g.grade(r, a).alias("graded"), g.integer_answer(r).alias("whole"), "correct")
+    t = traces(spark, d, "dataset", "model_response", "gold_answer")
+    r = F.col("model_response")
+    kind = F.create_map(*[F.lit(x) for pair in _KIND.items() for x in pair])[F.col("dataset")]
+    return t.select("trace_id", "dataset", g.integer_answer(r).alias("whole"), g.verify(kind, r, F.col("gold_answer"), F.lit(None).cast("string")).alias("graded"))
 
 
-_REPLIES = "(VALUES ('Incorrect.'), ('CORRECT'), ('maybe'), ('3, 7'), ('x'), ('YES, it is'), ('no')) AS t(reply)"
+_RELATIONS = ["Attribution", "Background", "Cause", "Comparison", "Condition", "Contrast", "Elaboration", "Enablement", "Evaluation", "Explanation", "Joint", "Manner-Means", "Summary", "Temporal", "Topic-Change", "Topic-Comment"]
+_SAMPLE = ["Incorrect.", "CORRECT", "maybe", "3, 7", "x", "YES, it is", "no", '{"scope": "subproblem"}', "it is local.", "Manner-Means.", "I take Cause; or Contrast", "```python\nx = 1\n```"]
+_REPLIES = "(VALUES " + ", ".join("('" + r.replace("\n", "' || chr(10) || '") + "')" for r in _SAMPLE) + ") AS t(reply)"
 
 
 @query(rf"""SELECT reply, CASE WHEN contains(lower(reply), 'incorrect') THEN 0 WHEN contains(lower(reply), 'correct') THEN 1 END AS verdict,
  CASE WHEN len(regexp_extract_all(reply, '\d+')) >= 2 THEN array_to_string(list_transform(list_slice(regexp_extract_all(reply, '\d+'), 1, 2), lambda v: (v::INT - 1)::VARCHAR), ',') END AS labels,
- CASE WHEN starts_with(upper(trim(reply)), 'YES') THEN true WHEN starts_with(upper(trim(reply)), 'NO') THEN false END AS yes FROM {_REPLIES}""")
+ CASE WHEN starts_with(upper(trim(reply)), 'YES') THEN true WHEN starts_with(upper(trim(reply)), 'NO') THEN false END AS yes,
+ CASE WHEN contains(reply, '"subproblem"') THEN 'SUB_PROBLEM' WHEN regexp_matches(reply, '(?i)\blocal\b') THEN 'LOCAL' ELSE 'UNCLEAR' END AS scope,
+ list_extract(list_filter(list_transform(string_split_regex(reply, '[\s,;]+'), lambda w: regexp_replace(w, '[.,!?;:]+$', '')), lambda w: w IN ({", ".join(f"'{r}'" for r in _RELATIONS)})), 1) AS relation,
+ CASE WHEN starts_with(reply, '```') THEN 'x = 1' ELSE reply END AS code FROM {_REPLIES}""")
 def judge_replies(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(r,) for r in ("Incorrect.", "CORRECT", "maybe", "3, 7", "x", "YES, it is", "no")], "reply string")
+    t = spark.createDataFrame([(r,) for r in _SAMPLE], "reply string")
     c = F.col("reply")
-    return t.select("reply", g.verdict(c).alias("verdict"), F.array_join(g.two_labels(c).cast("array<string>"), ",").alias("labels"), g.yes_no(c).alias("yes"))
+    return t.select(
+        "reply", g.verdict(c).alias("verdict"), F.array_join(g.two_labels(c).cast("array<string>"), ",").alias("labels"), g.yes_no(c).alias("yes"), g.scope(c).alias("scope"), g.relation(c, _RELATIONS).alias("relation"),
+        g.without_fences(c).alias("code"),
+    )
 
 
 @query("""WITH o AS (SELECT problem_id, min(answer) AS a, min(subject) AS s, min(level) AS l FROM problems GROUP BY 1) SELECT problem_id, array_to_string(list_transform(list_filter([a, s, l], lambda v: v IS NOT NULL), lambda v, i: '(' || chr(64 + i::INT) || ') ' || v), chr(10)) AS options FROM o""")
@@ -207,18 +265,46 @@ def category_filter(spark: SparkSession, d: str) -> DataFrame:
     return p.where(F.replace(F.lower("category"), F.lit(" "), F.lit("_")).isin("a", "b") & (F.col("category") != ""))
 
 
-@query()
+@query("""WITH o AS (SELECT problem_id, min(answer) AS a, min(subject) AS s, min(level) AS l FROM problems GROUP BY 1), m AS (SELECT *, list_sort(list_transform(list_filter([a, s, l], lambda v: v IS NOT NULL), lambda v: {'h': md5(v || ':' || problem_id), 'o': v})) AS m FROM o)
+SELECT problem_id, array_to_string(list_transform(m, lambda v: v.o), '|') AS options, chr((64 + list_position(list_transform(m, lambda v: v.o), a))::INT) AS letter FROM m""")
 def option_shuffle(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "problems").groupBy("problem_id").agg(F.min("answer").alias("a"), F.min("subject").alias("s"), F.min("level").alias("l"))
-    mixed = F.sort_array(F.transform(F.array_compact(F.array("a", "s", "l")), lambda o: F.struct(F.xxhash64(o, "problem_id").alias("h"), o.alias("o"))))["o"]
+    mixed = F.sort_array(F.transform(F.array_compact(F.array("a", "s", "l")), lambda o: F.struct(F.md5(F.concat_ws(":", o, "problem_id")).alias("h"), o.alias("o"))))["o"]
     return p.select("problem_id", F.array_join(mixed, "|").alias("options"), F.char(64 + F.array_position(mixed, F.col("a"))).alias("letter"))
 
 
-@query()
-def anchor_places(spark: SparkSession, d: str) -> DataFrame:
-    s = spans(spark, d, "anchor").where("anchor is not null").groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("span_idx", "anchor"))), lambda v: v["anchor"]).alias("anchors"))
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """(trace_id, k, op, start, length): of each trace the clusters of its anchored spans and where they begin in the text."""
+    one = F.sort_array(F.collect_list(F.struct("span_idx", "anchor", "cluster")))
+    s = spans(spark, d, "anchor", "cluster").where("anchor is not null").groupBy("trace_id").agg(one.alias("s"))
     t = traces(spark, d, "reasoning").join(s, "trace_id")
-    return t.select("trace_id", F.posexplode(x.locate_forward(F.col("reasoning"), F.col("anchors"))).alias("k", "start"))
+    at = t.select("trace_id", F.length("reasoning").alias("length"), F.col("s.cluster").alias("ops"), x.locate_forward(F.col("reasoning"), F.col("s.anchor")).alias("at"))
+    return at.select("trace_id", "length", F.posexplode(F.arrays_zip("ops", "at")).alias("k", "z")).select("trace_id", "k", F.col("z.ops").alias("op"), F.col("z.at").alias("start"), "length")
+
+
+_PLACES = f"""an AS (SELECT trace_id, (row_number() OVER (PARTITION BY trace_id ORDER BY span_idx) - 1)::INT AS k, {_strip("anchor")} AS a, cluster FROM sp WHERE anchor IS NOT NULL),
+pl AS (SELECT trace_id, -1 AS k, 0 AS cur, NULL::INT AS start FROM tr UNION ALL
+  SELECT p.trace_id, an.k, CASE WHEN h.hit > 0 THEN (p.cur + h.hit - 1 + length(an.a))::INT ELSE p.cur END, CASE WHEN h.hit > 0 THEN (p.cur + h.hit - 1)::INT END
+  FROM pl p JOIN an ON an.trace_id = p.trace_id AND an.k = p.k + 1 JOIN tr ON tr.trace_id = p.trace_id, LATERAL (SELECT CASE WHEN an.a = '' THEN 0 WHEN strpos(substr(tr.reasoning, p.cur + 1), an.a) > 0 THEN strpos(substr(tr.reasoning, p.cur + 1), an.a) ELSE strpos(substr(tr.reasoning, p.cur + 1), left(an.a, 60)) END AS hit) h)"""
+
+
+@query(f"WITH RECURSIVE {TR}, {SP}, {_PLACES} SELECT trace_id, k, start FROM pl WHERE k >= 0")
+def anchor_places(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(spark, d).select("trace_id", "k", "start")
+
+
+_REGIONS = f"{_PLACES}, re AS (SELECT p.trace_id, p.k, p.start, coalesce((SELECT min(q.start) FROM pl q JOIN an b ON b.trace_id = q.trace_id AND b.k = q.k WHERE q.trace_id = p.trace_id AND q.k > p.k AND b.cluster IS NOT DISTINCT FROM an.cluster AND q.start IS NOT NULL), length(tr.reasoning))::INT AS stop FROM pl p JOIN an ON an.trace_id = p.trace_id AND an.k = p.k JOIN tr ON tr.trace_id = p.trace_id WHERE p.start IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {TR}, {SP}, {_REGIONS} SELECT trace_id, k, start, stop FROM re")
+def operator_regions(spark: SparkSession, d: str) -> DataFrame:
+    return seq.regions(_placed(spark, d))
+
+
+@query(f"WITH RECURSIVE {TR}, {SP}, {_REGIONS}, f AS (SELECT trace_id, arg_min(start, k) AS a, arg_min(stop, k) AS b FROM re GROUP BY 1) SELECT trace_id, left(reasoning, a) || '<<' || substr(reasoning, a + 1, b - a) || '>>' || substr(reasoning, b + 1) AS marked FROM f JOIN tr USING (trace_id)")
+def marked_regions(spark: SparkSession, d: str) -> DataFrame:
+    r = seq.regions(_placed(spark, d)).groupBy("trace_id").agg(F.min(F.struct("k", "start", "stop")).alias("r"))
+    return traces(spark, d, "reasoning").join(r, "trace_id").select("trace_id", x.mark_region(F.col("reasoning"), F.col("r.start"), F.col("r.stop")).alias("marked"))
 
 
 @query(f"WITH {TR} SELECT DISTINCT upper(left(model, 1)) || substr(replace(model, '-', ' '), 2) AS shown, model FROM tr")
@@ -226,11 +312,3 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     m = traces(spark, d, "model").select("model").distinct()
     names = m.select(F.col("model").alias("_m"), F.concat(F.upper(F.left("model", F.lit(1))), F.substr(F.replace("model", F.lit("-"), F.lit(" ")), F.lit(2))).alias("shown"))
     return m.join(names, F.col("model") == F.col("_m"), "left").select("model", F.coalesce("shown", "model").alias("shown"))
-
-
-@query(f"WITH {SP}, {TR}, f AS (SELECT trace_id, arg_min(anchor, span_idx) AS anchor FROM sp WHERE anchor IS NOT NULL AND anchor <> '' GROUP BY 1), z AS (SELECT trace_id, reasoning AS r, anchor, strpos(reasoning, anchor) AS place FROM tr JOIN f USING (trace_id)) SELECT trace_id, CASE WHEN place > 0 THEN left(r, (place - 1)::INT) || '<<' || anchor || '>>' || substr(r, place + length(anchor)) ELSE r END AS marked FROM z")
-def marked_regions(spark: SparkSession, d: str) -> DataFrame:
-    f = spans(spark, d, "anchor").where("anchor is not null and anchor <> ''").groupBy("trace_id").agg(F.min_by("anchor", "span_idx").alias("anchor"))
-    t = traces(spark, d, "reasoning").join(f, "trace_id")
-    start = F.nullif(F.position(F.col("anchor"), F.col("reasoning")), F.lit(0)) - 1
-    return t.select("trace_id", x.mark_region(F.col("reasoning"), start, start + F.length("anchor")).alias("marked"))
