@@ -1,22 +1,14 @@
-"""Learners over traces with MLlib: clusters, text weights, out-of-fold scores, pairwise rankers.
-
-A fold's model never sees its own problems. Folds whose training rows have one class give no score. Training sizes only
-depend on the rows; models and summaries, not rows, reach the driver.
-"""
+"""Clusters with MLlib and text weights. Scores out of fold are in ``folds``."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.held import held
-from spanloom.operators.sampling import with_fold
 
 
 def cluster(df: DataFrame, vector: str, k: int, *, restarts: int = 5, iterations: int = 100, seed: int = 42) -> tuple[DataFrame, float]:
@@ -50,67 +42,3 @@ def tfidf(docs: DataFrame, key: str, tokens: str, size: int = 8000) -> DataFrame
     raw = tf.join(terms, "token").select(key, "token", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
     length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
     return raw.join(length, key).select(key, "token", (F.col("w") / F.col("l")).alias("weight"))
-
-
-def _estimator(kind: str, rows: int):
-    if kind == "logistic":  # the penalty that C = 1 stands for
-        return LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, maxIter=200)
-    if kind == "boosted":
-        return GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42)
-    return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=40, maxDepth=6, seed=42)
-
-
-def out_of_fold(df: DataFrame, key: str, problem: str, label: str, vector: str, *, kind: str = "logistic", folds: int = 5, within: str | None = None) -> DataFrame:
-    """(key, score): each row scored by the model that was fitted to the other folds' problems. ``within``: a group whose
-    rows alone are used, one group after another; else all rows."""
-    data = held(with_fold(df, problem, folds).select(key, *([within] if within else []), "fold", array_to_vector(vector).alias("_x"), F.col(label).cast("double").alias("_y")))
-    sizes: dict = {}
-    for r in data.groupBy(*([within] if within else []), "fold").agg(F.count("_y").alias("n"), F.sum("_y").alias("p")).collect():  # groups x folds
-        sizes.setdefault(r[within] if within else None, {})[r.fold] = (r.n, r.p or 0)
-    parts = []
-    for g in sorted(sizes, key=lambda x: (x is not None, x)):
-        own = data if within is None else data.where(F.col(within).eqNullSafe(F.lit(g)))
-        for f in sorted(sizes[g]):
-            n = sum(s[0] for k, s in sizes[g].items() if k != f)
-            p = sum(s[1] for k, s in sizes[g].items() if k != f)
-            if not 0 < p < n:
-                continue
-            model = _estimator(kind, n).fit(own.where((F.col("fold") != f) & F.col("_y").isNotNull()))
-            parts.append(model.transform(own.where(F.col("fold") == f)).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("score")))
-    return reduce(DataFrame.unionByName, parts, data.select(key, F.lit(None).cast("double").alias("score")).limit(0))
-
-
-def classify_models(df: DataFrame, key: str, problem: str, label: str, vector: str, folds: int = 5) -> DataFrame:
-    """(key, true, pred, prob, probs): the class of each row out of many, out of fold; ``probs`` maps every class to its share."""
-    df = held(df.select(key, problem, label, vector))
-    classes = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
-    code = F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1
-    data = held(with_fold(df, problem, folds).select(key, label, "fold", array_to_vector(vector).alias("_x"), code.cast("double").alias("_y")).where(F.col("_y") >= 0))
-    parts = []
-    for f in sorted(r[0] for r in data.select("fold").distinct().collect()):
-        model = _estimator("forest", 0).fit(data.where(F.col("fold") != f))
-        out = model.transform(data.where(F.col("fold") == f)).withColumn("p", vector_to_array("probability"))
-        names = F.slice(F.array(*map(F.lit, classes)), 1, F.size("p"))
-        best = F.array_position("p", F.array_max("p"))
-        parts.append(out.select(key, F.col(label).alias("true"), F.element_at(names, best.cast("int")).alias("pred"), F.array_max("p").alias("prob"), F.map_from_arrays(names, F.col("p")).alias("probs")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def pairwise_ranker(pairs: DataFrame, vectors: DataFrame, key: str, vector: str) -> list[float]:
-    """Weights that rank the first of each pair over the second, by the logistic loss of their difference.
-
-    ``pairs``: (pos, neg). Every difference is met in both directions, so that both classes are there.
-    """
-    vectors = vectors.select(key, vector)
-    p = vectors.select(F.col(key).alias("pos"), F.col(vector).alias("vp"))
-    q = vectors.select(F.col(key).alias("neg"), F.col(vector).alias("vq"))
-    diff = pairs.join(p, "pos").join(q, "neg").select(F.zip_with("vp", "vq", lambda x, y: x - y).alias("d"))
-    diff = held(diff)
-    both = diff.select(array_to_vector("d").alias("_x"), F.lit(1.0).alias("_y")).unionByName(
-        diff.select(array_to_vector(F.transform("d", lambda x: -x)).alias("_x"), F.lit(0.0).alias("_y"))
-    )
-    return [float(x) for x in LogisticRegression(featuresCol="_x", labelCol="_y", fitIntercept=False, regParam=0.01, standardization=False, maxIter=100).fit(both).coefficients]
-
-
-def linear_score(vector: str, weights: list[float]):
-    return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)

@@ -6,6 +6,8 @@ counts by distinct score, and in a group they are summed over ranges of scores f
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def within_auc(df: DataFrame, outer: list[str], inner: list[str], label: Column,
     return each.groupBy(*outer).agg(F.avg("auc").alias("wp_auc"), F.count("*").alias("n_groups"))
 
 
+def fold_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, mean, deviation, folds) over folds, the deviation that of the folds themselves; null values are left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("deviation"), F.count(value).alias("folds"))
+
+
 def scores_long(df: DataFrame, ids: list[str], scores: list[str]) -> DataFrame:
     return df.unpivot(ids, scores, "method", "score")
 
@@ -98,25 +105,41 @@ def md5_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def random_kappa(df: DataFrame, true: str, key: str, labels: int, trials: int) -> DataFrame:
-    """(mean, deviation, trials) of kappa against labels drawn at random: what chance gives.
+def random_kappa(df: DataFrame, true: str, labels: int, trials: int, seed: int = 42) -> DataFrame:
+    """(mean, deviation, trials) of kappa against labels 0 to ``labels`` - 1 drawn at random: what chance gives.
 
-    Each case meets every trial, and the pairs of labels are counted at once in each task: trials x labels squared rows.
+    Only how many cases of a class get each label counts, so these numbers are drawn, from the multinomial of the class's
+    cases: trials x labels squared rows, however many cases. Null labels are left out.
     """
-    each = df.select(F.col(true).alias("true"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    drawn = each.withColumn("pred", F.pmod(md5_int(F.col("trial"), F.col("k")), F.lit(labels)))
-    per = kappa(drawn.groupBy("trial", "true", "pred").agg(F.count("*").alias("n")), ["trial"])
+    counts = df.where(F.col(true).isNotNull()).groupBy(F.col(true).cast("int").alias("true")).agg(F.count("*").alias("n"))
+    each = counts.select("true", "n", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+
+    def draw(parts):
+        for part in parts:
+            rows = [(t, k, i, int(c)) for t, n, k in zip(part["true"], part["n"], part["trial"]) for i, c in enumerate(np.random.default_rng([seed, int(k), int(t) + 2**31]).multinomial(int(n), [1 / labels] * labels)) if c]
+            yield pd.DataFrame(rows, columns=["true", "trial", "pred", "n"])
+
+    per = kappa(each.mapInPandas(draw, "true int, trial int, pred int, n long"), ["trial"])
     return per.agg(F.avg("kappa").alias("mean"), F.stddev_pop("kappa").alias("deviation"), F.count("*").alias("trials"))
 
 
+def ranked_by(df: DataFrame, h: str, key: str, digits: int = 3) -> DataFrame:
+    """Rows with ``rank`` from 0 in the order of a hexadecimal hash and key: numbered within ranges of hashes that are alike in
+    their first digits, after the counts of the ranges before; no task orders all rows."""
+    part = df.withColumn("_r", F.left(h, F.lit(digits)))
+    ranges = part.groupBy("_r").agg(F.count("*").alias("_n"))
+    before = ranges.select(F.col("_r").alias("_s"), (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_b"))  # 16 ** digits rows
+    inner = F.row_number().over(Window.partitionBy("_r").orderBy(h, key))
+    return part.join(F.broadcast(before), F.col("_r") == F.col("_s")).withColumn("rank", F.col("_b") + inner - 1).drop("_r", "_s", "_b")
+
+
 def bootstrap(values: DataFrame, value: str, key: str, resamples: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(mean, low, high) of the mean of values drawn with replacement as often as there are values.
 
     The j-th draw of a resample is the value whose rank is the hash of resample and j. ``values`` is a table of groups, a
     row each, not of cases; each resample's draws are counted by rank, so that the join moves ranks, not cases.
     """
-    order = Window.orderBy(F.md5(F.col(key)), key)
-    ranked = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(order) - 1).alias("rank"))
+    ranked = ranked_by(values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.md5(F.col(key)).alias("h"), F.col(key).alias("k")), "h", "k").select("v", "rank")
     n = values.agg(F.count(value)).scalar()
     draws = ranked.select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"), F.col("rank").alias("j")).select(
         "b", F.pmod(md5_int(F.col("b"), F.col("j")), n).cast("int").alias("rank")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.sequences import frequencies
 
 
 def rates(df: DataFrame) -> DataFrame:
@@ -78,10 +77,6 @@ def transition_shares(ev: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("op").agg(F.sum("n").alias("t")), "op").select("op", "nxt", "n", (F.col("n") / F.col("t")).alias("share"))
 
 
-def mean_frequencies(ev: DataFrame) -> DataFrame:
-    return frequencies(ev).groupBy("feature").agg(F.sum("value").alias("sum"), F.count("*").alias("traces"))
-
-
 def class_shares(df: DataFrame, column: str) -> DataFrame:
     """(class, n, percent) over the rows that have a class."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))

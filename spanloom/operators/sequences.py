@@ -99,9 +99,8 @@ def vectors(long: DataFrame, names: list[str]) -> DataFrame:
     return per.select("trace_id", F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0))).alias("x"))
 
 
-def feature_names(k: int) -> list[str]:
-    """Of ``k`` operators: shares, quarters, scalars, ends, pairs, runs; 117 for seven."""
-    ops = range(k)
+def feature_names(ops: list[int]) -> list[str]:
+    """Of these operators: shares, quarters, scalars, ends, pairs, runs; 117 for seven."""
     return [
         *(f"freq_{a}" for a in ops), *(f"quarter_{q}_{a}" for q in range(4) for a in ops), "entropy", "greatest", "distinct", "log_length", "repeats",
         *(f"{e}_{a}" for e in ("first", "last") for a in ops), *(f"bigram_{a}_{b}" for a in ops for b in ops), *(f"run_{s}_{a}" for s in ("mean", "max") for a in ops),
@@ -132,9 +131,16 @@ def padded(seq: Column, length: int, pad: int) -> Column:
     return F.slice(F.concat(seq, F.array_repeat(F.lit(pad), length)), 1, length)
 
 
-def trajectories(ev: DataFrame, keep: list[str], *, least_ops: int = 4, shortest: int = 15, longest: int = 80, per_cell: int = 1, seed: str = "42") -> DataFrame:
-    """Sample traces of a middling length and several operators, ``per_cell`` of each cell of ``keep``, by hash."""
+def trajectories(ev: DataFrame, keep: list[str], *, least_ops: int = 4, shortest: int = 15, longest: int = 80, per_cell: int = 1, at_least: int = 0, seed: str = "42") -> DataFrame:
+    """Sample traces of a middling length and several operators, ``per_cell`` of each cell of ``keep``, by hash, then others in
+    hash order up to ``at_least``."""
     per = ev.groupBy("trace_id", *keep).agg(F.max("n").alias("n"), F.count_distinct("op").alias("ops"))
     fit = per.where((F.col("ops") >= least_ops) & F.col("n").between(shortest, longest))
     order = Window.partitionBy(*keep).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "trace_id")), "trace_id")
-    return fit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_cell)
+    h = F.md5(F.concat_ws(":", F.lit(seed), "trace_id"))
+    ranked = fit.withColumn("rank", F.row_number().over(order))
+    first = ranked.where(F.col("rank") <= per_cell)
+    missing = F.greatest(F.lit(at_least) - first.agg(F.count("*")).scalar(), F.lit(0))
+    more = ranked.where(F.col("rank") > per_cell).orderBy(h, "trace_id").limit(at_least)  # at_least rows
+    numbered = more.withColumn("_k", F.row_number().over(Window.orderBy(h, "trace_id"))).where(F.col("_k") <= missing).drop("_k")
+    return first.unionByName(numbered)

@@ -80,6 +80,15 @@ def remapped(models: DataFrame, registry: DataFrame, fixes: dict[str, str], *, s
     return known.select("model", F.when(~F.col("model").isin(list(skip)), full).alias("model_id"))
 
 
+def prompts(df: DataFrame, templates: DataFrame, think: Column) -> DataFrame:
+    """``prompt``: the problem in the template of its dataset, else in that of the null one; ``/think`` and a line end before it
+    where ``think`` holds. Templates: (dataset, template) with ``{problem}``, a row for each dataset."""
+    named = F.broadcast(templates.where(F.col("dataset").isNotNull()).select(F.col("dataset").alias("_d"), F.col("template").alias("_t")))
+    other = templates.where(F.col("dataset").isNull()).agg(F.first("template")).scalar()
+    filled = F.replace(F.coalesce("_t", other), F.lit("{problem}"), F.col("problem"))
+    return df.join(named, F.col("dataset") == F.col("_d"), "left").withColumn("prompt", F.concat(F.when(think, F.lit("/think\n")).otherwise(""), filled)).drop("_d", "_t")
+
+
 def backfill(df: DataFrame, lookup: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Null fields filled from a lookup by key; the lookup keeps its least row of each key."""
     one = lookup.groupBy(key).agg(F.min(F.struct(*fields)).alias("_l"))

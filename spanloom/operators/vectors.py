@@ -45,12 +45,14 @@ def group_pairs(df: DataFrame, group: str, part: str, vector: str) -> DataFrame:
 
 
 def hashed_pairs(df: DataFrame, key: str, group: str, vector: str, n: int, seed: str = "42") -> DataFrame:
-    """``n`` or fewer pairs of different groups: each row meets the row next to it in hash order, so the pairs are random and linear in number."""
+    """``n`` pairs of different groups: each row of the first 2n in hash order meets the next row of another group, so the pairs
+    are random and linear in number. Fewer only where no more rows have one."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    picked = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(vector).alias("v"), h.alias("h")).orderBy("h", "k").limit(2 * n)
-    order = Window.orderBy("h", "k")
-    nxt = picked.select("*", F.lead("k").over(order).alias("k2"), F.lead("g").over(order).alias("g2"), F.lead("v").over(order).alias("v2"))
-    return nxt.where(F.col("g2").isNotNull() & (F.col("g") != F.col("g2"))).orderBy("h", "k").limit(n).select("k", "k2", "g", "g2", cosine(F.col("v"), F.col("v2")).alias("cosine"))
+    picked = df.where(F.col(group).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(vector).alias("v"), h.alias("h")).orderBy("h", "k").limit(2 * n)
+    order = Window.orderBy("h", "k")  # 2n rows, a parameter of the sample
+    marked = picked.withColumn("new", F.coalesce((F.lag("g").over(order) != F.col("g")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    starts = marked.where("new = 1").select((F.col("run") - 1).alias("run"), F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("v").alias("v2"))
+    return marked.join(starts, "run").orderBy("h", "k").limit(n).select("k", "k2", "g", "g2", cosine(F.col("v"), F.col("v2")).alias("cosine"))
 
 
 def density(df: DataFrame, value: str, grid: list[float], factor: float = 0.15) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import alpha_tokens, fallback_text, log_length
+from spanloom.operators import folds as fo
 from spanloom.operators import learning as ml
+from spanloom.operators import metrics as m
 from spanloom.operators import sequences as s
 from spanloom.operators.held import held
-from spanloom.operators.sampling import contrast_pairs
 from spanloom.operators.vectors import char_ngram_vectors
-from spanloom.plans.tables import OPS, TR, spans, table, traces
+from spanloom.plans.tables import TR, operators, spans, table, traces
 from spanloom.sources import jsonl, judge
 from spanloom.streaming.traces import windowed_counts
 
@@ -34,12 +35,6 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return traces(spark, d, "model", "dataset", "problem_id", "correct", "operator_sequence", "reasoning", "model_response").where("correct is not null")
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    t = traces(spark, d, "model", "dataset", "problem_id", "correct", "operator_sequence").where("correct is not null")
-    x = s.vectors(s.features(s.entries(t)), s.feature_names(len(OPS)))
-    return held(t.select("trace_id", "model", "dataset", "problem_id", "correct").join(x, "trace_id"))
-
-
 @query(f"""WITH {TR}, tk AS (SELECT trace_id, unnest(regexp_extract_all(lower(reasoning), '[a-z'']+')) AS token FROM tr WHERE reasoning IS NOT NULL), tf AS (SELECT trace_id, token, count(*) AS tf FROM tk GROUP BY ALL),
 te AS (SELECT token, sum(tf) AS n, count(*) AS df FROM tf GROUP BY 1 ORDER BY n DESC, token LIMIT 8000), c AS (SELECT count(DISTINCT trace_id) AS n FROM tr WHERE reasoning IS NOT NULL),
 w AS (SELECT trace_id, token, (1 + ln(tf)) * (ln((1 + c.n) / (1 + df)) + 1) AS w FROM tf JOIN te USING (token), c) SELECT trace_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY trace_id)), 6) AS weight FROM w""")
@@ -48,45 +43,159 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
     return ml.tfidf(t, "trace_id", "tokens").withColumn("weight", F.round("weight", 6))
 
 
+DEPTHS = (10, 25, 50, 75, 100)
+
+
+def _scored(df: DataFrame, names: tuple[str, ...] = ("score",)) -> DataFrame:
+    return df.select(*[c for c in df.columns if c not in names], *[F.round(c, 9).alias(c) for c in names])
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).withColumn("x", F.array(log_length(fallback_text(F.col("reasoning"), F.col("model_response")))))
+
+
 @query()
 def length_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = _labelled(spark, d).withColumn("x", F.array(log_length(fallback_text(F.col("reasoning"), F.col("model_response")))))
-    return ml.out_of_fold(t, "trace_id", "problem_id", "correct", "x")
+    t = fo.folded(_lengths(spark, d), "problem_id", by="stride")
+    return _scored(fo.out_of_fold(t, "trace_id", "correct", "x", kind="logistic", least=10))
 
 
 @query()
 def length_scores_within(spark: SparkSession, d: str) -> DataFrame:
-    t = _labelled(spark, d).withColumn("x", F.array(log_length(fallback_text(F.col("reasoning"), F.col("model_response")))))
-    return ml.out_of_fold(t, "trace_id", "problem_id", "correct", "x", within="dataset")
+    t = fo.folded(_lengths(spark, d), "problem_id", by="stride")
+    return _scored(fo.out_of_fold(t, "trace_id", "correct", "x", kind="logistic", group="dataset", least=10))
+
+
+def _operators(spark: SparkSession, d: str, depth: int = 100, rounding: str = "ceil") -> DataFrame:
+    """Labelled traces with operators: their features ``x`` and the words ``tokens`` of their spans' anchors (else of the end of
+    the text), of the first ``depth`` percent of the spans."""
+    t = traces(spark, d, "model", "dataset", "problem_id", "correct", "spans", "reasoning", "model_response").where("correct is not null and size(spans) > 0")
+    n = F.size("spans")
+    kept = F.greatest(F.lit(1), F.ceil(n * depth / 100) if rounding == "ceil" else F.floor(n * depth / 100)).cast("int")
+    t = t.withColumn("part", F.slice("spans", 1, kept)).withColumn("operator_sequence", F.col("part.cluster"))
+    said = F.array_join(F.filter(F.transform("part.anchor", lambda a: F.left(a, F.lit(80))), lambda a: a.isNotNull() & (a != "")), " ")
+    text = F.when(F.length(said) > 0, said).otherwise(F.right(fallback_text(F.col("model_response"), F.col("reasoning")), F.lit(3000)))
+    x = s.vectors(s.features(s.entries(t.select("trace_id", "operator_sequence"))), s.feature_names(operators(spark, d)))
+    return t.select("trace_id", "model", "dataset", "problem_id", "correct", F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("tokens")).join(x, "trace_id")
+
+
+def _trees(rows: DataFrame, **options) -> DataFrame:
+    return fo.out_of_fold(rows, "trace_id", "correct", "x", kind="boosted", **options)
 
 
 @query()
 def operator_scores(spark: SparkSession, d: str) -> DataFrame:
-    return ml.out_of_fold(_vectors(spark, d), "trace_id", "problem_id", "correct", "x", kind="forest")
+    return _scored(_trees(fo.folded(_operators(spark, d), "problem_id", by="stride"), least=20))
+
+
+@query()
+def operator_scores_within(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(_trees(fo.folded(_operators(spark, d), "problem_id", by="stride"), group="dataset", least=20))
+
+
+@query()
+def operator_word_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(_trees(fo.folded(_operators(spark, d), "problem_id", by="stride"), tokens="tokens", least=20))
+
+
+def _early(spark: SparkSession, d: str) -> DataFrame:
+    """(trace_id, dataset, problem_id, correct, depth, score): fitted anew at each depth, on operators and words."""
+    rows = None
+    for depth in DEPTHS:
+        part = _operators(spark, d, depth).withColumn("depth", F.lit(depth))
+        rows = part if rows is None else rows.unionByName(part)
+    return _trees(fo.folded(rows, "problem_id", by="stride"), group="depth", tokens="tokens", least=20, carry=("dataset", "problem_id", "correct", "depth"))
 
 
 @query()
 def early_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = traces(spark, d, "problem_id", "correct", "operator_sequence").where("correct is not null")
-    parts = None
-    for depth in (10, 25, 50, 75, 100):
-        x = s.vectors(s.features(s.prefix(s.entries(t), depth, "ceil")), s.feature_names(len(OPS)))
-        got = ml.out_of_fold(t.select("trace_id", "problem_id", "correct").join(x, "trace_id"), "trace_id", "problem_id", "correct", "x", kind="forest").withColumn("depth", F.lit(depth))
-        parts = got if parts is None else parts.unionByName(got)
-    return parts
+    return _scored(_early(spark, d).select("trace_id", "depth", "score"))
+
+
+@query()
+def early_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The within-problem AUC of each depth, of all traces and by dataset where it has five or more."""
+    e = held(_early(spark, d).where("score is not null"))
+    whole = m.within_auc(e, ["depth"], ["problem_id"], F.col("correct"), F.col("score")).withColumn("dataset", F.lit("all"))
+    enough = e.groupBy(F.col("dataset").alias("_d")).agg((F.count("*") / len(DEPTHS)).alias("n")).where("n >= 5").select("_d")
+    each = m.within_auc(e.join(enough, F.col("dataset") == F.col("_d"), "left_semi"), ["depth", "dataset"], ["problem_id"], F.col("correct"), F.col("score"))
+    return whole.unionByName(each).select("depth", "dataset", F.round("wp_auc", 4).alias("wp_auc"), "n_groups")
+
+
+def _fold_means(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mean, deviation, folds): of the folds' within-problem AUC."""
+    per = m.within_auc(scored.where("score is not null"), [*keys, "fold"], ["problem_id"], F.col("correct"), F.col("score"))
+    return m.fold_means(per, keys, "wp_auc")
+
+
+@query()
+def early_curve(spark: SparkSession, d: str) -> DataFrame:
+    rows = None
+    for depth in DEPTHS:
+        part = _operators(spark, d, depth).withColumn("depth", F.lit(depth))
+        rows = part if rows is None else rows.unionByName(part)
+    return _fold_means(_trees(fo.folded(rows, "problem_id", by="split"), group="depth", carry=("problem_id", "correct", "depth", "fold")), ["depth"])
+
+
+def _cells(spark: SparkSession, d: str, keys: list[str], least: int) -> DataFrame:
+    """Rows of the groups of ``keys`` with enough rows, both labels and four problems, fitted and scored group by group."""
+    rows = _operators(spark, d).withColumn("cell", F.concat_ws("/", *keys))
+    fit = rows.groupBy(F.col("cell").alias("_c")).agg(F.count("*").alias("n"), F.count_distinct("correct").alias("k"), F.count_distinct("problem_id").alias("p")).where(f"n >= {least} and k > 1 and p >= 4")
+    kept = rows.join(fit, F.col("cell") == F.col("_c"), "left_semi")
+    return _fold_means(_trees(fo.folded(kept, "problem_id", group="cell"), group="cell", carry=(*keys, "problem_id", "correct", "fold")), keys)
+
+
+@query()
+def cell_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d, ["model", "dataset"], 20)
+
+
+@query()
+def dataset_fits(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d, ["dataset"], 40)
+
+
+@query()
+def whole_fit(spark: SparkSession, d: str) -> DataFrame:
+    rows = fo.folded(_operators(spark, d), "problem_id", by="split").withColumn("all", F.lit("all"))
+    return _fold_means(_trees(rows, carry=("all", "problem_id", "correct", "fold")), ["all"])
 
 
 @query()
 def model_identification(spark: SparkSession, d: str) -> DataFrame:
-    return ml.classify_models(_vectors(spark, d), "trace_id", "problem_id", "model", "x", folds=5).select("trace_id", "true", "pred", "prob")
+    rows = _operators(spark, d)
+    names = sorted(r[0] for r in rows.where("model is not null").select("model").distinct().limit(1000).collect())  # classes of a model: few
+    got = fo.out_of_fold(fo.folded(rows, "problem_id", by="plain"), "trace_id", "model", "x", kind="boosted", classes=names, carry=("model",), rounds=100)
+    known = got.where("probs is not null").withColumn("names", F.array(*map(F.lit, names)))
+    best = F.array_position("probs", F.array_max("probs")).cast("int")
+    return known.select("trace_id", F.col("model").alias("true"), F.element_at("names", best).alias("pred"), F.round(F.array_max("probs"), 9).alias("prob"), F.map_from_arrays("names", "probs").alias("probs"))
+
+
+@query()
+def model_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return m.confusion(model_identification(spark, d), "true", "pred")
+
+
+@query()
+def model_class_scores(spark: SparkSession, d: str) -> DataFrame:
+    return m.class_scores(m.confusion(model_identification(spark, d), "true", "pred"))
+
+
+@query()
+def model_auc(spark: SparkSession, d: str) -> DataFrame:
+    each = model_identification(spark, d).select("true", F.explode("probs").alias("cls", "prob"))
+    return m.one_vs_rest(each, "true", "cls", "prob").select("cls", F.round("auc", 9).alias("auc"))
 
 
 @query()
 def pairwise_scores(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    pairs = contrast_pairs(v, "problem_id", "trace_id", "correct").select("pos", "neg")
-    weights = ml.pairwise_ranker(pairs, v, "trace_id", "x")
-    return v.select("trace_id", ml.linear_score("x", weights).alias("score"))
+    """Each trace at five depths by the ranker that was fitted to the other folds' whole traces."""
+    rows = None
+    for depth in DEPTHS:
+        part = _operators(spark, d, depth, "floor").withColumn("depth", F.lit(depth))
+        rows = part if rows is None else rows.unionByName(part)
+    got = fo.out_of_fold(fo.folded(rows, "problem_id", by="plain"), "trace_id", "correct", "x", kind="ranker", problem="problem_id", carry=("depth",), train="depth = 100", least=20)
+    return got.groupBy("trace_id").pivot("depth", list(DEPTHS)).agg(F.round(F.max("score"), 9)).select("trace_id", *[F.col(str(p)).alias(f"d{p}") for p in DEPTHS])
 
 
 def _openers(spark: SparkSession, d: str) -> DataFrame:

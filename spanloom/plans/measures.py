@@ -9,7 +9,7 @@ from spanloom.operators import metrics as m
 from spanloom.operators import profiles as p
 from spanloom.operators import sequences as s
 from spanloom.operators import vectors as v
-from spanloom.plans.tables import DEPTHS, EV, OPS, PR, SCORES, SP, TR, predictions, spans, table, traces
+from spanloom.plans.tables import DEPTHS, EV, PR, SCORES, SP, TR, operators, predictions, spans, table, traces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,9 +77,20 @@ def sequence_run_lengths(spark: SparkSession, d: str) -> DataFrame:
     return _round(s.run_lengths(_ev(spark, d)))
 
 
+_ALL_FEATURES = " UNION ALL ".join(f"SELECT trace_id, feature, value FROM ({SQL[q]})" for q in ("sequence_frequencies", "sequence_quarters", "sequence_scalars", "sequence_ends", "sequence_bigrams", "sequence_run_lengths"))
+
+
+@query(f"SELECT trace_id, feature, value FROM ({_ALL_FEATURES}) WHERE value > 0")
+def sequence_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features of each sequence's vector that aren't zero, by name."""
+    names = s.feature_names(operators(spark, d))
+    vec = s.vectors(s.features(_ev(spark, d)), names)
+    return vec.select("trace_id", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("f"), F.col("x"))).alias("z")).select("trace_id", F.col("z.f").alias("feature"), F.round("z.x", 9).alias("value")).where("value > 0")
+
+
 @query()
 def sequence_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return s.vectors(s.features(_ev(spark, d)), s.feature_names(10)).select("trace_id", F.transform("x", lambda y: F.round(y, 9)).alias("x"))
+    return s.vectors(s.features(_ev(spark, d)), s.feature_names(operators(spark, d))).select("trace_id", F.transform("x", lambda y: F.round(y, 9)).alias("x"))
 
 
 @query(f"WITH {TR}, {EV} SELECT trace_id, depth, count(*) AS kept FROM ev, (SELECT unnest([10, 25, 50, 75, 100]) AS depth) WHERE pos < greatest(1, (n * depth + 99) // 100) GROUP BY ALL")
@@ -92,10 +103,12 @@ def next_and_previous(spark: SparkSession, d: str) -> DataFrame:
     return s.previous(s.next_same(_ev(spark, d))).select("trace_id", "pos", "op", "next_pos", "prev_op")
 
 
-@query(f"""WITH {TR}, {EV}, c AS (SELECT trace_id, model, correct, any_value(n) AS n, count(DISTINCT op) AS ops FROM ev GROUP BY ALL)
-SELECT trace_id, model, correct, n, ops, rank FROM (SELECT *, row_number() OVER (PARTITION BY model, correct ORDER BY md5('42:' || trace_id), trace_id) AS rank FROM c WHERE ops >= 4 AND n BETWEEN 15 AND 80) WHERE rank <= 1""")
+@query(f"""WITH {TR}, {EV}, c AS (SELECT trace_id, model, correct, any_value(n) AS n, count(DISTINCT op) AS ops FROM ev GROUP BY ALL),
+r AS (SELECT *, md5('42:' || trace_id) AS h, row_number() OVER (PARTITION BY model, correct ORDER BY md5('42:' || trace_id), trace_id) AS rank FROM c WHERE ops >= 4 AND n BETWEEN 15 AND 80),
+m AS (SELECT *, row_number() OVER (ORDER BY h, trace_id) AS k FROM r WHERE rank > 1), t AS (SELECT 12 - count(*) AS missing FROM r WHERE rank = 1)
+SELECT trace_id, model, correct, n, ops, rank FROM r WHERE rank = 1 UNION ALL SELECT trace_id, model, correct, n, ops, rank FROM m, t WHERE k <= missing""")
 def sample_trajectories(spark: SparkSession, d: str) -> DataFrame:
-    return s.trajectories(_ev(spark, d), ["model", "correct"])
+    return s.trajectories(_ev(spark, d), ["model", "correct"], at_least=12)
 
 
 @query(f"WITH {TR}, {EV}, g AS (SELECT op, lead(op) OVER (PARTITION BY trace_id ORDER BY pos) AS nxt FROM ev), c AS (SELECT op, nxt, count(*) AS n FROM g WHERE nxt IS NOT NULL GROUP BY ALL) SELECT op, nxt, n, n / sum(n) OVER (PARTITION BY op) AS share FROM c")
@@ -103,18 +116,18 @@ def transition_shares(spark: SparkSession, d: str) -> DataFrame:
     return p.transition_shares(_ev(spark, d))
 
 
-_DENSE = f"{TR}, {EV}, tt AS (SELECT DISTINCT trace_id, model, dataset, correct, n FROM ev), oo AS (SELECT unnest(range(0, 10))::INT AS op), cc AS (SELECT trace_id, op, count(*) AS c FROM ev GROUP BY ALL), de AS (SELECT tt.*, oo.op, coalesce(c, 0) / n AS f FROM tt CROSS JOIN oo LEFT JOIN cc ON cc.trace_id = tt.trace_id AND cc.op = oo.op)"
+_DENSE = f"{TR}, {EV}, tt AS (SELECT DISTINCT trace_id, model, dataset, correct, n FROM ev), oo AS (SELECT DISTINCT cluster AS op FROM cluster_names WHERE cluster >= 0), cc AS (SELECT trace_id, op, count(*) AS c FROM ev GROUP BY ALL), de AS (SELECT tt.*, oo.op, coalesce(c, 0) / n AS f FROM tt CROSS JOIN oo LEFT JOIN cc ON cc.trace_id = tt.trace_id AND cc.op = oo.op)"
 _PROF = f"{_DENSE}, wh AS (SELECT op, avg(f) AS m, stddev_pop(f) AS s FROM de GROUP BY 1), pf AS (SELECT model, op, avg(f) AS mean, (avg(f) - any_value(m)) / greatest(any_value(s), 1e-8) AS z FROM de JOIN wh USING (op) GROUP BY model, op)"
 
 
 @query(f"WITH {_PROF} SELECT model, op, round(mean, 6) AS mean, round(z, 6) AS z FROM pf")
 def operator_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return p.operator_profiles(_ev(spark, d), OPS).select("model", "op", F.round("mean", 6).alias("mean"), F.round("z", 6).alias("z"))
+    return p.operator_profiles(_ev(spark, d), operators(spark, d)).select("model", "op", F.round("mean", 6).alias("mean"), F.round("z", 6).alias("z"))
 
 
 @query(f"WITH {_PROF} SELECT model, arg_max(op, z) AS most, arg_min(op, z) AS least FROM (SELECT model, op, round(z, 6) AS z FROM pf ORDER BY model, op) GROUP BY 1")
 def extreme_operators(spark: SparkSession, d: str) -> DataFrame:
-    return p.extreme_operators(p.operator_profiles(_ev(spark, d), OPS).withColumn("z", F.round("z", 6)))
+    return p.extreme_operators(p.operator_profiles(_ev(spark, d), operators(spark, d)).withColumn("z", F.round("z", 6)))
 
 
 _BEST, _WORST = ["quillon-pro", "marlow-think-70b", "harrow-xl"], ["cobble-mix", "fennel-9b", "brindle-14b"]
@@ -122,13 +135,13 @@ _BEST, _WORST = ["quillon-pro", "marlow-think-70b", "harrow-xl"], ["cobble-mix",
 
 @query(f"WITH {_PROF}, g AS (SELECT op, avg(mean) FILTER (model IN ('quillon-pro','marlow-think-70b','harrow-xl')) AS best, avg(mean) FILTER (model IN ('cobble-mix','fennel-9b','brindle-14b')) AS worst FROM pf GROUP BY 1) SELECT op, round(best, 6) AS best, round(worst, 6) AS worst, round(best - worst, 6) AS delta FROM g")
 def group_contrast(spark: SparkSession, d: str) -> DataFrame:
-    g = p.group_contrast(p.operator_profiles(_ev(spark, d), OPS), _BEST, _WORST)
+    g = p.group_contrast(p.operator_profiles(_ev(spark, d), operators(spark, d)), _BEST, _WORST)
     return g.select("op", *[F.round(c, 6).alias(c) for c in ("best", "worst", "delta")])
 
 
 @query(f"WITH {_DENSE} SELECT dataset, correct, op, round(avg(f) * 100, 6) AS percent FROM de WHERE correct IS NOT NULL GROUP BY ALL")
 def correctness_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    h = p.correctness_heatmap(_ev(spark, d).where("correct is not null"), OPS)
+    h = p.correctness_heatmap(_ev(spark, d).where("correct is not null"), operators(spark, d))
     return h.select("dataset", "correct", "op", F.round("percent", 6).alias("percent"))
 
 
@@ -201,18 +214,42 @@ def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
     return m.kappa(m.confusion(_judged(spark, d), "true", "pred")).withColumn("kappa", F.round("kappa", 9))
 
 
+_TWO_LABELS = f"{_JUDGED}, j2 AS (SELECT *, (('0x' || substr(md5('second:' || trace_id || ':' || span_idx), 1, 8))::UBIGINT % 10)::INT AS second FROM ju)"
+
+
+@query(f"WITH {_TWO_LABELS} SELECT count(*) AS n, round(avg((\"true\" = pred)::INT), 9) AS accuracy, round(avg((\"true\" = pred OR \"true\" = second)::INT), 9) AS accuracy_at_2 FROM j2")
+def label_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    j = _judged(spark, d).withColumn("second", F.pmod(m.md5_int(F.lit("second"), F.col("trace_id"), F.col("span_idx")), F.lit(10)).cast("int"))
+    hit = F.col("true") == F.col("pred")
+    return j.agg(F.count("*").alias("n"), F.round(F.avg(hit.cast("int")), 9).alias("accuracy"), F.round(F.avg((hit | (F.col("true") == F.col("second"))).cast("int")), 9).alias("accuracy_at_2"))
+
+
+@query(f"WITH {_LONG}, ok AS (SELECT method FROM lo WHERE score IS NOT NULL AND correct IS NOT NULL GROUP BY 1 HAVING count(*) >= 50 AND count(DISTINCT correct) = 2), a AS {_auc_sql('method, dataset, problem_id', 'lo')} SELECT method, round(avg(auc), 6) AS wp_auc, count(*) AS n_groups FROM a WHERE method IN (SELECT method FROM ok) GROUP BY 1")
+def valid_leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    """The leaderboard without scores of under 50 valid rows or one class."""
+    rows = _long(spark, d)
+    valid = rows.where("score is not null and correct is not null").groupBy(F.col("method").alias("_m")).agg(F.count("*").alias("n"), F.count_distinct("correct").alias("k")).where("n >= 50 and k = 2")
+    w = m.within_auc(rows.join(F.broadcast(valid), F.col("method") == F.col("_m"), "left_semi"), ["method"], ["dataset", "problem_id"], F.col("correct"), F.col("score"))  # a row for each method
+    return w.select("method", F.round("wp_auc", 6).alias("wp_auc"), "n_groups")
+
+
 @query(f"WITH {_JUDGED}, t AS (SELECT \"true\" AS label, count(*) AS support FROM ju GROUP BY 1), p AS (SELECT pred AS label, count(*) AS chosen FROM ju GROUP BY 1), h AS (SELECT pred AS label, count(*) AS hit FROM ju WHERE \"true\" = pred GROUP BY 1) SELECT label, round(coalesce(hit, 0) / chosen, 9) AS precision, round(coalesce(hit, 0) / support, 9) AS recall, round(2.0::DOUBLE * coalesce(hit, 0) / (chosen + support), 9) AS f1, support FROM t JOIN p USING (label) LEFT JOIN h USING (label)")
 def class_scores(spark: SparkSession, d: str) -> DataFrame:
     c = m.class_scores(m.confusion(_judged(spark, d), "true", "pred"))
     return c.select("label", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")], "support")
 
 
-@query(f"""WITH {_JUDGED}, dr AS (SELECT "true" AS t, trial, (('0x' || substr(md5(trial || ':' || trace_id || '#' || span_idx), 1, 8))::UBIGINT % 10)::INT AS p FROM ju, (SELECT unnest(range(0, 50)) AS trial)),
-a AS (SELECT trial, t AS l, count(*) AS a FROM dr GROUP BY ALL), b AS (SELECT trial, p AS l, count(*) AS b FROM dr GROUP BY ALL), e AS (SELECT trial, sum(a * b)::DOUBLE AS ab FROM a JOIN b USING (trial, l) GROUP BY 1), w AS (SELECT trial, count(*)::DOUBLE AS n, count(*) FILTER (t = p) AS hit FROM dr GROUP BY 1),
-k AS (SELECT (hit / n - ab / (n * n)) / (1 - ab / (n * n)) AS kappa FROM w JOIN e USING (trial)) SELECT round(avg(kappa), 6) AS mean, round(stddev_pop(kappa), 6) AS deviation, count(*) AS trials FROM k""")
+@query()
 def random_kappa(spark: SparkSession, d: str) -> DataFrame:
-    x = _judged(spark, d).withColumn("key", F.concat_ws("#", "trace_id", F.col("span_idx").cast("string")))
-    return m.random_kappa(x, "true", "key", 10, 50).select(F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "trials")
+    return m.random_kappa(_judged(spark, d), "true", 10, 1000).select(F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "trials")
+
+
+@query(f"""WITH {_JUDGED}, c AS (SELECT "true" AS t, pred, count(*) AS n FROM ju GROUP BY ALL), r AS (SELECT t, sum(n) AS s FROM c GROUP BY 1) SELECT t AS "true", pred, CASE WHEN n / s < 0.005 THEN '' ELSE regexp_replace(printf('%.2f', n / s), '^0', '') END AS cell FROM c JOIN r USING (t)""")
+def heatmap_cells(spark: SparkSession, d: str) -> DataFrame:
+    from spanloom.functions.text import cell
+
+    shares = m.confusion_shares(m.confusion(_judged(spark, d), "true", "pred"), spark.range(10).select(F.col("id").cast("int").alias("label")))
+    return shares.where("share > 0").select("true", "pred", cell(F.col("share")).alias("cell"))
 
 
 _PROBS = f"{_PROF}, mo AS (SELECT DISTINCT model FROM tr), pb AS (SELECT t.trace_id, t.model, mo.model AS cls, (('0x' || substr(md5(t.trace_id || ':' || mo.model), 1, 8))::UBIGINT % 1000 + CASE WHEN t.model = mo.model THEN 400 ELSE 0 END)::DOUBLE AS score, (t.model = mo.model)::INT AS y FROM tr t, mo)"
@@ -240,11 +277,11 @@ def family_auc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_LONG}, a AS {_auc_sql('method, dataset, problem_id', 'lo')}, g AS (SELECT dataset || ':' || problem_id AS k, auc FROM a WHERE method = 'op_cross'), r AS (SELECT auc, row_number() OVER (ORDER BY md5(k), k) - 1 AS rank FROM g), n AS (SELECT count(*) AS n FROM r),
-dr AS (SELECT b, ('0x' || substr(md5(b || ':' || rank), 1, 8))::UBIGINT % n AS pick FROM r, n, (SELECT unnest(range(0, 200)) AS b)), me AS (SELECT b, avg(r.auc) AS m FROM dr JOIN r ON r.rank = dr.pick GROUP BY 1)
+dr AS (SELECT b, ('0x' || substr(md5(b || ':' || rank), 1, 8))::UBIGINT % n AS pick FROM r, n, (SELECT unnest(range(0, 2000)) AS b)), me AS (SELECT b, avg(r.auc) AS m FROM dr JOIN r ON r.rank = dr.pick GROUP BY 1)
 SELECT round((SELECT avg(auc) FROM r), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM me""")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     a = m.auc(_long(spark, d).where("method = 'op_cross'"), ["dataset", "problem_id"], F.col("correct"), F.col("score")).where("auc is not null")
-    b = m.bootstrap(a.select(F.concat_ws(":", "dataset", "problem_id").alias("k"), "auc"), "auc", "k", 200)
+    b = m.bootstrap(a.select(F.concat_ws(":", "dataset", "problem_id").alias("k"), "auc"), "auc", "k", 2000)
     return b.select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
@@ -296,9 +333,9 @@ def median_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).groupBy("label").agg(F.round(F.median("cosine"), 6).alias("median"))
 
 
-@query(f"WITH z AS (SELECT vec_id AS k, label AS g, embedding AS v, md5('42:' || vec_id) AS h FROM embeddings ORDER BY h, vec_id LIMIT 400), a AS (SELECT *, row_number() OVER (ORDER BY h, k) AS r FROM z), p AS (SELECT a.*, b.k AS k2, b.g AS g2, round({_COS}, 6) AS cosine FROM a JOIN a b ON b.r = a.r + 1 WHERE a.g <> b.g) SELECT k, k2, g, g2, cosine FROM p ORDER BY h, k LIMIT 200")
+@query(f"WITH z AS (SELECT vec_id AS k, label AS g, embedding AS v, md5('42:' || vec_id) AS h FROM embeddings ORDER BY h, vec_id LIMIT 4000), n AS (SELECT *, coalesce(lag(g) OVER (ORDER BY h, k) <> g, true) AS new FROM z), q AS (SELECT *, sum(new::INT) OVER (ORDER BY h, k) AS r FROM n), p AS (SELECT a.*, b.k AS k2, b.g AS g2, round({_COS}, 6) AS cosine FROM q a JOIN q b ON b.r = a.r + 1 AND b.new) SELECT k, k2, g, g2, cosine FROM p ORDER BY h, k LIMIT 2000")
 def across_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return v.hashed_pairs(_emb(spark, d), "vec_id", "label", "embedding", 200).withColumn("cosine", F.round("cosine", 6))
+    return v.hashed_pairs(_emb(spark, d), "vec_id", "label", "embedding", 2000).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"WITH {PR}, z AS (SELECT d100 AS v FROM pr WHERE d100 IS NOT NULL), w AS (SELECT stddev_samp(v) * 0.15::DOUBLE AS w FROM z) SELECT x, round(avg(exp(-(((x - v) / w) ** 2) / 2) / (w * 2.5066282746310002::DOUBLE)), 6) AS density FROM z, w, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS x) GROUP BY 1")
@@ -326,3 +363,13 @@ def kappa_by_model(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LONG}, a AS {_auc_sql('method, dataset, problem_id', 'lo')}, s AS (SELECT method, dataset, round(avg(auc), 4) AS score FROM a GROUP BY ALL) SELECT dataset, min(method) AS best, any_value(score) AS score FROM (SELECT *, max(score) OVER (PARTITION BY dataset) AS top FROM s) WHERE score = top GROUP BY 1")
 def best_method(spark: SparkSession, d: str) -> DataFrame:
     return p.best_by(dataset_scores(spark, d), "dataset", "method", "wp_auc")
+
+
+@query(f"WITH {_MEMBERS}, w AS (SELECT 'within' AS kind, round({_COS}, 6) AS c FROM me a JOIN me b ON a.label = b.label AND a.s < b.s), x AS (SELECT 'across' AS kind, round({_COS}, 6) AS c FROM me a JOIN me b ON a.label < b.label AND a.s = b.s) SELECT kind, count(*) AS n, round(median(c), 6) AS median FROM (SELECT * FROM w UNION ALL SELECT * FROM x) GROUP BY 1")
+def pair_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Median cosines of pairs within a label and across labels, over the means of five parts of each label: few rows."""
+    e = _emb(spark, d).withColumn("part", F.col("vec_id") % 5)
+    c = v.centroids(e.withColumn("g", F.struct("label", "part")), "g", "embedding").select("g.label", "g.part", "centroid")
+    across = v.group_pairs(c, "part", "label", "centroid").select(F.lit("across").alias("kind"), F.round("cosine", 6).alias("c"))
+    both = _pairs(spark, d).select(F.lit("within").alias("kind"), F.round("cosine", 6).alias("c")).unionByName(across)
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.median("c"), 6).alias("median"))

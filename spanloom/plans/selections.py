@@ -107,11 +107,22 @@ def lookup_two_keys(spark: SparkSession, d: str) -> DataFrame:
     return tr_ops.either_key(traces(spark, d, "problem_id", "problem"), both, ("problem_id", "problem"), "k", "answer", "out").select("trace_id", F.col("out").alias("answer"))
 
 
-@query(f"WITH {TR} SELECT trace_id, 'Solve: ' || problem AS prompt FROM tr WHERE problem IS NOT NULL")
+_TEMPLATES = [("numera", "Solve it. The answer is a whole number from 0 to 999.\n\n{problem}"), ("gatewise", "Choose one.\n\n{problem}\n\nThe answer is (X)."), (None, "Solve: {problem}")]
+
+
+@query(f"""WITH {TR} SELECT trace_id, CASE WHEN contains(model, 'think') THEN '/think' || chr(10) ELSE '' END || CASE dataset WHEN 'numera' THEN 'Solve it. The answer is a whole number from 0 to 999.' || chr(10) || chr(10) || problem
+ WHEN 'gatewise' THEN 'Choose one.' || chr(10) || chr(10) || problem || chr(10) || chr(10) || 'The answer is (X).' ELSE 'Solve: ' || problem END AS prompt FROM tr WHERE problem IS NOT NULL""")
 def prompt_templates(spark: SparkSession, d: str) -> DataFrame:
-    templates = spark.createDataFrame([("default", "Solve: {problem}")], "name string, template string")
-    t = traces(spark, d, "problem").where("problem is not null").withColumn("name", F.lit("default"))
-    return t.join(F.broadcast(templates), "name").select("trace_id", F.replace("template", F.lit("{problem}"), F.col("problem")).alias("prompt"))
+    templates = spark.createDataFrame(_TEMPLATES, "dataset string, template string")
+    t = traces(spark, d, "problem", "dataset", "model").where("problem is not null")
+    return tr_ops.prompts(t, templates, F.contains("model", F.lit("think"))).select("trace_id", "prompt")
+
+
+@query(f"WITH {TR}, {SP} SELECT sp.trace_id, span_idx, 'Which of these operators is the sentence? Give the numbers of the best and the second best.' || chr(10) || '1. OPEN' || chr(10) || '2. DOUBT' || chr(10) || 'Sentence: ' || anchor AS prompt FROM sp WHERE anchor IS NOT NULL")
+def label_prompts(spark: SparkSession, d: str) -> DataFrame:
+    from spanloom.sources.judge import label_prompt
+
+    return spans(spark, d, "anchor").where("anchor is not null").select("trace_id", "span_idx", label_prompt(F.col("anchor"), ["OPEN", "DOUBT"]).alias("prompt"))
 
 
 @query("SELECT DISTINCT problem_id, replace(url, '/', '_') AS file FROM problems WHERE url IS NOT NULL")
@@ -268,12 +279,12 @@ def set_intersection(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "final_dataset").select("dataset").intersect(table(spark, d, "predictions").select("dataset"))
 
 
-@query(f"WITH {TR} SELECT trace_id, array_to_string(list_slice(list_concat(list_transform(coalesce(operator_sequence, []), lambda x: coalesce(x::VARCHAR, 'n')), list_transform(range(0, 16), lambda x: '-2')), 1, 16), ' ') AS ids FROM tr")
+@query(f"WITH {TR} SELECT trace_id, array_to_string(list_slice(list_concat(list_transform(coalesce(operator_sequence, []), lambda x: coalesce(x::VARCHAR, 'n')), list_transform(range(0, 512), lambda x: '-2')), 1, 512), ' ') AS ids FROM tr")
 def padded_sequences(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.operators.sequences import padded
 
     seq = F.coalesce("operator_sequence", F.array().cast("array<int>"))
-    return traces(spark, d, "operator_sequence").select("trace_id", F.array_join(padded(seq, 16, -2).cast("array<string>"), " ", "n").alias("ids"))
+    return traces(spark, d, "operator_sequence").select("trace_id", F.array_join(padded(seq, 512, -2).cast("array<string>"), " ", "n").alias("ids"))
 
 
 _LEADS = f"""WITH {TR}, {PR} SELECT tr.trace_id, tr.dataset, tr.model, {', '.join('pr.' + s for s in SCORES)} FROM tr LEFT JOIN pr USING (trace_id)"""

@@ -10,10 +10,14 @@ from spanloom.operators.traces import latest
 # The corpus without these is the labelled one; depths in percent.
 DROP_DATASETS = ["bbh", "humaneval", "arc_agi2"]
 DEPTHS = [10, 25, 50, 75, 100]
-OPS = list(range(10))
 SCORES = ["length_within", "length_cross", "op_cross", "d10", "d25", "d50", "d75", "d100"]
 
 
+def operators(spark: SparkSession, d: str) -> list[int]:
+    """The operators' ids, as the table of their names has them: few, whatever the traces."""
+    return sorted(r[0] for r in table(spark, d, "cluster_names").where("cluster >= 0").select("cluster").distinct().limit(10_000).collect())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

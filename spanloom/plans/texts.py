@@ -220,7 +220,7 @@ _SAID = f"coalesce(stated, {_strip(f'list_extract(string_split({_strip(chr(114))
 _TOLD = _strip(f"regexp_replace({_strip('coalesce(' + _strip(_hit('r', rf'(?i)(?:the answer is|the answer:|the final answer:)[{WS}]*([^' + chr(92) + r'n]+?)(?:' + chr(92) + r'.|' + chr(92) + 'n?$)')) + ', stated)')}, '^[()]+|[()]+$', '', 'g')")
 
 
-@query(f"""WITH {TR}, {_ANSWERS}, x AS (SELECT *, coalesce(boxed, stated, {_hit("r", r"-?\p{Nd}+(?:[.,]\p{Nd}+)*(?:/\p{Nd}+)?", -1, 0)}) AS math, {_WHOLE} AS whole, {_SAID} AS said, {_TOLD} AS told, {_strip('gold')} AS pure FROM y)
+@query(rf"""WITH {TR}, {_ANSWERS}, x AS (SELECT *, coalesce(boxed, stated, {_hit("r", r"-?\p{Nd}+(?:[.,]\p{Nd}+)*(?:/\p{Nd}+)?", -1, 0)}) AS math, {_WHOLE} AS whole, {_SAID} AS said, {_TOLD} AS told, {_strip('gold')} AS pure FROM y)
 SELECT trace_id, dataset, whole, CASE WHEN dataset IN ('tidebench', 'proofline') THEN {_EQ("math", "gold")} OR {_NEQ("math", "gold")} WHEN dataset = 'gatewise' THEN {_LETTER}
  WHEN dataset = 'numera' THEN whole = try_cast(gold AS INT) WHEN dataset = 'scholarmix' THEN CASE WHEN regexp_full_match(pure, '[A-Z]') THEN {_LETTER} ELSE {_EQ("said", "gold")} OR (length(pure) > 2 AND contains(lower(said), lower(pure))) END
  WHEN dataset = 'polyscope' THEN CASE WHEN regexp_full_match(pure, '\(?[A-Z]\)?') AND regexp_full_match(upper(told), '\p{{L}}') THEN upper(told) = regexp_replace(pure, '[()]', '', 'g')

@@ -80,14 +80,23 @@ def write_table(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifex
     flat.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
-def append_new(df: DataFrame, path: str, key: str = "trace_id") -> DataFrame:
-    """Appends the rows whose key the folder doesn't hold yet; gives back all it holds then. Can be run again after a stop."""
+def append_new(df: DataFrame, path: str, key: str | tuple[str, ...] = "trace_id", buckets: int = 64) -> DataFrame:
+    """Appends the rows whose key the folder doesn't hold yet, each key once; gives back all it holds then. Can be run again
+    after a stop. Null keys are never new.
+
+    The folder is parted by the hash of the first key column, and only its keys in the parts that the new rows fall in are
+    read: a batch of few keys reads few parts.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     spark = df.sparkSession
-    todo = df
+    part = F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).cast("int")
+    todo = df.where(F.col(keys[0]).isNotNull()).dropDuplicates(keys).withColumn("_part", part)
     if _exists(spark, path):
-        todo = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    todo.write.mode("append").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        touched = [r[0] for r in todo.select("_part").distinct().collect()]  # at most ``buckets``
+        held = spark.read.parquet(path).where(F.col("_part").isin(touched)).select(*keys).distinct()
+        todo = todo.join(held, keys, "left_anti")
+    todo.write.mode("append").partitionBy("_part").parquet(path)
+    return spark.read.schema(todo.select(*df.columns, "_part").schema).parquet(path).drop("_part")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

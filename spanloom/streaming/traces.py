@@ -20,11 +20,12 @@ def sentence_stream(spark: SparkSession, path: str, schema: str, text: str = "re
     return cut.withColumn("ngram", opener(F.col("sentence")))
 
 
-def store_traces(stream: DataFrame, target: str, checkpoint: str, key: str = "trace_id") -> StreamingQuery:
-    """Appends to a folder the rows whose key it doesn't hold; a repeated batch adds nothing."""
+def store_traces(stream: DataFrame, target: str, checkpoint: str, key: str | tuple[str, ...] = "trace_id") -> StreamingQuery:
+    """Appends to a folder the rows whose key it doesn't hold, each once; a repeated batch adds nothing. Of sentences the key is
+    (trace_id, i)."""
 
     def step(batch: DataFrame, _: int) -> None:
-        append_new(batch.dropDuplicates([key]), target, key)
+        append_new(batch, target, key)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

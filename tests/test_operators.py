@@ -10,6 +10,7 @@ from spanloom.operators import metrics as m
 from spanloom.operators import pivots as pv
 from spanloom.operators import sampling, sequences as s, traces as tr
 from spanloom.operators.vectors import cosine
+from spanloom.operators.folds import folded, out_of_fold
 
 
 def ev(spark, seqs):
@@ -22,7 +23,7 @@ def test_features(spark):
     assert got["bigram_0_0"] == got["bigram_0_1"] == 0.5
     assert got["run_mean_0"] == pytest.approx(2 / 3) and got["run_max_1"] == pytest.approx(1 / 3)
     assert got["quarter_0_0"] == got["quarter_1_0"] == got["quarter_2_1"] == 1 and not any(k.startswith("quarter_3") for k in got)
-    assert len(s.feature_names(7)) == 117
+    assert len(s.feature_names(list(range(7)))) == 117
 
 
 def test_feature_sums(spark):
@@ -106,6 +107,86 @@ def test_cosine(spark):
     assert r.c == pytest.approx(2**-0.5) and r.n is None
 
 
+def _score_rows(spark, rule, n=400, problems=40):
+    rnd = random.Random(6)
+    rows = []
+    for k in range(n):
+        x = [max(rnd.gauss(0, 1), 0.0) for _ in range(6)]
+        rows.append((f"t{k}", f"p{k % problems}", "ab"[k % 2], rule(x, k, rnd), x, ["good" if rule(x, k, rnd) else "bad", "word"]))
+    return folded(spark.createDataFrame(rows, "k string, problem string, g string, y int, x array<double>, w array<string>"), "problem")
+
+
+def _auc_of(scored):
+    got = scored.where("score is not null").collect()
+    return brute_auc([(r.y, r.score) for r in got]), len(got)
+
+
+def test_scores_out_of_fold(spark):
+    seen = _score_rows(spark, lambda x, k, rnd: int(x[0] + x[1] > 0.8))
+    a, n = _auc_of(out_of_fold(seen, "k", "y", "x", rounds=60, carry=("y",)))
+    assert a > 0.95 and n == 400
+    a, _ = _auc_of(out_of_fold(seen, "k", "y", "x", kind="logistic", carry=("y",)))
+    assert a > 0.9
+    a, _ = _auc_of(out_of_fold(seen, "k", "y", "x", kind="ranker", problem="problem", carry=("y",)))
+    assert a > 0.9
+    # what only one's own row or problem could tell isn't known: labels by problem, features that say nothing
+    noise = _score_rows(spark, lambda x, k, rnd: (k % 40) % 2)
+    noise = noise.withColumn("x", F.array(F.substring("problem", 2, 3).cast("double"), F.pmod(F.hash("k"), F.lit(50)).cast("double")))
+    a, _ = _auc_of(out_of_fold(noise, "k", "y", "x", rounds=60, carry=("y",)))
+    assert a < 0.75
+
+
+def test_scores_edges(spark):
+    df = _score_rows(spark, lambda x, k, rnd: int(x[0] > 0.3))
+    words = out_of_fold(df.withColumn("x", F.array(F.lit(0.0))), "k", "y", "x", tokens="w", rounds=20, carry=("y",))
+    assert _auc_of(words)[0] > 0.95
+    # groups are fitted by themselves; one with one class, or too few rows, has no scores, and nulls are scored but not fitted to
+    mixed = df.withColumn("y", F.when(F.col("g") == "a", 1).when(F.col("k") == "t1", F.lit(None)).otherwise(F.col("y")))
+    got = {(r.g, r.score is None) for r in out_of_fold(mixed, "k", "y", "x", group="g", rounds=5, carry=("g",)).collect()}
+    assert got == {("a", True), ("b", False)}
+    assert out_of_fold(mixed, "k", "y", "x", group="g", rounds=5, least=1000).where("score is not null").count() == 0
+    assert out_of_fold(df.limit(0), "k", "y", "x", rounds=5).count() == 0
+    many = out_of_fold(df.withColumn("c", F.concat(F.lit("c"), (F.col("x")[0] > 0.3).cast("int") + (F.col("x")[1] > 0.3).cast("int"))), "k", "c", "x", classes=["c0", "c1", "c2"], rounds=30, carry=("c",)).collect()
+    hit = sum(r.c == f"c{max(range(3), key=r.probs.__getitem__)}" for r in many)
+    assert hit > 0.9 * len(many) and all(abs(sum(r.probs) - 1) < 1e-9 for r in many)
+    # a bounded sample is fitted to, all rows are scored
+    assert _auc_of(out_of_fold(df, "k", "y", "x", rounds=30, most=150, carry=("y",)))[1] == 400
+
+
+def test_fold_kinds(spark):
+    df = spark.createDataFrame([(f"p{k % 23}", "ab"[k % 2]) for k in range(92)] + [(None, "a")], "problem string, g string")
+    for by in ("hash", "stride", "split", "plain"):
+        got = folded(df, "problem", by=by)
+        assert got.count() == 93 and got.groupBy("problem").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    per = folded(df, "problem", group="g")
+    assert per.count() == 93 and {(r.g, r.n) for r in per.groupBy("g").agg(F.count_distinct("fold").alias("n")).collect()} == {("a", 5), ("b", 5)}
+
+
+def test_random_kappa(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    true = rnd.choice(4, 600, p=[0.5, 0.3, 0.1, 0.1])
+    kappas = []
+    for _ in range(300):
+        pred = rnd.integers(0, 4, 600)
+        po, pe = (true == pred).mean(), sum((true == c).mean() * (pred == c).mean() for c in range(4))
+        kappas.append((po - pe) / (1 - pe))
+    got = m.random_kappa(spark.createDataFrame([(int(t),) for t in true] + [(None,)], "t int"), "t", 4, 1000).first()
+    assert abs(got["mean"] - np.mean(kappas)) < 0.004 and abs(got.deviation / np.std(kappas) - 1) < 0.2 and got.trials == 1000
+
+
+def test_ranks_and_pairs(spark):
+    from spanloom.operators.vectors import hashed_pairs
+
+    df = spark.range(500).select(F.col("id").cast("string").alias("k")).withColumn("h", F.md5("k"))
+    got = [r.k for r in m.ranked_by(df, "h", "k", 2).orderBy("rank").collect()]
+    assert got == [r.k for r in df.orderBy("h", "k").collect()] and m.ranked_by(df, "h", "k").agg(F.max("rank")).first()[0] == 499
+    e = spark.range(60).select("id", (F.col("id") % 10 == 0).cast("int").alias("g"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    pairs = hashed_pairs(e, "id", "g", "v", 25).collect()
+    assert len(pairs) == 25 and all(r.g != r.g2 for r in pairs)
+
+
 def test_early_scores_at_every_depth(spark):
     from spanloom.plans.learned import early_scores
 
