@@ -1,33 +1,116 @@
-"""Clusters with MLlib and text weights. Scores out of fold are in ``folds``."""
+"""Clusters, embedders and text weights. Scores out of fold are in ``folds``."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.held import held
 
 
-def cluster(df: DataFrame, vector: str, k: int, *, restarts: int = 5, iterations: int = 100, seed: int = 42) -> tuple[DataFrame, float]:
+class Embedder(Protocol):
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+def embed(df: DataFrame, key: str, text: str, factory: Callable[[], Embedder], batch: int = 256) -> DataFrame:
+    """(key, x): the vector of each text by an embedder that a factory makes in each task; null for null texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            at = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [None] * len(texts)
+            for k in range(0, len(at), batch):
+                part = at[k : k + batch]
+                for i, v in zip(part, model.embed([texts[i] for i in part])):
+                    out[i] = [float(z) for z in v]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "x"])
+
+    kind = dict(df.select(key).dtypes)[key]
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, x array<double>")
+
+
+def lloyd(x: np.ndarray, k: int, seed: int, iterations: int) -> tuple[float, np.ndarray]:
+    """(cost, centres) of one start: centres drawn by squared distance, then moved to the means of their rows until none changes."""
+    rng = np.random.default_rng([seed, k])
+    centres = x[[rng.integers(len(x))]]
+    near = ((x - centres[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = near.sum()
+        pick = rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))
+        centres = np.vstack([centres, x[pick]])
+        near = np.minimum(near, ((x - x[pick]) ** 2).sum(1))
+    own = None
+    square = (x**2).sum(1)
+    for _ in range(iterations):
+        far = square[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
+        new = far.argmin(1)
+        if own is not None and (new == own).all():
+            break
+        own = new
+        n = np.bincount(own, minlength=k)
+        sums = np.stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])], 1)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    far = square[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
+    return float(np.maximum(far.min(1), 0).sum()), centres
+
+
+def centres(df: DataFrame, key: str, vector: str, ks: list[int], *, restarts: int = 30, iterations: int = 500, seed: int = 42, most: int = 50_000) -> dict[int, tuple[float, np.ndarray]]:
+    """k -> (cost, centres) of the best of ``restarts`` starts, each a task of its own; ties by start.
+
+    Fitted to at most ``most`` rows in the order of their keys' hash; they are shared with the tasks (25 MB at 64 places).
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(most).select(vector).collect()
+    if not rows:
+        return {}
+    shared = spark.sparkContext.broadcast(np.array([r[0] for r in rows], dtype=float))
+    starts = spark.createDataFrame([(k, r) for k in ks for r in range(restarts)], "k int, start int").repartition(len(ks) * restarts)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for k, r in zip(part["k"], part["start"]):
+                cost, found = lloyd(shared.value, min(int(k), len(shared.value)), seed + int(r), iterations)
+                yield pd.DataFrame({"k": [k], "start": [r], "cost": [cost], "centres": [found.ravel().tolist()]})
+
+    got = starts.mapInPandas(run, "k int, start int, cost double, centres array<double>")
+    best = got.groupBy("k").agg(F.min(F.struct("cost", "start", "centres")).alias("b")).collect()  # a row for each k
+    size = shared.value.shape[1]
+    return {r["k"]: (r["b"]["cost"], np.array(r["b"]["centres"]).reshape(-1, size)) for r in best}
+
+
+def assigned(df: DataFrame, vector: str, found: np.ndarray) -> DataFrame:
+    """Rows with ``cluster``, the nearest centre, the first of equally near ones; null for a null vector."""
+    each = F.array(*[F.struct(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) ** 2), F.lit(0.0), lambda s, v: s + v).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(found)])
+    return df.withColumn("cluster", F.when(F.col(vector).isNotNull(), F.array_min(each)["i"]))
+
+
+def cluster(df: DataFrame, key: str, vector: str, k: int, **options) -> tuple[DataFrame, float]:
     """Rows with ``cluster`` from the best of some starts, and its cost."""
-    data = held(df.withColumn("_x", array_to_vector(vector)))
-    models = [KMeans(k=k, seed=seed + r, maxIter=iterations, featuresCol="_x", predictionCol="cluster").fit(data) for r in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).drop("_x"), best.summary.trainingCost
-
-
-def cluster_sweep(df: DataFrame, vector: str, ks: list[int], **options) -> DataFrame:
-    """(k, cost, silhouette) of a clustering at each size."""
-    rows = []
-    df = held(df)
-    for k in ks:
-        found, cost = cluster(df, vector, k, **options)
-        shape = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(found.withColumn("_x", array_to_vector(vector)))
-        rows.append((k, float(cost), float(shape)))
-    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
+    found = centres(df, key, vector, [k], **options)
+    if not found:
+        return df.withColumn("cluster", F.lit(None).cast("int")), 0.0
+    return assigned(df, vector, found[k][1]), found[k][0]
+
+
+def cluster_sweep(df: DataFrame, key: str, vector: str, ks: list[int], **options) -> DataFrame:
+    """(k, cost, silhouette) of a clustering at each size; the silhouette by distances to the clusters' centres, own and next."""
+    df = held(df.select(key, vector))
+    out = None
+    for k, (cost, found) in sorted(centres(df, key, vector, ks, **options).items()):
+        far = F.array_sort(F.array(*[F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) ** 2), F.lit(0.0), lambda s, v: s + v) for c in found]))
+        a, b = F.get("_f", F.lit(0)), F.get("_f", F.lit(1))
+        each = df.where(F.col(vector).isNotNull()).select(far.alias("_f")).select(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)).alias("s"))
+        row = each.agg(F.avg("s").alias("silhouette")).select(F.lit(k).alias("k"), F.lit(cost).alias("cost"), "silhouette")
+        out = row if out is None else out.unionByName(row)
+    return df.sparkSession.createDataFrame([], "k int, cost double, silhouette double") if out is None else out
 
 
 def tfidf(docs: DataFrame, key: str, tokens: str, size: int = 8000) -> DataFrame:

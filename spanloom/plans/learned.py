@@ -12,6 +12,7 @@ from spanloom.operators import learning as ml
 from spanloom.operators import metrics as m
 from spanloom.operators import sequences as s
 from spanloom.operators.held import held
+from spanloom.operators.pivots import top_per_group
 from spanloom.operators.vectors import char_ngram_vectors
 from spanloom.plans.tables import TR, operators, spans, table, traces
 from spanloom.sources import jsonl, judge
@@ -205,13 +206,33 @@ def _openers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def opener_clusters(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = ml.cluster(_openers(spark, d), "x", 7, restarts=30, iterations=500)
+    found, _ = ml.cluster(_openers(spark, d), "ngram", "x", 7)
     return found.select("ngram", "cluster")
 
 
 @query()
 def cluster_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return ml.cluster_sweep(_openers(spark, d), "x", [6, 7, 8], restarts=1, iterations=20)
+    return ml.cluster_sweep(_openers(spark, d), "ngram", "x", [5, 6, 7, 8, 9, 10]).select("k", F.round("cost", 6).alias("cost"), F.round("silhouette", 6).alias("silhouette"))
+
+
+@query()
+def naming_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """(k, clusters, named, n, agreement, kappa): at each size the clusters are named by a model from their openers, two models
+    label openers by the names, and their agreement is measured. Stand-ins answer here."""
+    x = held(_openers(spark, d))
+    out = None
+    for k, (_, found) in sorted(ml.centres(x, "ngram", "x", [6, 7, 8]).items()):
+        own = held(ml.assigned(x, "x", found).select("ngram", "cluster"))
+        first = top_per_group(own.withColumn("n", F.lit(1)), "cluster", "ngram", "n", 5).groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("ngram")), "; ").alias("prompt"))
+        named = judge.ask(first.withColumn("cluster", F.col("cluster").cast("string")), "cluster", "prompt", lambda: judge.Stub({"wait": "NAME: doubt", "so": "NAME: infer"}, "NAME: other"))
+        names = named.select(F.col("cluster").cast("int").alias("cluster"), F.upper(F.regexp_extract("reply", r"NAME:\s*(.+)", 1)).alias("name"))
+        asked = own.join(F.broadcast(names), "cluster").withColumn("prompt", F.col("ngram"))  # a row for each cluster
+        a = judge.ask(asked, "ngram", "prompt", lambda: judge.Stub({"wait": "DOUBT", "so": "INFER"}, "OTHER")).select("ngram", F.col("reply").alias("true"))
+        b = judge.ask(asked, "ngram", "prompt", lambda: judge.Stub({"wait": "DOUBT", "then": "INFER"}, "OTHER")).select("ngram", F.col("reply").alias("pred"))
+        both = m.kappa(m.confusion(a.join(b, "ngram"), "true", "pred"))
+        row = both.select(F.lit(k).alias("k"), F.lit(len(found)).alias("clusters"), "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"WITH {TR} SELECT model, dataset, count(*) AS total, count(correct) AS labelled, count(*) FILTER (correct) / nullif(count(correct), 0) AS accuracy FROM tr GROUP BY ALL")

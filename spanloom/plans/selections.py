@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import profiles, sampling, traces as tr_ops
+from spanloom.operators.metrics import ranked_by
 from spanloom.operators.pivots import assembled, fold
 from spanloom.plans.tables import DROP_DATASETS, PR, SCORES, SP, TR, WS, predictions, spans, table, traces
 
@@ -214,6 +215,23 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(traces(spark, d, "model", "correct").select("model", "correct", "trace_id"), ["model", "correct"], "trace_id", 200)
 
 
+@query(f"WITH {TR} SELECT trace_id, row_number() OVER (ORDER BY md5('42:' || trace_id), trace_id) - 1 AS rank FROM tr")
+def shuffled_traces(spark: SparkSession, d: str) -> DataFrame:
+    t = traces(spark, d, "sample").where("trace_id is not null").select("trace_id", tr_ops.hash_order("42", "trace_id").alias("h"))
+    return ranked_by(t, "h", "trace_id").select("trace_id", "rank")
+
+
+@query(f"WITH {SP}, o AS (SELECT cluster, trace_id, span_idx, row_number() OVER (PARTITION BY cluster ORDER BY md5('42:' || trace_id || ':' || span_idx), trace_id, span_idx) AS r FROM sp WHERE cluster >= 0) SELECT cluster, trace_id, span_idx FROM o WHERE r BETWEEN 4 AND 9")
+def held_out_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    """Of each cluster six exemplars that aren't among the three test spans: the pool less the test set, by trace and span."""
+    pool = spans(spark, d, "cluster").where("cluster >= 0").select("cluster", "trace_id", "span_idx", F.struct(tr_ops.hash_order("42", "trace_id", "span_idx"), "trace_id", "span_idx").alias("o")).withColumn("n", F.lit(1))
+    from pyspark.sql import Window
+
+    first = lambda df, k: df.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("o"))).where(F.col("r") <= k)
+    test = first(pool, 3).select("trace_id", "span_idx")
+    return first(pool.join(test, ["trace_id", "span_idx"], "left_anti"), 6).select("cluster", "trace_id", "span_idx")
+
+
 @query(f"""WITH {SP} SELECT cluster, trace_id, span_idx, rank FROM (SELECT cluster, trace_id, span_idx, row_number() OVER (PARTITION BY cluster ORDER BY trace_id, span_idx) AS rank FROM sp WHERE cluster >= 0) WHERE rank <= 5""")
 def cluster_exemplars(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.operators.pivots import exemplars

@@ -187,6 +187,26 @@ def test_ranks_and_pairs(spark):
     assert len(pairs) == 25 and all(r.g != r.g2 for r in pairs)
 
 
+def test_clusters(spark):
+    from spanloom.operators import learning as ml
+
+    rnd = random.Random(8)
+    rows = [(f"r{k}", [rnd.gauss(10 * (k % 3), 0.2), rnd.gauss(5 * (k % 2), 0.2)]) for k in range(120)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, x array<double>")
+    got, cost = ml.cluster(df, "k", "x", 6, restarts=10)
+    of = {r.k: r.cluster for r in got.collect()}
+    assert len({of[f"r{k}"] for k in range(6)}) == 6 and all(of[f"r{k}"] == of[f"r{k % 6}"] for k in range(120)) and of["none"] is None and cost < 20
+    sweep = {r.k: (r.cost, r.silhouette) for r in ml.cluster_sweep(df, "k", "x", [2, 3, 6, 7], restarts=8).collect()}
+    assert sweep[2][0] > sweep[3][0] > sweep[6][0] > sweep[7][0] and max(sweep, key=lambda k: sweep[k][1]) == 6
+    assert ml.cluster_sweep(df.limit(0), "k", "x", [2]).count() == 0
+
+    class Lengths:
+        def embed(self, texts):
+            return [[len(t), 1.0] for t in texts]
+
+    assert {r.k: r.x for r in ml.embed(df.select("k", F.when(F.col("k") != "none", F.col("k")).alias("t")).limit(200), "k", "t", Lengths, batch=7).collect() if r.k in ("r1", "none")} == {"r1": [2.0, 1.0], "none": None}
+
+
 def test_early_scores_at_every_depth(spark):
     from spanloom.plans.learned import early_scores
 
