@@ -69,12 +69,16 @@ class _Tables:
     mark, and by the language of the sentence so far, else with what follows, else of the block, else of the text; all of the
     script's where none tells."""
 
-    def __init__(self, text: str, start: int, end: int, default: str, of_text: Callable[[str], str | None]):
+    def __init__(self, text: str, start: int, end: int, default: str, of_text: Callable[[str], str | None], plain: bool = False):
         block = text[start:end]
-        script = _script(block)
         self.block, self.of_text = block, of_text
-        self.script = default if script == "other" or (block.isascii() and not _LATIN_LETTER.search(block)) else script
-        self.mixed = bool(_BEYOND_LATIN.search(block)) and sum(bool(pattern.search(block)) for _, pattern in _SCRIPTS) > 1
+        self.mixed = False
+        if plain or block.isascii():
+            self.script = "latin" if _LATIN_LETTER.search(block) else default
+        else:
+            script = _script(block)
+            self.script = default if script == "other" else script
+            self.mixed = bool(_BEYOND_LATIN.search(block)) and sum(bool(pattern.search(block)) for _, pattern in _SCRIPTS) > 1
         self.read = self.latin = 0
         self.beyond = False
         self.last: str | None = None
@@ -332,6 +336,8 @@ def _sentences(text: str, start: int, end: int, tables: _Tables, last: bool) ->
     window = text[:end] if end < len(text) else text
     for m in _MARK.finditer(text, start, end):
         at, stop = m.start(), m.end()
+        if stop >= end:  # the paragraph ends here in any case
+            break
         while k < len(spans) and spans[k][1] <= at:
             k += 1
         if k < len(spans) and spans[k][0] < at < spans[k][1]:
@@ -370,7 +376,8 @@ def units(text: str | None) -> list[tuple[int, int]]:
     if _QUICK.match(text):
         a = len(text) - len(text.lstrip())
         return [(a, len(text.rstrip()))]
-    script = _script(text)
+    plain = text.isascii() or not _BEYOND_LATIN.search(text)
+    script = ("latin" if _LATIN_LETTER.search(text) else "other") if plain and not text.isascii() else _script(text)
     known: dict[str, str | None] = {}
 
     def of_text(script: str) -> str | None:
@@ -381,7 +388,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
     pieces = list(_blocks(text))
     out: list[tuple[int, int]] = []
     for k, (start, end, whole) in enumerate(pieces):
-        parts = [(start, end)] if whole else _sentences(text, start, end, _Tables(text, start, end, script, of_text), k == len(pieces) - 1)
+        parts = [(start, end)] if whole else _sentences(text, start, end, _Tables(text, start, end, script, of_text, plain), k == len(pieces) - 1)
         for a, b in parts:
             piece = text[a:b]
             left = len(piece) - len(piece.lstrip())

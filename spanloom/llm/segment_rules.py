@@ -82,7 +82,8 @@ TERMINATORS = ".!?…。！？｡．।॥؟۔"
 CLOSERS = "\"'’”»“」』）)\\]】》*_"
 
 # The last rules of the German table: ordinals, which a capital may follow.
-_GERMAN_ORDINAL = r"(?i:\b(?:am|im|vom|zum|beim|der|die|das|dem|den|des|jeder|jedem|jeden|ein|einem|bis|seit|nach|ab))\s+\d{1,4}\."
+_BEFORE_ORDINALS = "am im vom zum beim der die das dem den des jeder jedem jeden ein einem bis seit nach ab".split()
+_GERMAN_ORDINAL = rf"(?i:\b(?:{'|'.join(_BEFORE_ORDINALS)}))\s+\d{{1,4}}\."
 # An answer letter after these words isn't an initial.
 _ANSWERS = r"(?i:(?:is|are|gives|answer|option|choice|ist|lautet|est|es|é|è|respuesta|réponse|antwort|ответ)\s*:?\s*)"
 
@@ -138,7 +139,7 @@ GENERAL: list[tuple[bool, str, str]] = [
 class Cascade:
     """The tables of some languages, then the general one. Neighbouring rules of one kind are tried as one pattern."""
 
-    last_word = regex.compile(r"(?r)(?:\p{L}+|\p{Nd})")
+    last_word, ordinal = regex.compile(r"(?r)(?:\p{L}+|\p{Nd})"), regex.compile(f"(?r){_GERMAN_ORDINAL}")
 
     def __init__(self, languages: tuple[str, ...]):
         rules = [r for lang in languages for r in _language_rules(lang)] + GENERAL
@@ -170,7 +171,9 @@ class Cascade:
     def hangs_on_language(self, text: str, low: int, mark: int) -> bool:
         """Whether the word before a mark is one that only some languages' tables name, or a number, as German ordinals are."""
         word = self.last_word.match(text, low, mark)
-        return bool(word) and (word[0][-1].isdigit() or word[0] in self.named)
+        if not word:
+            return False
+        return word[0] in self.named if word[0][-1].isalpha() else bool(self.ordinal.match(text, low, mark + 1))
 
     def plain(self, text: str, low: int, mark: int, at: int) -> bool | None:
         """What the tables say of a single mark in a plain place, without trying them; None elsewhere."""
@@ -183,13 +186,17 @@ class Cascade:
             return None
         if c in "!?":
             return True
-        tokens = text[max(low, mark - 20) : mark].rsplit(None, 1)
+        tokens = text[max(low, mark - 40) : mark].rsplit(None, 1)
         if not tokens:
             return None
         word = tokens[-1]
         if word.isalpha():
-            # no rule of the tables can keep a word of three letters or more that none of them names
-            return True if len(word) > 2 and word not in self.named else None
+            # no rule of the tables can keep a word of two letters or more that none of them names
+            return True if len(word) > 1 and word not in self.named else None
+        if word.isdigit():
+            # before a capital only a German ordinal goes on, after one of a few words
+            rest = tokens[0].rsplit(None, 1) if len(tokens) > 1 else []
+            return True if len(rest) > 1 and rest[-1].isalpha() and not text[at + 1].islower() and rest[-1].lower() not in _BEFORE_ORDINALS else None
         return True if word[-1].isdigit() and ("." in word or "," in word) and word[0].isdigit() else None
 
 
