@@ -208,14 +208,16 @@ class Model:
         if len(self.codes) > 300_000:
             self.codes, self.table = {}, self.table[:0]
         codes = self.codes
-        fresh = [w for w in dict.fromkeys(found) if w not in codes]
-        if fresh:
+        ids = list(map(codes.get, found))
+        if None in ids:
+            fresh = list(dict.fromkeys(w for w, i in zip(found, ids) if i is None))
             base = len(codes)
             codes.update((w, base + i) for i, w in enumerate(fresh))
             seen = np.array([_code(w) for w in fresh])[:, None] * len(LANGUAGES) + np.arange(len(LANGUAGES))
             hit = np.isin(seen, self.known)
             self.table = np.concatenate([self.table, np.concatenate([Features(fresh).scores(self.weights), hit], axis=1).astype(np.float32)])
-        return self.table[np.fromiter((codes[w] for w in found), dtype=np.int64, count=len(found))]
+            ids = list(map(codes.get, found))
+        return self.table[np.array(ids, dtype=np.int64)]
 
     def sentences(self, texts: list[list[list[str]]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text, of its sentences with words: the probabilities of the languages, and how sure a reader who knows just
