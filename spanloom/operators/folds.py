@@ -20,7 +20,7 @@ from spanloom.operators.boosting import Boosted, Logistic, Words, ranker
 from spanloom.operators.held import held
 from spanloom.operators.sampling import fold_table, with_fold
 
-MOST_BYTES = 1 << 30
+MOST_BYTES = 1 << 28
 #: problems whose folds a generator may draw at the driver; folds by hash have no bound
 MOST_PROBLEMS = 1_000_000
 
@@ -92,15 +92,11 @@ def out_of_fold(
             model = {"boosted": Boosted, "logistic": Logistic}[kind](**options).fit(a, y, n_classes, len(words.place) if words else 0)
         return pd.DataFrame({"_g": [part["_g"].iloc[0]], "_f": np.array([part["_f"].iloc[0]], dtype=np.int32), "model": [pickle.dumps((words and words.state(), type(model).__name__, model.state()))]})
 
-    models: dict[tuple[str | None, int], bytes] = {}
-    size = 0
-    # groups x folds models
     # a number of partitions of its own, for each group is long work and must not be put together with others
-    for r in wanted.repartition(tasks, "_g", "_f").groupBy("_g", "_f").applyInPandas(fit, "_g string, _f int, model binary").collect():
-        models[r["_g"], r["_f"]] = bytes(r["model"])
-        size += len(r["model"])
-        if size > MOST_BYTES:
-            raise ValueError(f"models of more than {MOST_BYTES} bytes: score the groups one after another")
+    made = held(wanted.repartition(tasks, "_g", "_f").groupBy("_g", "_f").applyInPandas(fit, "_g string, _f int, model binary"))
+    if (made.agg(F.sum(F.length("model"))).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"models of more than {MOST_BYTES} bytes: score the groups one after another")
+    models = {(r["_g"], r["_f"]): bytes(r["model"]) for r in made.collect()}  # groups x folds
     shared = spark.sparkContext.broadcast(models)
     keep = [key, *carry]
 
