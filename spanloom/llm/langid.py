@@ -48,7 +48,7 @@ def training_sample(docs: DataFrame, per_language: int, longest: int) -> DataFra
     )
 
 
-def fit_model(docs: DataFrame, *, per_language: int = 80, longest: int = 20_000) -> Model:
+def fit_model(docs: DataFrame, *, per_language: int = 200, longest: int = 20_000) -> Model:
     rows = training_sample(docs, per_language, longest).collect()  # at most per_language for each of 15 languages
     rows = sorted(rows, key=lambda r: (r.y, r.text))
     return fit([[ws for _, _, ws in sentences(r.text)] for r in rows], [LANGUAGES.index(r.y) for r in rows])
