@@ -166,7 +166,7 @@ def whole_fit(spark: SparkSession, d: str) -> DataFrame:
 def model_identification(spark: SparkSession, d: str) -> DataFrame:
     rows = _operators(spark, d)
     names = sorted(r[0] for r in rows.where("model is not null").select("model").distinct().limit(1000).collect())  # classes of a model: few
-    got = fo.out_of_fold(fo.folded(rows, "problem_id", by="plain"), "trace_id", "model", "x", kind="boosted", classes=names, carry=("model",), rounds=100)
+    got = fo.out_of_fold(fo.folded(rows, "problem_id", by="plain"), "trace_id", "model", "x", kind="boosted", classes=names, carry=("model",))
     known = got.where("probs is not null").withColumn("names", F.array(*map(F.lit, names)))
     best = F.array_position("probs", F.array_max("probs")).cast("int")
     return known.select("trace_id", F.col("model").alias("true"), F.element_at("names", best).alias("pred"), F.round(F.array_max("probs"), 9).alias("prob"), F.map_from_arrays("names", "probs").alias("probs"))
