@@ -3,8 +3,10 @@
 The statistic is that of word trigrams inside texts and at ends. Every word, number (all alike) and mark of every value is
 a token; of each trigram it is counted how often it occurs and how often an end follows: the end of the line or the value,
 or, after a word, a sentence mark. A value whose last trigram is frequent but almost never followed by an end was cut.
-Where the trigram is new, its first two words decide: if new words are rare after them, a piece of a word stands there;
-else the same figures of them with any third word hold. Scripts without blanks use six signs in place of three words. Marks left by a cut, delimiters left open and
+A value's end may be a cut itself: where a trigram ends hardly anywhere but with values, and few of those that begin like it
+are that one, it tells nothing. There, and where it is new, its first two words decide: if words of one text are rare after
+them, a piece of a word stands there; else the same figures of them with any third word hold. So pieces that recur, as they do
+in large tables and with copies of a text under other keys, are found like new ones. Scripts without blanks use six signs in place of three words. Marks left by a cut, delimiters left open and
 lengths at which a back end stops are told apart before, all in SQL expressions: no Python runs.
 
 Two reads of the texts give all of it, and no text is shuffled: the first tells of each delivery what its values end like
@@ -72,20 +74,22 @@ def _ends(t: str) -> Column:
 
 
 def trigram_ends(vals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(context, gram, n, ends) of every trigram of every value (text, weight), and the same by context with its words that
-    occur once.
+    """(context, gram, n, ends, stops, alone) of every trigram of every value (text, weight), and the same by context, ``alone``
+    being the number of those whose word stands in one text only.
 
-    Combined in each task before the shuffle, first by trigram, then by context. The weights of equal copies add up to one.
+    ``stops``: how often the value itself stops there; ``alone``: whether all lie in equal texts. Combined in each task before the shuffle, first by trigram, then by context. The weights of equal copies add up to one.
     """
-    grams = vals.where(F.col("text").isNotNull()).select("weight", _tokens(F.col("text")).alias("toks")).select("weight", F.explode(_grams(F.col("toks"))).alias("t"))
+    grams = vals.where(F.col("text").isNotNull()).select("weight", F.hash("text").alias("of"), _tokens(F.col("text")).alias("toks")).select("weight", "of", F.explode(_grams(F.col("toks"))).alias("t"))
     context, gram = _keys("t")
     whole = lambda c: F.round(F.sum(c)).cast("long")
     exact = (
-        grams.select("weight", context.alias("context"), gram.alias("gram"), F.when(_ends("t"), F.col("weight")).otherwise(0.0).alias("e"))
+        grams.select(
+            "weight", "of", context.alias("context"), gram.alias("gram"), F.when(_ends("t"), F.col("weight")).otherwise(0.0).alias("e"), F.when(F.col("t.t6").isNull(), F.col("weight")).otherwise(0.0).alias("s")
+        )
         .groupBy("context", "gram")
-        .agg(whole("weight").alias("n"), whole("e").alias("ends"))
+        .agg(whole("weight").alias("n"), whole("e").alias("ends"), whole("s").alias("stops"), (F.min("of") == F.max("of")).alias("alone"))
     )
-    return exact, exact.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.count_if(F.col("n") == 1).alias("once"))
+    return exact, exact.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("n", "ends", "stops")], F.sum(F.when(F.col("alone"), F.col("n")).otherwise(0)).alias("alone"))
 
 
 def limits(vals: DataFrame, *, least_length: int = 100, least_count: int = 8, one_share: float = 0.02, ten_share: float = 0.08) -> DataFrame:
@@ -200,11 +204,12 @@ def judged(
     stop_n: int = 60,
     closed_n: int = 20,
     closed_new: float = 0.05,
+    copied: int = 100,
 ) -> DataFrame:
     """(trace_id, model, field, reason): every value with the reason why it counts as cut, else null.
 
     Reasons, the first that holds: ``mark`` (left by the cut), ``open`` (delimiters left open), ``trigram``, ``limit``.
-    ``chosen``: what ``deliveries`` gave with the same columns ``more``.
+    ``chosen``: what ``deliveries`` gave with the same columns ``more``. ``copied``: equal texts of so many signs are copies.
     """
     chosen = deliveries(traces, *more) if chosen is None else chosen
     names = F.array(*map(F.lit, FIELDS))
@@ -212,9 +217,9 @@ def judged(
     exact, context = trigram_ends(_weighted(traces, chosen, *more))
     undecided = asked.where("asks").select("trace_id", "field", F.col("c").alias("_c"), F.col("g").alias("_g"))
     found = (
-        undecided.join(exact.select(F.col("context").alias("_c"), F.col("gram").alias("_g"), F.col("n").alias("n3"), F.col("ends").alias("e3")), ["_c", "_g"])
-        .join(context.select(F.col("context").alias("_c"), F.col("n").alias("n2"), F.col("ends").alias("e2"), "once"), "_c")
-        .select(F.col("trace_id").alias("_id"), F.col("field").alias("_fd"), "n3", "e3", "n2", "e2", "once")
+        undecided.join(exact.select(F.col("context").alias("_c"), F.col("gram").alias("_g"), F.col("n").alias("n3"), F.col("ends").alias("e3"), F.col("stops").alias("s3"), F.col("alone").alias("a3")), ["_c", "_g"])
+        .join(context.select(F.col("context").alias("_c"), F.col("n").alias("n2"), F.col("ends").alias("e2"), F.col("stops").alias("s2"), F.col("alone").alias("a2")), "_c")
+        .select(F.col("trace_id").alias("_id"), F.col("field").alias("_fd"), "n3", "e3", "s3", "a3", "n2", "e2", "s2", "a2")
     )
     at = limits(asked)
     got = asked.join(found, F.col("trace_id").eqNullSafe(F.col("_id")) & (F.col("field") == F.col("_fd")), "left").join(
@@ -222,14 +227,19 @@ def judged(
     )
     at_limit = F.coalesce(F.col("_all") | (F.col("len") == F.col("_top")), F.lit(False))
     # the value's own end is left out of the figures
-    n3, e3, n2, e2 = (F.col(c) - 1 for c in ("n3", "e3", "n2", "e2"))
-    once = F.col("once") - F.when(n3 == 0, 1).otherwise(0)
+    n3, e3, s3 = (F.col(c) - 1 for c in ("n3", "e3", "s3"))
+    # those of the trigrams that begin alike but end with another word
+    n2, e2, s2 = (F.col(a) - F.col(b) for a, b in (("n2", "n3"), ("e2", "e3"), ("s2", "s3")))
+    alone = F.col("a2") - F.when(F.col("a3"), F.col("n3")).otherwise(0)
+    # it ends hardly anywhere but with values, which may be cut themselves, and is one of many
+    untold = lambda least: (e3 - s3 <= n3 * F.lit(word_ends)) & (n3 * least <= n2)
+    own = F.col("a3") & (F.col("len") >= copied)  # in no text but this one and its copies; short ones may be written twice
     cut = (
         F.when(F.col("stop"), (n3 >= stop_n) & (e3 < n3 * F.lit(stop_ends)))
-        .when(n3 >= least_n, e3 < n3 * F.lit(word_ends))
-        # a word that its place has never held, where few words are new: a piece of one
-        .when((n3 == 0) & (n2 >= closed_n) & (once < n2 * F.lit(closed_new)), F.lit(True))
-        .when(n2 >= least_n, e2 < n2 * F.lit(word_ends))
+        # where few words are those of one text and values seldom stop: a piece of a word
+        .when(untold(closed_n) & (n2 >= closed_n) & (alone < n2 * F.lit(closed_new)) & (s2 < n2 * F.lit(word_ends)), F.lit(True))
+        .when((n3 >= least_n) & ~own & ~(untold(least_n) & (n2 >= least_n)), e3 < n3 * F.lit(word_ends))
+        .when(F.when(own, n2).otherwise(n2 + n3) >= least_n, F.when(own | untold(least_n), e2 < n2 * F.lit(word_ends)).otherwise(e2 + e3 < (n2 + n3) * F.lit(word_ends)))
         .otherwise(F.lit(True))
     )
     reason = (

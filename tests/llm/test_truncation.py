@@ -107,3 +107,17 @@ def test_one_delivery_decides(spark, monkeypatch):
     monkeypatch.setattr("spanloom.llm.truncation.SENT", 0)
     assert sent == sorted(map(tuple, judged(df).select("trace_id", "field", "reason").collect()))
     assert {k for k, f, r in sent if r} == set(CUT)
+
+
+def test_pieces_that_recur(spark):
+    """As in large tables: the same piece at the end of many texts, or of a text repeated under other keys."""
+    piece = "{} We need the tiling to be sor"
+    many = [(f"p{i}", "m", None, piece.format("We look at " + "ab"[i % 2] * (i + 2) + " rows!"), None, 1) for i in range(12)]
+    far = "It is so. " * 12
+    copies = [(f"q{i}", "m", None, far + "The zirc of the lantern zulo", None, 1) for i in range(12)] + [(f"r{i}", "m", None, far + "We need the corner to be bel", None, 1) for i in range(12)]
+    whole = [(f"w{i}", "m", None, "The queue can't be larger than the tiling", None, 1) for i in range(12)]
+    df = spark.createDataFrame(corpus() + many + copies + whole, SCHEMA)
+    got = {r.trace_id for r in truncated(df).where("reason = 'trigram'").collect()}
+    alone = {r.trace_id for r in truncated(spark.createDataFrame(corpus() + many[:1] + copies[:1] + copies[12:13] + whole[:1], SCHEMA)).where("reason = 'trigram'").collect()}
+    assert alone == {"p0", "q0", "r0"}
+    assert got == {r[0] for r in many + copies}
