@@ -1,24 +1,44 @@
 """Boosted trees, logistic and pairwise linear scores in numpy, for samples that fit a task.
 
-Features are not negative and mostly zero, so only what isn't zero is stored: as entries of a row and a code, the place of
-its value among a feature's cuts. A split sends to the right the rows whose value is beyond a cut.
+Features are not negative and mostly zero, so only what isn't zero is stored: as codes of a row, the places of its values
+among the features' cuts. A split sends to the right the rows whose value is beyond a cut. Of two children only the one
+with fewer rows is summed up by code, the other is what is left of their parent; nodes too light to be split aren't.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
+import pandas as pd
 
 
 class Cuts:
     """Codes of features' values: at most ``bins`` for each feature (four for the first ``coarse`` ones), by the quantiles of what
     isn't zero in the sample."""
 
-    def __init__(self, x: np.ndarray, most: int = 16, coarse: int = 0):
+    def __init__(self, x: np.ndarray, most: int = 16, coarse: int = 0, rows: float = 0):
+        """``rows``: cuts with fewer rows of the sample beyond them are left out."""
+        row, col = np.nonzero(x > 0)
+        order = np.argsort(col.astype(np.uint16) if x.shape[1] < 1 << 16 else col, kind="stable")
+        values = x[row, col][order]
+        ends = np.cumsum(np.bincount(col, minlength=x.shape[1]))
+        #: the entries by row: what row and feature, and the place among the feature's cuts, -1 without any
+        self.row, self.col, bins = row, col, np.full(len(row), -1, dtype=np.int16)
         cuts = []
-        for f in range(x.shape[1]):
-            bins = most if f >= coarse else 4
-            seen = np.unique(x[:, f][x[:, f] > 0])
-            cuts.append(seen if len(seen) <= bins else np.unique(np.quantile(seen, np.arange(bins) / bins, method="lower")))
+        for f, (begin, end) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+            if end - begin < max(rows, 1):
+                cuts.append(values[:0])
+                continue
+            bin_count, own = most if f >= coarse else 4, values[begin:end]
+            seen = np.unique(own)
+            if len(seen) > bin_count:
+                seen = np.unique(seen[np.floor(np.arange(bin_count) / bin_count * (len(seen) - 1)).astype(int)])
+            at = np.searchsorted(seen, own, side="right") - 1
+            kept = int((np.cumsum(np.bincount(at, minlength=len(seen))[::-1])[::-1] >= rows).sum())
+            cuts.append(seen[:kept])
+            bins[order[begin:end]] = np.minimum(at, kept - 1)
+        self.bin = bins
         self._place(cuts)
 
     def _place(self, cuts: list[np.ndarray]) -> None:
@@ -44,6 +64,88 @@ class Cuts:
         return out
 
 
+def _exact(v: np.ndarray) -> np.ndarray:
+    """Multiples of 2**-32, whose sums over a million rows have no rounding: equal whatever their order."""
+    return np.rint(v * 2.0**32) / 2.0**32
+
+
+class _Entries:
+    """The codes of a sample's rows. They are numbered by place, then feature, those with more cuts first, so the sums of a
+    feature's codes from one on are a few sums of stretches. Rows are taken in the order of their number of entries, ``order``;
+    those of like many lie in one block, filled with a last number that stands for nothing."""
+
+    def __init__(self, cuts: Cuts, n: int, blocks: int = 8):
+        sizes = np.array([len(c) for c in cuts.cuts], dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        rank = np.empty(len(sizes), dtype=np.int64)
+        rank[order] = np.arange(len(sizes))
+        self.widths = [int((sizes > b).sum()) for b in range(sizes.max(initial=0))]  # features with more than b cuts
+        first = np.cumsum([0, *self.widths])
+        self.size = int(first[-1])
+        self.bin = np.repeat(np.arange(len(self.widths)), self.widths)
+        self.feature = order[np.arange(self.size) - first[self.bin]]
+        self.code = cuts.first[self.feature] + self.bin
+        held = cuts.bin >= 0
+        row, col, at = cuts.row[held], cuts.col[held], cuts.bin[held].astype(np.int64)
+        count = np.bincount(row, minlength=n)
+        self.order = np.argsort(count, kind="stable")
+        within = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+        place = np.empty(n, dtype=np.int64)
+        place[self.order] = np.arange(n)
+        row, count = place[row], count[self.order]
+        self.grid = np.zeros((len(sizes), n), dtype=np.uint8)  # places from 1 on, 0 for none
+        self.grid[col, row] = at + 1
+        number = first[at] + rank[col]
+        self.ends, self.blocks = [], []
+        for own in np.array_split(np.arange(n), blocks):
+            begin, end = (own[0], own[-1] + 1) if len(own) else (n, n)
+            self.ends.append(end)
+            self.blocks.append(np.full((len(own), count[begin:end].max(initial=0)), self.size, dtype=np.int64))
+            mine = (row >= begin) & (row < end)
+            self.blocks[-1][row[mine] - begin, within[mine]] = number[mine]
+        by = np.argsort(number, kind="stable")
+        self.row, self.pair = row[by], np.empty(len(by), dtype=complex)
+        self.start = np.searchsorted(number[by], np.arange(self.size))  # of each code, which all have entries
+        most = sum(m.size for m in self.blocks)
+        self.number, self.value = np.zeros(most, dtype=np.int64), np.zeros((2, most))
+
+    def whole(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of all rows, a slot."""
+        both = np.empty(len(g), dtype=complex)
+        both.real, both.imag = g, h
+        both.take(self.row, out=self.pair, mode="clip")
+        total = np.add.reduceat(self.pair, self.start)
+        return self._onward(total.real[None, :].copy()), self._onward(total.imag[None, :].copy())
+
+    def sums(self, slot: np.ndarray, part: np.ndarray, g: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n, codes) of g and of h: sums over the rows of ``part`` in each slot with the code or a later one of its feature."""
+        at = slot[part]
+        part, at = part[at >= 0], at[at >= 0]
+        m, wide, first, begin = 0, self.size + 1, 0, 0
+        ends = np.searchsorted(part, self.ends)
+        vg, vh, at = g[part], h[part], at * wide
+        for block, end, last in zip(self.blocks, ends, self.ends):
+            # what is written again and again is not allocated anew, which would cost more than the sums
+            if (k := (end - begin) * block.shape[1]) > 0:
+                shape, i = (end - begin, block.shape[1]), slice(begin, end)
+                number = self.number[m : m + k].reshape(shape)
+                block.take(part[i] - first, axis=0, out=number, mode="clip")
+                if n > 1:
+                    number += at[i, None]
+                self.value[0, m : m + k].reshape(shape)[:] = vg[i, None]
+                self.value[1, m : m + k].reshape(shape)[:] = vh[i, None]
+                m += k
+            begin, first = end, last
+        return tuple(self._onward(np.bincount(self.number[:m], v[:m], n * wide).reshape(n, wide)[:, : self.size]) for v in self.value)
+
+    def _onward(self, total: np.ndarray) -> np.ndarray:
+        first = np.cumsum([0, *self.widths])
+        for k in range(len(self.widths) - 2, -1, -1):
+            w = self.widths[k + 1]
+            total[:, first[k] : first[k] + w] += total[:, first[k + 1] : first[k + 1] + w]
+        return total
+
+
 class Boosted:
     """Gradient-boosted trees: of one score for two classes, of one for each of more."""
 
@@ -51,11 +153,11 @@ class Boosted:
         self.rounds, self.depth, self.rate, self.rows, self.columns, self.ridge, self.least, self.seed = rounds, depth, rate, rows, columns, ridge, least, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray, classes: int = 2, coarse: int = 0) -> Boosted:
-        self.cuts, self.outputs = Cuts(x, coarse=coarse), 1 if classes == 2 else classes
+        # a row's h is a quarter at most: beyond a cut with fewer rows there is never weight enough
+        self.cuts, self.outputs = Cuts(x, coarse=coarse, rows=4 * self.least), 1 if classes == 2 else classes
         rng = np.random.default_rng(self.seed)
-        grid = self.cuts.codes(x)
-        row, col = np.nonzero(grid >= 0)
-        code = grid[row, col].astype(np.int64)
+        entries = _Entries(self.cuts, len(x))
+        y = y[entries.order]
         score = np.zeros((len(x), self.outputs))
         target = y[:, None].astype(float) if self.outputs == 1 else (y[:, None] == np.arange(classes)).astype(float)
         self.splits, self.leaves = [], []
@@ -65,11 +167,12 @@ class Boosted:
             else:
                 p = np.exp(score - score.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-            drawn = rng.random(len(x)) < self.rows
+            drawn = (rng.random(len(x)) < self.rows)[entries.order]
             open_ = rng.random(len(self.cuts.first)) < self.columns
+            part = np.flatnonzero(drawn)
             for k in range(self.outputs):
                 g, h = np.where(drawn, p[:, k] - target[:, k], 0), np.where(drawn, np.maximum(p[:, k] * (1 - p[:, k]), 1e-9), 0)
-                score[:, k] += self._grow(row, code, g, h, open_)
+                score[:, k] += self._grow(entries, part, _exact(g), _exact(h), open_)
         return self
 
     def state(self) -> dict:
@@ -82,57 +185,78 @@ class Boosted:
         made.cuts, made.outputs, made.splits, made.leaves = Cuts.of(cuts), rest["outputs"], rest["splits"], rest["leaves"]
         return made
 
-    def _grow(self, row: np.ndarray, code: np.ndarray, g: np.ndarray, h: np.ndarray, open_: np.ndarray) -> np.ndarray:
-        c, size = self.cuts, len(self.cuts.feature)
+    def _grow(self, entries: _Entries, part: np.ndarray, g: np.ndarray, h: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """The tree's values of all rows, in the order of the entries, grown on the rows of ``part``; g and h are 0 elsewhere."""
+        rows, closed = np.arange(len(g)), np.where(open_[entries.feature], 0, -np.inf)
         node = np.zeros(len(g), dtype=np.int64)
         split = np.full(2**self.depth - 1, -1, dtype=np.int64)
-        allowed = open_[c.feature] if size else np.zeros(0, dtype=bool)
+        gs, hs = np.array([g.sum()]), np.array([h.sum()])
+        live = np.arange(1)[(hs >= 2 * self.least) & (entries.size > 0)]  # nodes that may be split, with their sums by code
+        if len(live):
+            right_g, right_h = entries.whole(g, h)
         for level in range(self.depth):
             n, base = 2**level, 2**level - 1
-            gs, hs = np.bincount(node, g, n), np.bincount(node, h, n)
-            if not size:
-                break
-            at = node[row] * size + code
-            right_g, right_h = (np.bincount(at, v[row], n * size).reshape(n, size) for v in (g, h))
-            # of each code, the sums of its feature's codes from it on
-            right_g, right_h = (np.cumsum(r[:, ::-1], 1)[:, ::-1] for r in (right_g, right_h))
-            after = np.append(c.last + 1, 0)[:size]
-            right_g, right_h = (r - np.where(after < size, r[:, np.minimum(after, size - 1)], 0) for r in (right_g, right_h))
-            left_g, left_h = gs[:, None] - right_g, hs[:, None] - right_h
-            gain = left_g**2 / (left_h + self.ridge) + right_g**2 / (right_h + self.ridge) - (gs**2 / (hs + self.ridge))[:, None]
-            gain[(left_h < self.least) | (right_h < self.least) | ~allowed] = -1
-            best = gain.argmax(1)
-            best[gain[np.arange(n), best] <= 1e-9] = -1
-            split[base : base + n] = best
-            node = self._step(node, best, row, code)
+            best = np.full(n, -1, dtype=np.int64)
+            if len(live):
+                best[live] = self._best(right_g, right_h, gs[live, None], hs[live, None], closed)
+                cut = best >= 0
+                split[base : base + n][cut] = entries.code[best[cut]]
             if (best < 0).all():
-                node *= 2 ** (self.depth - level - 1)
+                node *= 2 ** (self.depth - level)
                 break
+            at = best[node]
+            node = 2 * node + ((at >= 0) & (entries.grid.take(entries.feature.take(at) * len(rows) + rows) > entries.bin.take(at)))
+            if level == self.depth - 1:
+                break
+            gs, hs = np.bincount(node, g, 2 * n), np.bincount(node, h, 2 * n)
+            heavy = hs >= 2 * self.least
+            kept = np.flatnonzero((best[live] >= 0) & (heavy[2 * live] | heavy[2 * live + 1]))
+            count = np.bincount(node[part], minlength=2 * n)
+            parent = live[kept]
+            small = 2 * parent + (count[2 * parent] > count[2 * parent + 1])
+            slot = np.full(2 * n, -1, dtype=np.int64)
+            slot[small] = np.arange(len(small))
+            if len(small):
+                small_g, small_h = entries.sums(slot[node], part, g, h, len(small))
+                right_g, right_h = (np.concatenate([a, b[kept] - a]) for a, b in ((small_g, right_g), (small_h, right_h)))
+            live = np.concatenate([small, small ^ 1])
+            if not heavy[live].all():
+                right_g, right_h, live = right_g[heavy[live]], right_h[heavy[live]], live[heavy[live]]
         n = 2**self.depth
         leaf = -self.rate * np.bincount(node, g, n) / (np.bincount(node, h, n) + self.ridge)
         self.splits.append(split)
         self.leaves.append(leaf)
         return leaf[node]
 
-    def _step(self, node: np.ndarray, best: np.ndarray, row: np.ndarray, code: np.ndarray) -> np.ndarray:
-        right = np.zeros(len(node), dtype=bool)
-        cut = best[node[row]]
-        right[row[(cut >= 0) & (code >= cut) & (code <= self.cuts.last[cut])]] = True
-        return 2 * node + right
+    def _best(self, right_g: np.ndarray, right_h: np.ndarray, gs: np.ndarray, hs: np.ndarray, closed: np.ndarray) -> np.ndarray:
+        """The place of the best cut of each node, -1 where none gains."""
+        left_h = hs - right_h
+        light = (left_h < self.least) | (right_h < self.least)
+        gain = gs - right_g
+        gain *= gain
+        left_h += self.ridge
+        gain /= left_h
+        np.multiply(right_g, right_g, out=left_h)
+        left_h /= right_h + self.ridge
+        gain += left_h
+        gain += closed
+        gain[light] = -np.inf
+        best = gain.argmax(1)
+        best[gain[np.arange(len(gain)), best] - (gs**2 / (hs + self.ridge))[:, 0] <= 1e-9] = -1
+        return best
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """(rows, classes): the share of each class."""
-        grid = self.cuts.codes(x)
-        score = np.zeros((len(x), self.outputs))
-        rows = np.arange(len(x))
+        grid, n = np.ascontiguousarray(self.cuts.codes(x).T).ravel(), len(x)
+        score = np.zeros((n, self.outputs))
+        rows, size = np.arange(n), len(self.cuts.feature)
         for i, (split, leaf) in enumerate(zip(self.splits, self.leaves)):
-            node = np.zeros(len(x), dtype=np.int64)
-            for level in range(self.depth):
-                cut = split[node + 2**level - 1]
-                right = np.zeros(len(x), dtype=bool)
-                if len(self.cuts.feature):
-                    right = (cut >= 0) & (grid[rows, self.cuts.feature[np.maximum(cut, 0)]] >= cut)
-                node = 2 * node + right
+            node = np.zeros(n, dtype=np.int64)
+            if size:
+                begin, least = self.cuts.feature[np.maximum(split, 0)] * n, np.where(split >= 0, split, size)
+                for level in range(self.depth):
+                    at = node + (2**level - 1)
+                    node = 2 * node + (grid.take(begin.take(at) + rows) >= least.take(at))
             score[:, i % self.outputs] += leaf[node]
         if self.outputs == 1:
             p = 1 / (1 + np.exp(-score[:, 0]))
@@ -192,21 +316,24 @@ def ranker(x: np.ndarray, y: np.ndarray, problems: np.ndarray, *, pairs: int = 1
     return Logistic(ridge=ridge, ranks=True).fit(np.concatenate([d, -d]), np.repeat([1, 0], len(d)))
 
 
+def _factorized(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, code, words): of every word of every text, in order, what text it is of and which of the different words it is."""
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    code, words = pd.factorize(np.fromiter(itertools.chain.from_iterable(texts), dtype=object, count=len(text)), use_na_sentinel=False)
+    return text, code, list(words)
+
+
 class Words:
     """Term weights of texts, as ``tfidf`` gives them: (1 + ln tf)(ln((1 + n)/(1 + df)) + 1), each text scaled to length one,
     over the ``size`` most frequent words of the texts it was fitted to."""
 
     def __init__(self, texts: list[list[str]], size: int = 8000):
-        total: dict[str, int] = {}
-        df: dict[str, int] = {}
-        for t in texts:
-            for w in t:
-                total[w] = total.get(w, 0) + 1
-            for w in set(t):
-                df[w] = df.get(w, 0) + 1
-        kept = sorted(total, key=lambda w: (-total[w], w))[:size]
-        self.place = {w: i for i, w in enumerate(kept)}
-        self.idf = np.array([np.log((1 + len(texts)) / (1 + df[w])) + 1 for w in kept])
+        text, code, words = _factorized(texts)
+        total = np.bincount(code, minlength=len(words))
+        df = np.bincount(np.unique(text * max(len(words), 1) + code) % max(len(words), 1), minlength=len(words))
+        kept = sorted(range(len(words)), key=lambda i: (-total[i], words[i]))[:size]
+        self.place = {words[i]: j for j, i in enumerate(kept)}
+        self.idf = np.array([np.log((1 + len(texts)) / (1 + df[i])) + 1 for i in kept])
 
     def state(self) -> tuple[dict[str, int], np.ndarray]:
         return self.place, self.idf
@@ -219,10 +346,11 @@ class Words:
 
     def weights(self, texts: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.place)), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for w in t:
-                if (j := self.place.get(w)) is not None:
-                    out[i, j] += 1
+        text, code, words = _factorized(texts)
+        place = np.array([self.place.get(w, -1) for w in words], dtype=np.int64)
+        at = text * max(out.shape[1], 1) + place[code]
+        at, n = np.unique(at[place[code] >= 0], return_counts=True)
+        out.ravel()[at] = n
         seen = out > 0
         out[seen] = 1 + np.log(out[seen])
         out *= self.idf.astype(np.float32)

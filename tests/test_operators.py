@@ -3,12 +3,15 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import boosting
 from spanloom.operators import metrics as m
 from spanloom.operators import pivots as pv
 from spanloom.operators import sampling, sequences as s, traces as tr
+from spanloom.operators.boosting import Boosted
 from spanloom.operators.vectors import cosine
 from spanloom.operators.folds import folded, out_of_fold
 
@@ -211,3 +214,66 @@ def test_early_scores_at_every_depth(spark):
     from spanloom.plans.learned import early_scores
 
     assert {r.depth for r in early_scores(spark, "/root/testdata/sf0.001").select("depth").distinct().collect()} == {10, 25, 50, 75, 100}
+
+
+def _plain_trees(x, y, classes, rounds, depth, coarse, seed=42):
+    """Every cut of every node summed anew: the first of the best by place, then features, those with more cuts first."""
+    rng, outs = np.random.default_rng(seed), 1 if classes == 2 else classes
+    cuts = []
+    for f in range(x.shape[1]):
+        seen, bins = np.unique(x[:, f][x[:, f] > 0]), 16 if f >= coarse else 4
+        cuts.append(seen if len(seen) <= bins else np.unique(np.quantile(seen, np.arange(bins) / bins, method="lower")))
+    tried = sorted(((b, -len(c), f) for f, c in enumerate(cuts) for b in range(len(c))))
+    score, target = np.zeros((len(x), outs)), (y[:, None] == (np.arange(classes) if outs > 1 else 1)).astype(float)
+    for _ in range(rounds):
+        p = np.exp(score) / np.exp(score).sum(1, keepdims=True) if outs > 1 else 1 / (1 + np.exp(-score))
+        drawn, open_ = rng.random(len(x)) < 0.8, rng.random(x.shape[1]) < 0.8
+        for k in range(outs):
+            g, h = np.where(drawn, p[:, k] - target[:, k], 0), np.where(drawn, p[:, k] * (1 - p[:, k]), 0)
+
+            def grow(at, left):
+                whole, best = (g[at].sum(), h[at].sum()), (1e-9, None)
+                for b, _, f in tried if left else ():
+                    right = x[at, f] >= cuts[f][b]
+                    a, w = g[at][right].sum(), h[at][right].sum()
+                    gain = (whole[0] - a) ** 2 / (whole[1] - w + 1) + a**2 / (w + 1) - whole[0] ** 2 / (whole[1] + 1)
+                    if open_[f] and w >= 1 and whole[1] - w >= 1 and gain > best[0] + 1e-8:
+                        best = (gain, right)
+                if best[1] is None:
+                    score[at, k] -= 0.05 * whole[0] / (whole[1] + 1)
+                else:
+                    grow(at[~best[1]], left - 1)
+                    grow(at[best[1]], left - 1)
+
+            grow(np.arange(len(x)), depth)
+    p = 1 / (1 + np.exp(-score[:, 0])) if outs == 1 else None
+    return np.exp(score) / np.exp(score).sum(1, keepdims=True) if outs > 1 else np.stack([1 - p, p], 1)
+
+
+def test_boosted_as_plain_search():
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((300, 9)) < 0.6, rng.random((300, 9)), 0).astype(np.float32)
+    x[:, 8] = (np.arange(300) < 3) * 0.5  # too rare to be cut
+    for k in (2, 3):
+        y = ((x[:, 0] + x[:, 1] + 0.3 * rng.random(300)) * k / 2.4).astype(int).clip(0, k - 1)
+        got = Boosted(rounds=5, depth=4).fit(x, y, k, 4).predict(x)
+        assert np.abs(got - _plain_trees(x, y, k, 5, 4, 4)).max() < 1e-8
+
+
+def test_boosted_sums_fewer_rows():
+    """Of two children one is summed, so what is summed below the root is at most half of the rows a level."""
+    rng = np.random.default_rng(2)
+    x, summed = rng.random((400, 5)).astype(np.float32), []
+    sums = boosting._Entries.sums
+
+    def counted(self, slot, part, *rest):
+        summed.append((slot[part] >= 0).sum() / len(part))
+        return sums(self, slot, part, *rest)
+
+    boosting._Entries.sums = counted
+    try:
+        Boosted(rounds=5).fit(x, (x[:, 0] + x[:, 1] > 1).astype(int))
+    finally:
+        boosting._Entries.sums = sums
+    assert summed and max(summed) <= 0.5
+    assert Boosted(rounds=2).fit(np.zeros((4, 2), np.float32), np.array([0, 1, 0, 1])).predict(np.ones((1, 2), np.float32)).shape == (1, 2)
