@@ -3,25 +3,50 @@
 Features are not negative and mostly zero, so only what isn't zero is stored: as codes of a row, the places of its values
 among the features' cuts. A split sends to the right the rows whose value is beyond a cut. Of two children only the one
 with fewer rows is summed up by code, the other is what is left of their parent; nodes too light to be split aren't.
+``trees.java`` grows the same trees in Spark's executors (``packed``, ``grown``, ``taken``).
 """
 
 from __future__ import annotations
 
 import itertools
+import struct
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+
+
+class Sparse(NamedTuple):
+    """A matrix by what isn't zero: row, column and value of each entry."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, x: np.ndarray | Sparse) -> Sparse:
+        """Of a dense one; only what is greater than zero counts."""
+        if isinstance(x, Sparse):
+            return x
+        row, col = np.nonzero(x > 0)
+        return cls(row, col, x[row, col], x.shape)
+
+    def beside(self, other: Sparse) -> Sparse:
+        return Sparse(np.r_[self.row, other.row], np.r_[self.col, other.col + self.shape[1]], np.r_[self.value, other.value], (self.shape[0], self.shape[1] + other.shape[1]))
 
 
 class Cuts:
     """Codes of features' values: at most ``bins`` for each feature (four for the first ``coarse`` ones), by the quantiles of what
     isn't zero in the sample."""
 
-    def __init__(self, x: np.ndarray, most: int = 16, coarse: int = 0, rows: float = 0):
+    def __init__(self, x: np.ndarray | Sparse, most: int = 16, coarse: int = 0, rows: float = 0):
         """``rows``: cuts with fewer rows of the sample beyond them are left out."""
-        row, col = np.nonzero(x > 0)
+        x = Sparse.of(x)
+        row, col = x.row, x.col
         order = np.argsort(col.astype(np.uint16) if x.shape[1] < 1 << 16 else col, kind="stable")
-        values = x[row, col][order]
+        values = x.value[order]
         ends = np.cumsum(np.bincount(col, minlength=x.shape[1]))
         #: the entries by row: what row and feature, and the place among the feature's cuts, -1 without any
         self.row, self.col, bins = row, col, np.full(len(row), -1, dtype=np.int16)
@@ -54,13 +79,14 @@ class Cuts:
         made._place(cuts)
         return made
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """(rows, features): the code of each value, -1 of zero and of what lies below the least cut."""
-        out = np.full(x.shape, -1, dtype=np.int32)
+    def places(self, x: Sparse) -> np.ndarray:
+        """Of each entry, the place of its value among its feature's cuts, from 1 on; 0 below the least."""
+        wide = np.full((max(map(len, self.cuts), default=0), len(self.cuts)), np.inf)
         for f, cuts in enumerate(self.cuts):
-            if len(cuts):
-                at = np.searchsorted(cuts, x[:, f], side="right") - 1
-                out[:, f] = np.where(at >= 0, at + self.first[f], -1)
+            wide[: len(cuts), f] = cuts
+        out = np.zeros(len(x.row), dtype=np.uint8)
+        for cuts in wide:
+            out += cuts.take(x.col) <= x.value
         return out
 
 
@@ -151,6 +177,7 @@ class Boosted:
 
     def __init__(self, *, rounds: int = 400, depth: int = 6, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8, ridge: float = 1.0, least: float = 1.0, seed: int = 42):
         self.rounds, self.depth, self.rate, self.rows, self.columns, self.ridge, self.least, self.seed = rounds, depth, rate, rows, columns, ridge, least, seed
+        self.splits, self.leaves = [], []
 
     def fit(self, x: np.ndarray, y: np.ndarray, classes: int = 2, coarse: int = 0) -> Boosted:
         # a row's h is a quarter at most: beyond a cut with fewer rows there is never weight enough
@@ -175,13 +202,44 @@ class Boosted:
                 score[:, k] += self._grow(entries, part, _exact(g), _exact(h), open_)
         return self
 
+    def packed(self, x: np.ndarray | Sparse, y: np.ndarray, classes: int = 2, coarse: int = 0) -> bytes:
+        """The sample and what chance draws, for ``trees.java``, which gives the trees that ``fit`` does."""
+        x = Sparse.of(x)
+        self.cuts, self.outputs = Cuts(x, coarse=coarse, rows=4 * self.least), 1 if classes == 2 else classes
+        cuts, n, features = self.cuts, x.shape[0], x.shape[1]
+        sizes = np.array([len(c) for c in cuts.cuts], dtype=np.int64)
+        rank = np.empty(features, dtype=np.int64)
+        rank[np.argsort(-sizes, kind="stable")] = np.arange(features)
+        at = np.arange(len(cuts.feature)) - cuts.first[cuts.feature]
+        number = (np.cumsum(np.bincount(at)) - np.bincount(at))[at] + rank[cuts.feature]  # of equal cuts the first by this counts, as in _Entries
+        held = np.flatnonzero(cuts.bin >= 0)
+        held = held[np.argsort(cuts.row[held], kind="stable")]
+        begin = np.cumsum([0, *np.bincount(cuts.row[held], minlength=n)])
+        rng = np.random.default_rng(self.seed)
+        drawn, open_ = [], []
+        for _ in range(self.rounds):
+            drawn.append(np.packbits(rng.random(n) < self.rows, bitorder="little"))
+            open_.append(np.packbits(rng.random(features) < self.columns, bitorder="little"))
+        parts = (y, np.append(cuts.first, len(cuts.feature)), number, begin, cuts.first[cuts.col[held]] + cuts.bin[held])
+        numbers = struct.pack("<7i3d", n, self.outputs, self.rounds, self.depth, features, len(cuts.feature), len(held), self.rate, self.ridge, self.least)
+        return b"".join([numbers, *(np.asarray(p).astype("<i4").tobytes() for p in parts), *(b.tobytes() for b in drawn), *(b.tobytes() for b in open_)])
+
+    def taken(self, trees: bytes) -> Boosted:
+        """With the trees that were grown elsewhere on what ``packed`` gave."""
+        kind = np.dtype([("split", "<i4", 2**self.depth - 1), ("leaf", "<f8", 2**self.depth)])
+        every = np.frombuffer(trees, kind)
+        self.splits, self.leaves = every["split"].astype(np.int64), every["leaf"].copy()
+        return self
+
     def state(self) -> dict:
         """Arrays and numbers only, so that any worker can read them."""
-        return {"cuts": self.cuts.cuts, "outputs": self.outputs, "splits": self.splits, "leaves": self.leaves, "depth": self.depth}
+        cuts = self.cuts.cuts
+        return {"cuts": np.concatenate(cuts) if cuts else np.zeros(0), "sizes": np.array([len(c) for c in cuts], dtype=np.int64), "outputs": self.outputs, "splits": self.splits, "leaves": self.leaves, "depth": self.depth}
 
     @classmethod
-    def of(cls, cuts: list[np.ndarray], **rest) -> Boosted:
+    def of(cls, cuts: np.ndarray, sizes: np.ndarray, **rest) -> Boosted:
         made = cls(depth=rest["depth"])
+        cuts = np.split(cuts, np.cumsum(sizes)[:-1]) if len(sizes) else []
         made.cuts, made.outputs, made.splits, made.leaves = Cuts.of(cuts), rest["outputs"], rest["splits"], rest["leaves"]
         return made
 
@@ -245,19 +303,37 @@ class Boosted:
         best[gain[np.arange(len(gain)), best] - (gs**2 / (hs + self.ridge))[:, 0] <= 1e-9] = -1
         return best
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """(rows, classes): the share of each class."""
-        grid, n = np.ascontiguousarray(self.cuts.codes(x).T).ravel(), len(x)
-        score = np.zeros((n, self.outputs))
-        rows, size = np.arange(n), len(self.cuts.feature)
-        for i, (split, leaf) in enumerate(zip(self.splits, self.leaves)):
-            node = np.zeros(n, dtype=np.int64)
-            if size:
-                begin, least = self.cuts.feature[np.maximum(split, 0)] * n, np.where(split >= 0, split, size)
+    def predict(self, x: np.ndarray | Sparse, chunk: int = 1024) -> np.ndarray:
+        """(rows, classes): the share of each class. Rows are taken a chunk at a time, whose codes of the features in use stay at
+        hand; places beyond a cut go to the right."""
+        x, size = Sparse.of(x), len(self.cuts.feature)
+        chunk = max(min(chunk, x.shape[0]), 1)
+        n, score = x.shape[0], np.zeros((x.shape[0], self.outputs))
+        splits = np.asarray(self.splits, dtype=np.int64).reshape(len(self.leaves), -1)
+        used = np.unique(self.cuts.feature[splits[splits >= 0]]) if size else np.zeros(0, dtype=np.int64)
+        line = np.full(x.shape[1], -1, dtype=np.int64)
+        line[used] = np.arange(len(used))
+        kept = np.flatnonzero(line[x.col] >= 0)
+        kept = kept[np.argsort(x.row[kept], kind="stable")]
+        x = Sparse(x.row[kept], x.col[kept], x.value[kept], x.shape)
+        place, at = self.cuts.places(x), line[x.col] * chunk
+        # a node without a split has a cut that no place is beyond
+        feature = self.cuts.feature[np.maximum(splits, 0)] if size else np.zeros_like(splits)
+        begin = np.where(splits >= 0, line[feature] * chunk, 0) if size else splits * 0
+        beyond = np.where(splits >= 0, splits - (self.cuts.first[feature] if size else 0), 255).astype(np.uint8)
+        rows = np.arange(chunk)
+        for first in range(0, n, chunk):
+            grid = np.zeros((len(used) + 1) * chunk, dtype=np.uint8)
+            own = slice(*np.searchsorted(x.row, [first, first + chunk]))
+            grid[at[own] + x.row[own] - first] = place[own]
+            got = np.zeros((chunk, self.outputs))
+            for i, (b, cut, leaf) in enumerate(zip(begin, beyond, self.leaves)):
+                node = np.zeros(chunk, dtype=np.int64)
                 for level in range(self.depth):
-                    at = node + (2**level - 1)
-                    node = 2 * node + (grid.take(begin.take(at) + rows) >= least.take(at))
-            score[:, i % self.outputs] += leaf[node]
+                    below = 2**level - 1
+                    node = 2 * node + (grid.take(b[below:].take(node) + rows) > cut[below:].take(node))
+                got[:, i % self.outputs] += leaf.take(node)
+            score[first : first + chunk] = got[: n - first]
         if self.outputs == 1:
             p = 1 / (1 + np.exp(-score[:, 0]))
             return np.stack([1 - p, p], 1)
@@ -316,8 +392,12 @@ def ranker(x: np.ndarray, y: np.ndarray, problems: np.ndarray, *, pairs: int = 1
     return Logistic(ridge=ridge, ranks=True).fit(np.concatenate([d, -d]), np.repeat([1, 0], len(d)))
 
 
-def _factorized(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _factorized(texts: list[list[str]] | pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(text, code, words): of every word of every text, in order, what text it is of and which of the different words it is."""
+    if isinstance(texts, pa.ListArray):
+        text = np.repeat(np.arange(len(texts)), texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        words = texts.flatten().dictionary_encode()
+        return text, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
     text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     code, words = pd.factorize(np.fromiter(itertools.chain.from_iterable(texts), dtype=object, count=len(text)), use_na_sentinel=False)
     return text, code, list(words)
@@ -327,10 +407,11 @@ class Words:
     """Term weights of texts, as ``tfidf`` gives them: (1 + ln tf)(ln((1 + n)/(1 + df)) + 1), each text scaled to length one,
     over the ``size`` most frequent words of the texts it was fitted to."""
 
-    def __init__(self, texts: list[list[str]], size: int = 8000):
+    def __init__(self, texts: list[list[str]] | pa.ListArray, size: int = 8000):
         text, code, words = _factorized(texts)
         total = np.bincount(code, minlength=len(words))
-        df = np.bincount(np.unique(text * max(len(words), 1) + code) % max(len(words), 1), minlength=len(words))
+        pair = np.sort(text * max(len(words), 1) + code)  # np.unique would take ten times as long
+        df = np.bincount(pair[np.r_[True, pair[1:] != pair[:-1]][: len(pair)]] % max(len(words), 1), minlength=len(words))
         kept = sorted(range(len(words)), key=lambda i: (-total[i], words[i]))[:size]
         self.place = {words[i]: j for j, i in enumerate(kept)}
         self.idf = np.array([np.log((1 + len(texts)) / (1 + df[i])) + 1 for i in kept])
@@ -344,15 +425,18 @@ class Words:
         made.place, made.idf = place, idf
         return made
 
-    def weights(self, texts: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.place)), dtype=np.float32)
+    def entries(self, texts: list[list[str]] | pa.ListArray) -> Sparse:
+        wide = max(len(self.place), 1)
         text, code, words = _factorized(texts)
-        place = np.array([self.place.get(w, -1) for w in words], dtype=np.int64)
-        at = text * max(out.shape[1], 1) + place[code]
-        at, n = np.unique(at[place[code] >= 0], return_counts=True)
-        out.ravel()[at] = n
-        seen = out > 0
-        out[seen] = 1 + np.log(out[seen])
-        out *= self.idf.astype(np.float32)
-        length = np.sqrt((out**2).sum(1, keepdims=True))
-        return out / np.where(length > 0, length, 1)
+        place = np.array([self.place.get(w, -1) for w in words], dtype=np.int64)[code]
+        at, n = np.unique((text * wide + place)[place >= 0], return_counts=True)
+        row, col = at // wide, at % wide
+        value = (1 + np.log(n)) * self.idf[col]
+        length = np.sqrt(np.bincount(row, value**2, len(texts)))
+        return Sparse(row, col, (value / length[row]).astype(np.float32), (len(texts), len(self.place)))
+
+    def weights(self, texts: list[list[str]] | pa.ListArray) -> np.ndarray:
+        x = self.entries(texts)
+        out = np.zeros(x.shape, dtype=np.float32)
+        out[x.row, x.col] = x.value
+        return out

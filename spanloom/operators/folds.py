@@ -11,13 +11,14 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.boosting import Boosted, Logistic, Words, ranker
+from spanloom.operators.boosting import Boosted, Logistic, Sparse, Words, ranker
 from spanloom.operators.held import held
+from spanloom.operators.jvm import grown
 from spanloom.operators.sampling import fold_table, with_fold
 
 MOST_BYTES = 1 << 28
@@ -47,9 +48,22 @@ def folded(df: DataFrame, problem: str, folds: int = 5, *, group: str | None = N
     return df.join(table, F.col(problem) == F.col("_p"), "left").drop("_p").withColumn("fold", F.coalesce("fold", F.lit(0)))
 
 
-def _matrix(x: list, words: Words | None, texts: list | None) -> np.ndarray:
-    a = np.array([np.asarray(v, dtype=np.float32) for v in x], dtype=np.float32)
-    return a if words is None else np.c_[words.weights([list(t) if t is not None else [] for t in texts]), a]
+def _dense(x: pa.Array) -> np.ndarray:
+    """The rows of a column of lists that are as long as one another."""
+    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(x), -1)
+
+
+def _both(words: Words, texts: pa.ListArray, x: np.ndarray, sparse: bool) -> np.ndarray | Sparse:
+    return words.entries(texts).beside(Sparse.of(x)) if sparse else np.c_[words.weights(texts), x]
+
+
+def _said(words: pa.Array) -> pa.ListArray:
+    """The words of each text, which blanks part."""
+    parts = pc.split_pattern(pc.fill_null(words, ""), " ")
+    parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
+    there = pc.not_equal(parts.flatten(), "")
+    row = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))[there.to_numpy(zero_copy_only=False)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.bincount(row, minlength=len(parts))]), pa.int32()), parts.flatten().filter(there))
 
 
 def out_of_fold(
@@ -59,52 +73,61 @@ def out_of_fold(
     """(key, carry, score), or with ``classes`` (key, carry, probs): of every row by the model of the other folds.
 
     ``rows`` have ``fold``. ``kind``: boosted, logistic or ranker (with ``problem``). ``tokens``: a column of words whose
-    weights, fitted with each fold, stand beside ``x``. ``train``: which rows may be fitted to; all are scored. ``classes``:
+    weights, fitted with each fold, stand beside ``x``; words hold no blanks. ``train``: which rows may be fitted to; all are scored. ``classes``:
     the labels in order, else they are 0 and 1. Null where a group has fewer than ``least`` labelled rows or its training
     folds one class only.
     """
     spark = rows.sparkSession
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     code = F.col(label).cast("double") if classes is None else (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("double")
-    extra = [F.col(tokens).alias("_t")] if tokens else []
-    data = rows.select(key, *carry, g.alias("_g"), "fold", (F.col(problem).cast("string") if problem else F.lit(None).cast("string")).alias("_p"), code.alias("_y"), F.col(x).alias("_x"), *extra, F.expr(train).alias("_in"))
+    extra = [F.array_join(tokens, " ").alias("_t")] if tokens else []  # far smaller than a list
+    data = rows.select(key, *carry, g.alias("_g"), F.col("fold").alias("_fold"), (F.col(problem).cast("string") if problem else F.lit(None).cast("string")).alias("_p"), code.alias("_y"), F.col(x).alias("_x"), *extra, F.expr(train).alias("_in"))
     data = held(data)
     fit_on = data.where(F.col("_in") & F.col("_y").isNotNull() & (F.col("_y") >= 0))
     sizes = fit_on.groupBy(F.col("_g").alias("_h")).agg(F.count("*").alias("_n"), F.count_distinct("_y").alias("_k")).where((F.col("_n") >= least) & (F.col("_k") > 1))
     chance = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     known = fit_on.join(F.broadcast(sizes), F.col("_g").eqNullSafe(F.col("_h"))).where(chance < most / F.col("_n"))
-    needed = data.select(F.col("_g").alias("_n1"), F.col("fold").alias("_f")).distinct()  # groups x folds
-    wanted = known.join(F.broadcast(needed), F.col("_g").eqNullSafe(F.col("_n1")) & (F.col("fold") != F.col("_f")))
+    needed = data.select(F.col("_g").alias("_n1"), F.col("_fold").alias("_f")).distinct()  # groups x folds
+    wanted = known.join(F.broadcast(needed), F.col("_g").eqNullSafe(F.col("_n1")) & (F.col("_fold") != F.col("_f")))
+    wanted = wanted.select(key, "_g", "_f", "_p", "_y", "_x", *(["_t"] if tokens else []))
     n_classes = 2 if classes is None else len(classes)
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key)
+    def fit(part: pa.Table) -> pa.Table:
+        part = part.sort_by(key).combine_chunks()
         y = part["_y"].to_numpy().astype(np.int64)
-        empty = pd.DataFrame({"_g": [], "_f": [], "model": []}).astype({"_f": "int32"})
+        kinds = pa.schema([("_g", pa.string()), ("_f", pa.int32()), ("model", pa.binary()), ("sample", pa.binary())])
         if len(np.unique(y)) < 2:
-            return empty
-        texts = [list(t) if t is not None else [] for t in part["_t"]] if tokens else None
-        words = Words(texts) if tokens else None
-        a = _matrix(part["_x"].tolist(), words, texts)
-        if kind == "ranker":
-            model = ranker(a, y, part["_p"].fillna("").to_numpy(), **options)
+            return kinds.empty_table()
+        x, words, sample = _dense(part["_x"].combine_chunks()), None, None
+        if tokens:
+            texts = _said(part["_t"].combine_chunks())
+            words = Words(texts)
+            x = _both(words, texts, x, kind == "boosted")
+        if kind == "boosted":
+            model = Boosted(**options)
+            sample = model.packed(x, y, n_classes, len(words.place) if words else 0)
+        elif kind == "ranker":
+            model = ranker(x, y, np.array(part["_p"].fill_null("").to_pylist()), **options)
         else:
-            model = {"boosted": Boosted, "logistic": Logistic}[kind](**options).fit(a, y, n_classes, len(words.place) if words else 0)
-        return pd.DataFrame({"_g": [part["_g"].iloc[0]], "_f": np.array([part["_f"].iloc[0]], dtype=np.int32), "model": [pickle.dumps((words and words.state(), type(model).__name__, model.state()))]})
+            model = Logistic(**options).fit(x, y, n_classes)
+        state = pickle.dumps((words and words.state(), type(model).__name__, model.state()))
+        return pa.table([part["_g"].slice(0, 1), part["_f"].slice(0, 1).cast(pa.int32()), [state], pa.array([sample], pa.binary())], schema=kinds)
 
     # a number of partitions of its own, for each group is long work and must not be put together with others
-    made = held(wanted.repartition(tasks, "_g", "_f").groupBy("_g", "_f").applyInPandas(fit, "_g string, _f int, model binary"))
-    if (made.agg(F.sum(F.length("model"))).first()[0] or 0) > MOST_BYTES:
+    begun = wanted.repartition(tasks, "_g", "_f").groupBy("_g", "_f").applyInArrow(fit, "_g string, _f int, model binary, sample binary")
+    made = held(begun.select("_g", "_f", "model", grown(spark, F.col("sample")).alias("trees")))
+    if (made.agg(F.sum(F.length("model") + F.coalesce(F.length("trees"), F.lit(0)))).first()[0] or 0) > MOST_BYTES:
         raise ValueError(f"models of more than {MOST_BYTES} bytes: score the groups one after another")
-    models = {(r["_g"], r["_f"]): bytes(r["model"]) for r in made.collect()}  # groups x folds
+    models = {(r["_g"], r["_f"]): (bytes(r["model"]), r["trees"] and bytes(r["trees"])) for r in made.collect()}  # groups x folds
     shared = spark.sparkContext.broadcast(models)
     keep = [key, *carry]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict = {}
         for b in batches:
-            groups, folds, xs = (b.column(i).to_pylist() for i in range(len(keep), len(keep) + 3))
-            texts = b.column(len(keep) + 3).to_pylist() if tokens else None
+            groups, folds = (b.column(i).to_pylist() for i in range(len(keep), len(keep) + 2))
+            x = _dense(b.column(len(keep) + 2)) if b.num_rows else None
+            texts = _said(b.column(len(keep) + 3)) if tokens else None
             out: list = [None] * b.num_rows
             parts: dict = {}
             for i, at in enumerate(zip(groups, folds)):
@@ -113,14 +136,17 @@ def out_of_fold(
                 if at not in shared.value:
                     continue
                 if at not in made:
-                    held_words, name, state = pickle.loads(shared.value[at])
-                    made[at] = (Words.of(*held_words) if held_words else None, {"Boosted": Boosted, "Logistic": Logistic}[name].of(**state))
+                    (held_words, name, state), trees = pickle.loads(shared.value[at][0]), shared.value[at][1]
+                    model = {"Boosted": Boosted, "Logistic": Logistic}[name].of(**state)
+                    made[at] = (Words.of(*held_words) if held_words else None, model if trees is None else model.taken(trees))
                 words, model = made[at]
-                p = model.predict(_matrix([xs[i] for i in own], words, [texts[i] for i in own] if tokens else None))
+                p = model.predict(x[own] if words is None else _both(words, texts.take(pa.array(own)), x[own], isinstance(model, Boosted)))
                 for i, v in zip(own, p.tolist() if classes else p[:, 1].tolist()):
                     out[i] = v
             kind_ = pa.list_(pa.float64()) if classes else pa.float64()
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(out, kind_)], [*keep, "probs" if classes else "score"])
 
     types = ", ".join(f"`{c}` {t}" for c, t in data.select(*keep).dtypes)
-    return data.select(*keep, "_g", "fold", "_x", *(["_t"] if tokens else [])).mapInArrow(score, f"{types}, {'probs array<double>' if classes else 'score double'}")
+    # rows of a model together, for many at once cost little more than a few
+    given = data.select(*keep, "_g", "_fold", "_x", *(["_t"] if tokens else [])).sortWithinPartitions("_g", "_fold")
+    return given.mapInArrow(score, f"{types}, {'probs array<double>' if classes else 'score double'}")

@@ -6,8 +6,11 @@ follow. Empty sequences have no features.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +110,53 @@ def feature_names(ops: list[int]) -> list[str]:
     ]
 
 
+def feature_rows(row: np.ndarray, op: np.ndarray, count: int, ops: list[int]) -> np.ndarray:
+    """(count, features): what ``vectors`` of ``features`` gives, of entries in order, each with its sequence's number."""
+    kinds, at = np.unique(np.concatenate([np.array(ops, dtype=np.int64), op]), return_inverse=True)
+    own, k, op = np.searchsorted(kinds, ops), len(kinds), at[len(ops) :]
+    n = np.bincount(row, minlength=count)
+    pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    per = lambda r, o, width, w=None: np.bincount(r * width + o, w, count * width).reshape(count, width)
+    some, more = np.maximum(n, 1)[:, None], np.maximum(n - 1, 1)[:, None]
+    freq = per(row, op, k) / some
+    size = np.maximum(1, n // 4)
+    q = np.minimum(3, pos // size[row])
+    quarter = per(row, q * k + op, 4 * k).reshape(count, 4, k) / np.stack([size, size, size, np.maximum(n - 3 * size, 1)], 1)[:, :, None]
+    entropy = -(freq * np.log(np.where(freq > 0, freq, 1))).sum(1)
+    first, last = pos == 0, pos == n[row] - 1
+    follows = np.flatnonzero(row[1:] == row[:-1])
+    pairs = per(row[follows], op[follows] * k + op[follows + 1], k * k).reshape(count, k, k)
+    repeats = np.trace(pairs, axis1=1, axis2=2) / more[:, 0]
+    begin = np.flatnonzero(first | np.r_[True, op[1:] != op[:-1]][: len(op)])
+    length = np.diff(np.r_[begin, len(op)])
+    runs = per(row[begin], op[begin], k)
+    longest = np.zeros(count * k, dtype=np.int64)
+    np.maximum.at(longest, row[begin] * k + op[begin], length)
+    mean = per(row[begin], op[begin], k, length) / np.maximum(runs, 1) / some
+    return np.concatenate([
+        freq[:, own], quarter[:, :, own].reshape(count, -1), np.stack([entropy, freq.max(1, initial=0), (freq > 0).sum(1), np.log1p(n), repeats], 1),
+        per(row[first], op[first], k)[:, own], per(row[last], op[last], k)[:, own], (pairs / more[:, :, None])[:, own][:, :, own].reshape(count, -1),
+        mean[:, own], (longest.reshape(count, k) / some)[:, own],
+    ], 1)
+
+
+def with_features(df: DataFrame, ops: list[int], skip: int = -1) -> DataFrame:
+    """Rows with ``x`` instead of ``operator_sequence``: its features in the order of ``feature_names``; rows without an entry drop out."""
+    keep = [c for c in df.columns if c != "operator_sequence"]
+    kept = df.withColumn("operator_sequence", F.filter("operator_sequence", lambda o: o.isNotNull() & (o != skip))).where(F.size("operator_sequence") > 0)
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in given:
+            s = b.column(b.num_columns - 1)
+            row = np.repeat(np.arange(b.num_rows), s.value_lengths().to_numpy(zero_copy_only=False))
+            x = feature_rows(row, s.flatten().to_numpy(zero_copy_only=False).astype(np.int64), b.num_rows, ops)
+            ends = pa.array(np.arange(b.num_rows + 1) * x.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(x.ravel().astype(np.float32)))], [*keep, "x"])
+
+    types = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes)
+    return kept.select(*keep, "operator_sequence").mapInArrow(batches, f"{types}, x array<float>")
+
+
 def next_same(ev: DataFrame) -> DataFrame:
     """``next_pos``: where the same operator comes again; the sequence's length where it doesn't."""
     own = Window.partitionBy("trace_id", "op").orderBy("pos")

@@ -67,17 +67,29 @@ def length_scores_within(spark: SparkSession, d: str) -> DataFrame:
     return _scored(fo.out_of_fold(t, "trace_id", "correct", "x", kind="logistic", group="dataset", least=10))
 
 
-def _operators(spark: SparkSession, d: str, depth: int = 100, rounding: str = "ceil") -> DataFrame:
-    """Labelled traces with operators: their features ``x`` and the words ``tokens`` of their spans' anchors (else of the end of
-    the text), of the first ``depth`` percent of the spans."""
-    t = traces(spark, d, "model", "dataset", "problem_id", "correct", "spans", "reasoning", "model_response").where("correct is not null and size(spans) > 0")
+def _operators(spark: SparkSession, d: str, by: str = "stride", depths: tuple[int, ...] = (100,), rounding: str = "ceil", words: bool = False) -> DataFrame:
+    """Labelled traces with operators, at each of ``depths``: ``fold``, their features ``x`` and with ``words`` the ``tokens`` of their
+    spans' anchors (else of the end of the text), of the first ``depth`` percent of the spans.
+
+    Traces are read once for all depths; what other queries take from them is held.
+    """
+    t = traces(spark, d, "model", "dataset", "problem_id", "correct", "spans", *(["reasoning", "model_response"] if words else [])).where("correct is not null and exists(spans.cluster, c -> c <> -1)")
+    said = lambda text: F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), " ")
+    # of each span: null without an anchor, empty without words
+    part = F.transform("spans", lambda s: F.struct(s["cluster"].alias("cluster"), (F.when(s["anchor"] != "", said(F.left(s["anchor"], F.lit(80)))) if words else F.lit("")).alias("words")))
     n = F.size("spans")
-    kept = F.greatest(F.lit(1), F.ceil(n * depth / 100) if rounding == "ceil" else F.floor(n * depth / 100)).cast("int")
-    t = t.withColumn("part", F.slice("spans", 1, kept)).withColumn("operator_sequence", F.col("part.cluster"))
-    said = F.array_join(F.filter(F.transform("part.anchor", lambda a: F.left(a, F.lit(80))), lambda a: a.isNotNull() & (a != "")), " ")
-    text = F.when(F.length(said) > 0, said).otherwise(F.right(fallback_text(F.col("model_response"), F.col("reasoning")), F.lit(3000)))
-    x = s.vectors(s.features(s.entries(t.select("trace_id", "operator_sequence"))), s.feature_names(operators(spark, d)))
-    return t.select("trace_id", "model", "dataset", "problem_id", "correct", F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)).alias("tokens")).join(x, "trace_id")
+    kept = lambda depth: F.greatest(F.lit(1), F.ceil(n * depth / 100) if rounding == "ceil" else F.floor(n * depth / 100)).cast("int")
+    without = lambda spans: ~F.exists(spans, lambda s: F.coalesce(s["anchor"] != "", F.lit(False)))
+    # the end of the text is needed only where the least depth has no anchors
+    end = F.when(without(F.slice("spans", 1, kept(min(depths)))), said(F.right(fallback_text(F.col("model_response"), F.col("reasoning")), F.lit(3000)))) if words else F.lit("")
+    own = ["trace_id", "model", "dataset", "problem_id", "correct"]
+    t = held(t.select(*own, part.alias("spans"), end.alias("end")))
+    t = fo.folded(t, "problem_id", by=by) if by else t
+    t = t.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).withColumn("part", F.slice("spans", 1, kept(F.col("depth"))))
+    each = F.col("part.words")
+    found = F.when(F.exists(each, lambda w: w.isNotNull()), F.array_join(F.filter(each, lambda w: w != ""), " ")).otherwise(F.col("end"))
+    t = t.select(*own, "depth", *(["fold"] if by else []), found.alias("words"), F.col("part.cluster").alias("operator_sequence"))
+    return s.with_features(t, operators(spark, d)).withColumn("tokens", F.split("words", " ")).drop("words")
 
 
 def _trees(rows: DataFrame, **options) -> DataFrame:
@@ -86,26 +98,22 @@ def _trees(rows: DataFrame, **options) -> DataFrame:
 
 @query()
 def operator_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_trees(fo.folded(_operators(spark, d), "problem_id", by="stride"), least=20))
+    return _scored(_trees(_operators(spark, d), least=20))
 
 
 @query()
 def operator_scores_within(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_trees(fo.folded(_operators(spark, d), "problem_id", by="stride"), group="dataset", least=20))
+    return _scored(_trees(_operators(spark, d), group="dataset", least=20))
 
 
 @query()
 def operator_word_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_trees(fo.folded(_operators(spark, d), "problem_id", by="stride"), tokens="tokens", least=20))
+    return _scored(_trees(_operators(spark, d, words=True), tokens="tokens", least=20))
 
 
 def _early(spark: SparkSession, d: str) -> DataFrame:
     """(trace_id, dataset, problem_id, correct, depth, score): fitted anew at each depth, on operators and words."""
-    rows = None
-    for depth in DEPTHS:
-        part = _operators(spark, d, depth).withColumn("depth", F.lit(depth))
-        rows = part if rows is None else rows.unionByName(part)
-    return _trees(fo.folded(rows, "problem_id", by="stride"), group="depth", tokens="tokens", least=20, carry=("dataset", "problem_id", "correct", "depth"))
+    return _trees(_operators(spark, d, depths=DEPTHS, words=True), group="depth", tokens="tokens", least=20, carry=("dataset", "problem_id", "correct", "depth"))
 
 
 @query()
@@ -131,16 +139,12 @@ def _fold_means(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 @query()
 def early_curve(spark: SparkSession, d: str) -> DataFrame:
-    rows = None
-    for depth in DEPTHS:
-        part = _operators(spark, d, depth).withColumn("depth", F.lit(depth))
-        rows = part if rows is None else rows.unionByName(part)
-    return _fold_means(_trees(fo.folded(rows, "problem_id", by="split"), group="depth", carry=("problem_id", "correct", "depth", "fold")), ["depth"])
+    return _fold_means(_trees(_operators(spark, d, "split", DEPTHS), group="depth", carry=("problem_id", "correct", "depth", "fold")), ["depth"])
 
 
 def _cells(spark: SparkSession, d: str, keys: list[str], least: int) -> DataFrame:
     """Rows of the groups of ``keys`` with enough rows, both labels and four problems, fitted and scored group by group."""
-    rows = _operators(spark, d).withColumn("cell", F.concat_ws("/", *keys))
+    rows = held(_operators(spark, d, "").drop("tokens")).withColumn("cell", F.concat_ws("/", *keys))
     fit = rows.groupBy(F.col("cell").alias("_c")).agg(F.count("*").alias("n"), F.count_distinct("correct").alias("k"), F.count_distinct("problem_id").alias("p")).where(f"n >= {least} and k > 1 and p >= 4")
     kept = rows.join(fit, F.col("cell") == F.col("_c"), "left_semi")
     return _fold_means(_trees(fo.folded(kept, "problem_id", group="cell"), group="cell", carry=(*keys, "problem_id", "correct", "fold")), keys)
@@ -158,15 +162,15 @@ def dataset_fits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def whole_fit(spark: SparkSession, d: str) -> DataFrame:
-    rows = fo.folded(_operators(spark, d), "problem_id", by="split").withColumn("all", F.lit("all"))
+    rows = _operators(spark, d, "split").withColumn("all", F.lit("all"))
     return _fold_means(_trees(rows, carry=("all", "problem_id", "correct", "fold")), ["all"])
 
 
 @query()
 def model_identification(spark: SparkSession, d: str) -> DataFrame:
-    rows = _operators(spark, d)
+    rows = held(_operators(spark, d, "plain").select("trace_id", "model", "fold", "x"))
     names = sorted(r[0] for r in rows.where("model is not null").select("model").distinct().limit(1000).collect())  # classes of a model: few
-    got = fo.out_of_fold(fo.folded(rows, "problem_id", by="plain"), "trace_id", "model", "x", kind="boosted", classes=names, carry=("model",))
+    got = fo.out_of_fold(rows, "trace_id", "model", "x", kind="boosted", classes=names, carry=("model",))
     known = got.where("probs is not null").withColumn("names", F.array(*map(F.lit, names)))
     best = F.array_position("probs", F.array_max("probs")).cast("int")
     return known.select("trace_id", F.col("model").alias("true"), F.element_at("names", best).alias("pred"), F.round(F.array_max("probs"), 9).alias("prob"), F.map_from_arrays("names", "probs").alias("probs"))
@@ -191,11 +195,7 @@ def model_auc(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def pairwise_scores(spark: SparkSession, d: str) -> DataFrame:
     """Each trace at five depths by the ranker that was fitted to the other folds' whole traces."""
-    rows = None
-    for depth in DEPTHS:
-        part = _operators(spark, d, depth, "floor").withColumn("depth", F.lit(depth))
-        rows = part if rows is None else rows.unionByName(part)
-    got = fo.out_of_fold(fo.folded(rows, "problem_id", by="plain"), "trace_id", "correct", "x", kind="ranker", problem="problem_id", carry=("depth",), train="depth = 100", least=20)
+    got = fo.out_of_fold(_operators(spark, d, "plain", DEPTHS, "floor"), "trace_id", "correct", "x", kind="ranker", problem="problem_id", carry=("depth",), train="depth = 100", least=20)
     return got.groupBy("trace_id").pivot("depth", list(DEPTHS)).agg(F.round(F.max("score"), 9)).select("trace_id", *[F.col(str(p)).alias(f"d{p}") for p in DEPTHS])
 
 
