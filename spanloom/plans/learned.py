@@ -183,7 +183,7 @@ def model_confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_class_scores(spark: SparkSession, d: str) -> DataFrame:
-    return m.class_scores(m.confusion(model_identification(spark, d), "true", "pred"))
+    return m.class_scores(held(m.confusion(model_identification(spark, d), "true", "pred")))  # read twice, scored once
 
 
 @query()
