@@ -1,4 +1,4 @@
-"""Boosted trees, logistic and pairwise linear scores in numpy, for samples that fit a task.
+"""Boosted trees, logistic and pairwise linear scores in numpy, of all rows of a fit, which one task holds.
 
 Features are not negative and mostly zero, so only what isn't zero is stored: as codes of a row, the places of its values
 among the features' cuts. A split sends to the right the rows whose value is beyond a cut. Of two children only the one
@@ -37,6 +37,14 @@ class Sparse(NamedTuple):
         return Sparse(np.r_[self.row, other.row], np.r_[self.col, other.col + self.shape[1]], np.r_[self.value, other.value], (self.shape[0], self.shape[1] + other.shape[1]))
 
 
+#: entries that are ordered or counted at a time, so that what this takes beside them stays small
+_STRETCH = 1 << 22
+
+
+def _counts(a: np.ndarray, n: int) -> np.ndarray:
+    return sum((np.bincount(a[i : i + _STRETCH], minlength=n) for i in range(0, len(a), _STRETCH)), np.zeros(n, dtype=np.int64))
+
+
 class Cuts:
     """Codes of features' values: at most ``bins`` for each feature (four for the first ``coarse`` ones), by the quantiles of what
     isn't zero in the sample."""
@@ -45,24 +53,30 @@ class Cuts:
         """``rows``: cuts with fewer rows of the sample beyond them are left out."""
         x = Sparse.of(x)
         row, col = x.row, x.col
-        order = np.argsort(col.astype(np.uint16) if x.shape[1] < 1 << 16 else col, kind="stable")
-        values = x.value[order]
-        ends = np.cumsum(np.bincount(col, minlength=x.shape[1]))
+        count = _counts(col, x.shape[1])
+        ends = np.cumsum(count)
         #: the entries by row: what row and feature, and the place among the feature's cuts, -1 without any
-        self.row, self.col, bins = row, col, np.full(len(row), -1, dtype=np.int16)
-        cuts = []
-        for f, (begin, end) in enumerate(zip(np.append(0, ends[:-1]), ends)):
-            if end - begin < max(rows, 1):
-                cuts.append(values[:0])
-                continue
-            bin_count, own = most if f >= coarse else 4, values[begin:end]
-            seen = np.unique(own)
-            if len(seen) > bin_count:
-                seen = np.unique(seen[np.floor(np.arange(bin_count) / bin_count * (len(seen) - 1)).astype(int)])
-            at = np.searchsorted(seen, own, side="right") - 1
-            kept = int((np.cumsum(np.bincount(at, minlength=len(seen))[::-1])[::-1] >= rows).sum())
-            cuts.append(seen[:kept])
-            bins[order[begin:end]] = np.minimum(at, kept - 1)
+        self.row, self.col, bins = row, col, np.full(len(row), -1, dtype=np.int8)
+        cuts, low = [], 0
+        while low < len(count):  # some features at a time
+            high = max(int(np.searchsorted(ends, ends[low] - count[low] + _STRETCH, side="right")), low + 1)
+            order = np.flatnonzero((col >= low) & (col < high))
+            own_col = col[order] - low
+            order = order[np.argsort(own_col.astype(np.uint16) if high - low < 1 << 16 else own_col, kind="stable")]
+            values, own_ends = x.value[order], np.cumsum(count[low:high])
+            for f, begin, end in zip(range(low, high), np.append(0, own_ends[:-1]), own_ends):
+                if end - begin < max(rows, 1):
+                    cuts.append(values[:0])
+                    continue
+                bin_count, own = most if f >= coarse else 4, values[begin:end]
+                seen = np.unique(own)
+                if len(seen) > bin_count:
+                    seen = np.unique(seen[np.floor(np.arange(bin_count) / bin_count * (len(seen) - 1)).astype(int)])
+                at = np.searchsorted(seen, own, side="right") - 1
+                kept = int((np.cumsum(np.bincount(at, minlength=len(seen))[::-1])[::-1] >= rows).sum())
+                cuts.append(seen[:kept])
+                bins[order[begin:end]] = np.minimum(at, kept - 1)
+            low = high
         self.bin = bins
         self._place(cuts)
 
@@ -95,6 +109,12 @@ def _exact(v: np.ndarray) -> np.ndarray:
     return np.rint(v * 2.0**32) / 2.0**32
 
 
+def _short(v: np.ndarray) -> np.ndarray:
+    """Multiples of 2**-22, about what single precision holds, of which ``trees.java`` sums two in one number. Splits are chosen
+    by their sums; leaves have those of ``_exact``."""
+    return np.rint(v * 2.0**22) / 2.0**22
+
+
 class _Entries:
     """The codes of a sample's rows. They are numbered by place, then feature, those with more cuts first, so the sums of a
     feature's codes from one on are a few sums of stretches. Rows are taken in the order of their number of entries, ``order``;
@@ -212,17 +232,27 @@ class Boosted:
         rank[np.argsort(-sizes, kind="stable")] = np.arange(features)
         at = np.arange(len(cuts.feature)) - cuts.first[cuts.feature]
         number = (np.cumsum(np.bincount(at)) - np.bincount(at))[at] + rank[cuts.feature]  # of equal cuts the first by this counts, as in _Entries
-        held = np.flatnonzero(cuts.bin >= 0)
-        held = held[np.argsort(cuts.row[held], kind="stable")]
-        begin = np.cumsum([0, *np.bincount(cuts.row[held], minlength=n)])
+        row, col, place = cuts.row, cuts.col, cuts.bin
+        if len(row) and (row[1:] < row[:-1]).any():
+            order = np.argsort(row, kind="stable")
+            row, col, place = row[order], col[order], place[order]
+        count, codes = np.zeros(n, dtype=np.int64), [np.zeros(0, dtype="<u2" if len(cuts.feature) <= 1 << 16 else "<i4")]
+        for i in range(0, len(row), _STRETCH):
+            own = slice(i, i + _STRETCH)
+            held = place[own] >= 0
+            count += np.bincount(row[own][held], minlength=n)
+            codes.append((cuts.first[col[own][held]] + place[own][held]).astype(codes[0].dtype))
+        begin = np.cumsum([0, *count])
+        if (bytes_ := begin[-1] * codes[0].itemsize + self.rounds * (n + features) // 8 + 8 * n) >= 1 << 31:
+            raise ValueError(f"a sample of {bytes_} bytes is more than one value can hold")
         rng = np.random.default_rng(self.seed)
         drawn, open_ = [], []
         for _ in range(self.rounds):
             drawn.append(np.packbits(rng.random(n) < self.rows, bitorder="little"))
             open_.append(np.packbits(rng.random(features) < self.columns, bitorder="little"))
-        parts = (y, np.append(cuts.first, len(cuts.feature)), number, begin, cuts.first[cuts.col[held]] + cuts.bin[held])
-        numbers = struct.pack("<7i3d", n, self.outputs, self.rounds, self.depth, features, len(cuts.feature), len(held), self.rate, self.ridge, self.least)
-        return b"".join([numbers, *(np.asarray(p).astype("<i4").tobytes() for p in parts), *(b.tobytes() for b in drawn), *(b.tobytes() for b in open_)])
+        parts = (y, np.append(cuts.first, len(cuts.feature)), number, begin)
+        numbers = struct.pack("<7i3d", n, self.outputs, self.rounds, self.depth, features, len(cuts.feature), begin[-1], self.rate, self.ridge, self.least)
+        return b"".join([numbers, *(np.asarray(p).astype("<i4").tobytes() for p in parts), *(c.tobytes() for c in codes), *(b.tobytes() for b in drawn), *(b.tobytes() for b in open_)])
 
     def taken(self, trees: bytes) -> Boosted:
         """With the trees that were grown elsewhere on what ``packed`` gave."""
@@ -245,6 +275,7 @@ class Boosted:
 
     def _grow(self, entries: _Entries, part: np.ndarray, g: np.ndarray, h: np.ndarray, open_: np.ndarray) -> np.ndarray:
         """The tree's values of all rows, in the order of the entries, grown on the rows of ``part``; g and h are 0 elsewhere."""
+        exact_g, exact_h, g, h = g, h, _short(g), _short(h)
         rows, closed = np.arange(len(g)), np.where(open_[entries.feature], 0, -np.inf)
         node = np.zeros(len(g), dtype=np.int64)
         split = np.full(2**self.depth - 1, -1, dtype=np.int64)
@@ -281,7 +312,7 @@ class Boosted:
             if not heavy[live].all():
                 right_g, right_h, live = right_g[heavy[live]], right_h[heavy[live]], live[heavy[live]]
         n = 2**self.depth
-        leaf = -self.rate * np.bincount(node, g, n) / (np.bincount(node, h, n) + self.ridge)
+        leaf = -self.rate * np.bincount(node, exact_g, n) / (np.bincount(node, exact_h, n) + self.ridge)
         self.splits.append(split)
         self.leaves.append(leaf)
         return leaf[node]
@@ -416,6 +447,16 @@ class Words:
         self.place = {words[i]: j for j, i in enumerate(kept)}
         self.idf = np.array([np.log((1 + len(texts)) / (1 + df[i])) + 1 for i in kept])
 
+    @classmethod
+    def counted(cls, words: list[str], total: np.ndarray, df: np.ndarray, n: int, size: int = 8000) -> Words:
+        """Of ``n`` texts: each word's number of places and of texts."""
+        made = cls.__new__(cls)
+        least = np.partition(total, -size)[-size] if len(total) > size else 0
+        kept = sorted(np.flatnonzero(total >= least).tolist(), key=lambda i: (-total[i], words[i]))[:size]
+        made.place = {words[i]: j for j, i in enumerate(kept)}
+        made.idf = np.log((1 + n) / (1 + df[kept])) + 1
+        return made
+
     def state(self) -> tuple[dict[str, int], np.ndarray]:
         return self.place, self.idf
 
@@ -440,3 +481,60 @@ class Words:
         out = np.zeros(x.shape, dtype=np.float32)
         out[x.row, x.col] = x.value
         return out
+
+
+class Gathered:
+    """Rows that are taken up block by block, held by what isn't zero in as few bytes as it takes: texts as the numbers of their
+    words and how often each occurs, which become weights once all texts are known."""
+
+    def __init__(self, words: bool = False, above: bool = True):
+        """``above``: only what is greater than zero counts, as trees take it."""
+        self.n, self.wide, self.words, self.above, self.parts, self.number = 0, 0, words, above, [], {}
+
+    def add(self, x: np.ndarray, texts: pa.ListArray | None = None) -> None:
+        row, col = np.nonzero(x > 0 if self.above else x)
+        said = ()
+        if self.words:
+            text, code, words = _factorized(texts)
+            at, times = np.unique(text * max(len(words), 1) + code, return_counts=True)
+            number = np.array([self.number.setdefault(w, len(self.number)) for w in words], dtype=np.int32)
+            said = ((at // max(len(words), 1)).astype(np.int32), number[at % max(len(words), 1)], np.minimum(times, 65535).astype(np.uint16) if times.max(initial=0) < 65536 else times)
+        self.parts.append((len(x), row.astype(np.int32), col.astype(np.uint16 if x.shape[1] < 1 << 16 else np.int64), x[row, col].astype(np.float32), said))
+        self.n, self.wide = self.n + len(x), x.shape[1]
+
+    def done(self) -> tuple[Sparse, Words | None]:
+        """All rows in order, words before the other features; can be called once."""
+        words, known = None, 0
+        if self.words:
+            total, df = np.zeros((2, len(self.number)), dtype=np.int64)
+            for *_, (_, number, times) in self.parts:
+                total += np.bincount(number, times, len(total)).astype(np.int64)
+                df += np.bincount(number, minlength=len(df))
+            names = list(self.number)
+            words = Words.counted(names, total, df, self.n)
+            known = len(words.place)
+            place = np.array([words.place.get(w, -1) for w in names], dtype=np.int64)
+            self.number = {}
+        small = np.uint16 if known + self.wide < 1 << 16 else np.int64
+        rows, cols, values, first = [], [], [], 0
+        self.parts.reverse()
+        while self.parts:
+            n, row, col, value, said = self.parts.pop()
+            if said:
+                text, at, times = said[0], place[said[1]], said[2]
+                kept = at >= 0
+                text, at = text[kept], at[kept]
+                weight = (1 + np.log(times[kept].astype(float))) * words.idf[at]
+                weight = (weight / np.sqrt(np.bincount(text, weight**2, n))[text]).astype(np.float32)
+                row, col, value = np.r_[text, row], np.r_[at, col.astype(np.int64) + known], np.r_[weight, value]
+                order = np.argsort(row, kind="stable")
+                row, col, value = row[order], col[order], value[order]
+            rows.append(row + np.int32(first))
+            cols.append(col.astype(small))
+            values.append(value)
+            first += n
+        each = []
+        for parts, kind in ((rows, np.int32), (cols, small), (values, np.float32)):
+            each.append(np.concatenate(parts) if parts else np.zeros(0, dtype=kind))
+            parts.clear()
+        return Sparse(*each, (self.n, known + self.wide)), words

@@ -1,12 +1,15 @@
 """Scores out of fold: every row by a model that never saw its problem.
 
-A group's folds are fitted beside one another, each by one task, on at most ``most`` labelled rows of the group, chosen by
-the hash of their key; all rows are scored where they lie. What reaches the driver are the models, one for each group and
-fold: some hundred KB each, at most ``MOST_BYTES`` together, beyond which it is an error.
+A group's folds are fitted beside one another, each by one task, on all labelled rows of the group in the other folds: they
+come to it in order, it takes them up ``most`` at a time and holds some ten bytes for each value that isn't zero, so a fit is
+bounded by its task's memory (and by 2 GB of codes, some two bytes a value, beyond which it is an error), never cut. All rows are scored where they lie.
+What reaches the driver are the models, one for each group and fold: some hundred KB each, at most ``MOST_BYTES`` together,
+beyond which it is an error.
 """
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -16,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.boosting import Boosted, Logistic, Sparse, Words, ranker
+from spanloom.operators.boosting import Boosted, Gathered, Logistic, Sparse, Words, ranker
 from spanloom.operators.held import held
 from spanloom.operators.jvm import grown
 from spanloom.operators.sampling import fold_table, with_fold
@@ -73,48 +76,64 @@ def out_of_fold(
     """(key, carry, score), or with ``classes`` (key, carry, probs): of every row by the model of the other folds.
 
     ``rows`` have ``fold``. ``kind``: boosted, logistic or ranker (with ``problem``). ``tokens``: a column of words whose
-    weights, fitted with each fold, stand beside ``x``; words hold no blanks. ``train``: which rows may be fitted to; all are scored. ``classes``:
-    the labels in order, else they are 0 and 1. Null where a group has fewer than ``least`` labelled rows or its training
+    weights, fitted with each fold, stand beside ``x``; words hold no blanks. ``train``: which rows may be fitted to; all are scored. ``most``: rows
+    that a task takes up at a time, all that there are in turn. ``classes``: the labels in order, else they are 0 and 1. Null where a group has fewer than ``least`` labelled rows or its training
     folds one class only.
     """
     spark = rows.sparkSession
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     code = F.col(label).cast("double") if classes is None else (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("double")
     extra = [F.array_join(tokens, " ").alias("_t")] if tokens else []  # far smaller than a list
-    data = rows.select(key, *carry, g.alias("_g"), F.col("fold").alias("_fold"), (F.col(problem).cast("string") if problem else F.lit(None).cast("string")).alias("_p"), code.alias("_y"), F.col(x).alias("_x"), *extra, F.expr(train).alias("_in"))
+    data = rows.select(key, *carry, g.alias("_g"), F.col("fold").alias("_fold"), (F.col(problem).cast("string") if problem else F.lit(None).cast("string")).alias("_p"), code.alias("_y"), F.col(x).cast("array<float>").alias("_x"), *extra, F.expr(train).alias("_in"))
     data = held(data)
     fit_on = data.where(F.col("_in") & F.col("_y").isNotNull() & (F.col("_y") >= 0))
     sizes = fit_on.groupBy(F.col("_g").alias("_h")).agg(F.count("*").alias("_n"), F.count_distinct("_y").alias("_k")).where((F.col("_n") >= least) & (F.col("_k") > 1))
-    chance = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    known = fit_on.join(F.broadcast(sizes), F.col("_g").eqNullSafe(F.col("_h"))).where(chance < most / F.col("_n"))
+    known = fit_on.join(F.broadcast(sizes), F.col("_g").eqNullSafe(F.col("_h")))
     needed = data.select(F.col("_g").alias("_n1"), F.col("_fold").alias("_f")).distinct()  # groups x folds
     wanted = known.join(F.broadcast(needed), F.col("_g").eqNullSafe(F.col("_n1")) & (F.col("_fold") != F.col("_f")))
     wanted = wanted.select(key, "_g", "_f", "_p", "_y", "_x", *(["_t"] if tokens else []))
     n_classes = 2 if classes is None else len(classes)
 
-    def fit(part: pa.Table) -> pa.Table:
-        part = part.sort_by(key).combine_chunks()
-        y = part["_y"].to_numpy().astype(np.int64)
-        kinds = pa.schema([("_g", pa.string()), ("_f", pa.int32()), ("model", pa.binary()), ("sample", pa.binary())])
+    kinds = pa.schema([("_g", pa.string()), ("_f", pa.int32()), ("model", pa.binary()), ("sample", pa.binary())])
+
+    def fitted(at: tuple, labels: list, gathered: Gathered, problems: list) -> Iterator[pa.RecordBatch]:
+        y = np.concatenate(labels)
         if len(np.unique(y)) < 2:
-            return kinds.empty_table()
-        x, words, sample = _dense(part["_x"].combine_chunks()), None, None
-        if tokens:
-            texts = _said(part["_t"].combine_chunks())
-            words = Words(texts)
-            x = _both(words, texts, x, kind == "boosted")
+            return
+        x, words = gathered.done()
+        sample = None
         if kind == "boosted":
             model = Boosted(**options)
             sample = model.packed(x, y, n_classes, len(words.place) if words else 0)
-        elif kind == "ranker":
-            model = ranker(x, y, np.array(part["_p"].fill_null("").to_pylist()), **options)
         else:
-            model = Logistic(**options).fit(x, y, n_classes)
+            dense = np.zeros(x.shape, dtype=np.float32)
+            dense[x.row, x.col] = x.value
+            model = ranker(dense, y, np.array(problems), **options) if kind == "ranker" else Logistic(**options).fit(dense, y, n_classes)
         state = pickle.dumps((words and words.state(), type(model).__name__, model.state()))
-        return pa.table([part["_g"].slice(0, 1), part["_f"].slice(0, 1).cast(pa.int32()), [state], pa.array([sample], pa.binary())], schema=kinds)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*at, state, sample), kinds.types)], schema=kinds)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            begin = 0
+            for at, run in itertools.groupby(zip(b.column("_g").to_pylist(), b.column("_f").to_pylist())):
+                end = begin + sum(1 for _ in run)
+                if now is None or now[0] != at:
+                    if now is not None:
+                        yield from fitted(*now)
+                    now = (at, [], Gathered(bool(tokens), kind == "boosted"), [])
+                for i in range(begin, end, most):
+                    part = b.slice(i, min(most, end - i))
+                    now[1].append(part.column("_y").to_numpy().astype(np.int64))
+                    now[2].add(_dense(part.column("_x")), _said(part.column("_t")) if tokens else None)
+                    if kind == "ranker":
+                        now[3].extend(part.column("_p").fill_null("").to_pylist())
+                begin = end
+        if now is not None:
+            yield from fitted(*now)
 
     # a number of partitions of its own, for each group is long work and must not be put together with others
-    begun = wanted.repartition(tasks, "_g", "_f").groupBy("_g", "_f").applyInArrow(fit, "_g string, _f int, model binary, sample binary")
+    begun = wanted.repartition(tasks, "_g", "_f").sortWithinPartitions("_g", "_f", key).mapInArrow(fit, "_g string, _f int, model binary, sample binary")
     made = held(begun.select("_g", "_f", "model", grown(spark, F.col("sample")).alias("trees")))
     if (made.agg(F.sum(F.length("model") + F.coalesce(F.length("trees"), F.lit(0)))).first()[0] or 0) > MOST_BYTES:
         raise ValueError(f"models of more than {MOST_BYTES} bytes: score the groups one after another")
